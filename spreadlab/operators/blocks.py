@@ -88,17 +88,18 @@ def previous(df: DataFrame, keys: list[str], order, block: Column, cols: dict[st
     return j.select(*df.columns, *[src[n].alias(n) for n in cols])
 
 
-def with_halo(df: DataFrame, position: Column, width: int, back: int) -> DataFrame:
-    """Cut the position axis into blocks and copy the last `back` positions of each
-    block into the next one, so a frame looking back at most `back` stays inside a block.
+def with_halo(df: DataFrame, position: Column, width: int, back: int, ahead: int = 0) -> DataFrame:
+    """Cut the position axis into blocks and copy edge rows into the neighbours, so a frame
+    reaching at most `back` behind and `ahead` in front stays inside a block.
 
     Adds __blk and __own (true on the row's home block). Keep only __own afterwards.
     """
     home = F.floor(position / F.lit(width)).cast("long")
+    first = F.floor((position - F.lit(ahead)) / F.lit(width)).cast("long")
     last = F.floor((position + F.lit(back)) / F.lit(width)).cast("long")
     return (
         df.withColumn("__home", home)
-        .withColumn(BLK, F.explode(F.sequence(F.col("__home"), last)))
+        .withColumn(BLK, F.explode(F.sequence(first, last)))
         .withColumn("__own", F.col(BLK) == F.col("__home"))
         .drop("__home")
     )

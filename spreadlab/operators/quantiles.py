@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import col
-from spreadlab.operators.blocks import BLK, value_block
+from spreadlab.operators.blocks import BLK, running, value_block
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float],
@@ -70,3 +70,30 @@ def with_quantiles(stats: DataFrame, quantiles: DataFrame, keys: list[str]) -> D
                          *[c for c in quantiles.columns if c not in keys])
     on = [stats[k].eqNullSafe(q[f"__q_{k}"]) for k in keys]
     return stats.join(q, on, "left").drop(*[f"__q_{k}" for k in keys])
+
+
+def ordered_values(df: DataFrame, keys: list[str], value, per_unit: int = 512) -> DataFrame:
+    """Distinct values per key with the 0-based positions [pos_from, pos_to) they take and the total."""
+    v = col(value).cast("double")
+    counts = (
+        df.select(*keys, v.alias("value")).where("value is not null")
+        .groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    )
+    placed = running(counts, keys, "value", value_block("value", per_unit), pos_to=("sum", "n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    t = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "total")
+    on = [placed[k].eqNullSafe(t[f"__k_{k}"]) for k in keys]
+    return placed.join(t, on).select(
+        *keys, "value", "n", (F.col("pos_to") - F.col("n")).alias("pos_from"), "pos_to", "total")
+
+
+def order_positions(df: DataFrame, keys: list[str], value, per_unit: int = 512, chunk: int = 65536) -> DataFrame:
+    """One row per original row: value, 1-based position in the sorted group, group size.
+
+    A value shared by very many rows is expanded in chunks, so no array holds them all.
+    """
+    o = ordered_values(df, keys, value, per_unit)
+    o = o.withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
+    lo = F.col("pos_from") + F.col("__c").cast("long") * chunk + 1
+    hi = F.least(F.col("pos_from") + (F.col("__c").cast("long") + 1) * chunk, F.col("pos_to"))
+    return o.select(*keys, "value", "total", F.explode(F.sequence(lo, hi)).alias("position"))

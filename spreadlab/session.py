@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "spreadlab", cores: str | None = None) -> SparkSession:
@@ -41,3 +41,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spreadlab-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared checkpoint folder and read it from there.
+
+    For results that several later steps read; a lost executor re-reads files instead of
+    recomputing the whole chain.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
