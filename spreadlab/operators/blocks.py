@@ -107,3 +107,20 @@ def with_halo(df: DataFrame, position: Column, width: int, back: int, ahead: int
 
 def own_rows(df: DataFrame) -> DataFrame:
     return df.where("__own").drop(BLK, "__own")
+
+
+def prefix_sum_and_low(df: DataFrame, keys: list[str], order, block: Column, amount: str, before: str, low: str) -> DataFrame:
+    """Sum of the earlier rows of the series, and the lowest such sum seen up to the row."""
+    d = df.withColumn(BLK, block)
+    by = [*keys, BLK]
+    inner = Window.partitionBy(*by).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__b", F.sum(amount).over(inner) - F.col(amount)).withColumn("__m", F.min("__b").over(inner))
+    tot = d.groupBy(*by).agg(F.sum(amount).alias("__t"), F.min("__b").alias("__low"))
+    past = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("__start", F.coalesce(F.sum("__t").over(past), F.lit(0))).withColumn(
+        "__lows", F.min(F.col("__start") + F.col("__low")).over(past))
+    carry = tot.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(BLK).alias("__kb"), "__start", "__lows")
+    on = [d[BLK] == carry["__kb"]] + [d[k].eqNullSafe(carry[f"__k_{k}"]) for k in keys]
+    return d.join(carry, on).select(
+        *df.columns, (F.col("__start") + F.col("__b")).alias(before),
+        F.least(F.col("__lows"), F.col("__start") + F.col("__m")).alias(low))
