@@ -244,8 +244,8 @@ def pre_z_stats(b):
 def uniform_sql(key: str, stream: str) -> str:
     p = "CAST(2147483647 AS BIGINT)"
     h0 = f"((({key}) % {p}) * 48271 + ({stream}) * 69621 + 12345) % {p}"
-    h1 = f"list_transform([{h0}], lambda h: (h * h + 16807 * h + 7919) % {p})"
-    h2 = f"list_transform({h1}, lambda h: (h * h + 39373 * h + ({stream}) + 104729) % {p})[1]"
+    h1 = f"list_transform([{h0}], lambda h: (h * (h + 16807) + 7919) % {p})"
+    h2 = f"list_transform({h1}, lambda h: (h * (h + 39373) + ({stream}) + 104729) % {p})[1]"
     return f"(CAST({h2} AS DOUBLE) / 2147483647.0::DOUBLE)"
 
 

@@ -63,7 +63,7 @@ PARTS: dict[str, tuple[str, str]] = {
                date_trunc('hour', ts) + to_days(CAST(user_id % 4 AS INT)) + to_hours(k % 24) AS utc_ts,
                event_type AS location, value, event_id FROM ev"""),
     "daily": ("", f"""
-        SELECT o_orderdate AS utc_ts, o_orderpriority AS location, {r6('avg(o_totalprice)', 2)} AS price
+        SELECT o_orderdate AS utc_ts, o_orderpriority AS location, {r6('avg(o_totalprice)', 4)} AS price
         FROM orders GROUP BY 1, 2"""),
     "pred": ("spread", f"""
         SELECT utc_ts, local_ts, hour(utc_ts) + 1 AS end_hour, location AS settlement_point,

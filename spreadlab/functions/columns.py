@@ -124,8 +124,8 @@ def uniform_hash(key: str | Column, stream: Column | int) -> Column:
     p = F.lit(2147483647).cast("long")
     s = stream if isinstance(stream, Column) else F.lit(stream)
     h = (F.pmod(col(key).cast("long"), p) * F.lit(48271) + s.cast("long") * F.lit(69621) + F.lit(12345)) % p
-    h = (h * h + F.lit(16807) * h + F.lit(7919)) % p
-    h = (h * h + F.lit(39373) * h + s.cast("long") + F.lit(104729)) % p
+    h = (h * (h + F.lit(16807)) + F.lit(7919)) % p
+    h = (h * (h + F.lit(39373)) + s.cast("long") + F.lit(104729)) % p
     return h.cast("double") / F.lit(2147483647.0)
 
 

@@ -1,0 +1,98 @@
+"""One MLlib model per delivery hour: boosted trees and elastic-net fits, scoring, walk-forward.
+
+MLlib trains one model per call, so the driver loops over the hours (24) and weeks, with
+several fits in flight; each fit itself is a distributed job over that hour's rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spreadlab.learning.folds import assign_folds
+from spreadlab.learning.scoring import classified
+from spreadlab.sources.tables import union_all
+
+
+def assembled(df: DataFrame, features: list[str], target: str, hour: str, keep: list[str]) -> DataFrame:
+    rows = df.dropna(subset=[*features, target])
+    return VectorAssembler(inputCols=features, outputCol="features").transform(rows).select(
+        "features", F.col(target).cast("double").alias("label"), hour, *[c for c in keep if c not in (hour,)])
+
+
+def gbt_regressor(trees: int = 20, depth: int = 3, rate: float = 0.1, subsample: float = 1.0, seed: int = 42) -> GBTRegressor:
+    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed, maxBins=32)
+
+
+def gbt_classifier(trees: int = 20, depth: int = 3, rate: float = 0.1, subsample: float = 1.0, seed: int = 42, weighted: bool = True) -> GBTClassifier:
+    g = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed, maxBins=32)
+    return g.setWeightCol("weight") if weighted else g
+
+
+def forest_classifier(trees: int = 20, depth: int = 5, seed: int = 42) -> RandomForestClassifier:
+    """For more than two classes."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+
+
+def hours_of(df: DataFrame, hour: str) -> list[int]:
+    """Distinct delivery hours, at most 24."""
+    return [r[0] for r in df.select(hour).where(F.col(hour).between(1, 24)).distinct().orderBy(hour).collect()]
+
+
+def with_class_weight(train: DataFrame, hour: str) -> DataFrame:
+    """Positive rows weigh negatives / positives of their hour."""
+    w = train.groupBy(hour).agg(F.count_if(F.col("label") == 0).alias("__neg"), F.count_if(F.col("label") == 1).alias("__pos"))
+    return train.join(w, hour).withColumn(
+        "weight", F.when((F.col("label") == 1) & (F.col("__pos") > 0), F.col("__neg") / F.col("__pos")).otherwise(1.0)).drop("__neg", "__pos")
+
+
+def fit_hours(train: DataFrame, make: Callable, hour: str = "end_hour", parallel: int = 4) -> dict[int, object]:
+    """Fit one model per hour on its rows; hours run side by side."""
+    train = train.persist()
+    try:
+        hours = hours_of(train, hour)
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            models = list(pool.map(lambda h: make().fit(train.where(F.col(hour) == h)), hours))
+        return dict(zip(hours, models))
+    finally:
+        train.unpersist()
+
+
+def score_hours(data: DataFrame, models: dict[int, object], hour: str = "end_hour", classifier: bool = False) -> DataFrame:
+    """Rows of every hour through that hour's model; classifiers add probabilities and confidence."""
+    parts = []
+    for h, m in models.items():
+        out = m.transform(data.where(F.col(hour) == h))
+        if classifier:
+            out = classified(out.withColumn("probability", vector_to_array("probability"))).drop("probability", "rawPrediction")
+        parts.append(out.drop("features"))
+    return union_all(parts)
+
+
+def importance_rows(models: dict[int, object], features: list[str]) -> list[tuple]:
+    """(hour, feature, importance) of every fitted tree model; features x 24 rows."""
+    return [(h, f, float(m.featureImportances[i])) for h, m in models.items() for i, f in enumerate(features)]
+
+
+def complexity_rows(models: dict[int, object]) -> list[tuple]:
+    """(hour, nodes, depth) per model."""
+    return [(h, sum(t.numNodes for t in m.trees), max(t.depth for t in m.trees)) for h, m in models.items()]
+
+
+def walk_forward(data: DataFrame, make: Callable, weeks: list[int], start: str, hour: str = "end_hour", ts: str = "utc_ts",
+                 midnight_cut: bool = False, classifier: bool = True) -> DataFrame:
+    """Refit per week on all earlier rows and keep the week's validation predictions."""
+    f = assign_folds(data, start, ts, midnight_cut).persist()
+    parts = []
+    for w in weeks:
+        train = f.where(F.col("first_train_week") <= w)
+        models = fit_hours(with_class_weight(train, hour) if classifier else train, make, hour)
+        parts.append(score_hours(f.where(F.col("val_week") == w), models, hour, classifier).withColumn("week_num", F.lit(w)))
+    return union_all(parts)

@@ -118,7 +118,7 @@ class Bindings:
         return (
             self.table("orders")
             .groupBy(F.col("o_orderdate").cast("timestamp").alias("utc_ts"), F.col("o_orderpriority").alias("location"))
-            .agg(rnd(F.avg("o_totalprice"), 2).alias("price"))
+            .agg(rnd(F.avg("o_totalprice"), 4).alias("price"))
         )
 
     @property
