@@ -14,7 +14,12 @@ from spreadlab.operators import correlate, encode
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
 START = "1996-01-01"
-ROW = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
+def row_id():
+    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
 ROWSQL = "l_orderkey * 8 + l_linenumber"
 
 
@@ -146,7 +151,7 @@ def lasso_sparsity(b):
 
 @query("selection_stability")
 def selection_stability(b):
-    return rounded(linear.selection_stability(feats(b), ["end_hour"], FEATS, "y", ROW, 0.01, 10), ["frequency"])
+    return rounded(linear.selection_stability(feats(b), ["end_hour"], FEATS, "y", row_id(), 0.01, 10), ["frequency"])
 
 
 @query("coefficient_recovery")
@@ -155,7 +160,7 @@ def coefficient_recovery(b):
     f = encode.zscore(feats(b), FEATS, ["end_hour"])
     names = [f"{c}_z" for c in FEATS]
     truth = [1.0, 2.0, 3.0, -1.0]
-    y = 0.1 * encode.standard_normal(ROW, 7)
+    y = 0.1 * encode.standard_normal(row_id(), 7)
     for c, t in zip(names, truth):
         y = y + t * F.col(c)
     fit = linear.fit_linear(f.withColumn("synthetic", y), ["end_hour"], names, "synthetic")
@@ -233,7 +238,7 @@ def noise_stability(b):
     base = linear.score_linear(f, coefs, ["end_hour"], FEATS, "base").join(cut, "end_hour")
     noisy = base.withColumn("level", F.explode(F.array(F.lit(0.01), F.lit(0.05), F.lit(0.1))))
     for i, c in enumerate(FEATS):
-        noisy = noisy.withColumn(c, F.col(c) + F.col("level") * F.col(f"sd_{c}") * encode.standard_normal(ROW, 40 + i))
+        noisy = noisy.withColumn(c, F.col(c) + F.col("level") * F.col(f"sd_{c}") * encode.standard_normal(row_id(), 40 + i))
     noisy = linear.score_linear(noisy, coefs, ["end_hour"], FEATS, "moved")
     prob = lambda c: 1 / (1 + F.exp(-(F.col(c) - F.col("cut"))))
     same = ((F.col("base") > F.col("cut")) == (F.col("moved") > F.col("cut"))).cast("int")
@@ -452,7 +457,7 @@ def metrics_flat_classes(b):
             FROM ow GROUP BY 1, 2) f ON f.end_hour = o.end_hour AND f.replicate = o.replicate WHERE o.w = 0) GROUP BY 1, 2""", "feats",
        f"ow AS (SELECT end_hour, g.r AS replicate, l_quantity AS x, y, {weight_sql(ROWSQL, 'g.r')} AS w FROM feats, generate_series(0, 4) AS g(r))")
 def bootstrap_oob_metrics(b):
-    p = linear.bootstrap_oob(feats(b), ["end_hour"], ["l_quantity"], "y", ROW, n=5)
+    p = linear.bootstrap_oob(feats(b), ["end_hour"], ["l_quantity"], "y", row_id(), n=5)
     m = metrics.regression_metrics(p, ["end_hour", "replicate"], "actual", "prediction")
     return rounded(rounded(m.select("end_hour", "replicate", "n", "r2", "mae"), ["mae"]), ["r2"], 5)
 

@@ -25,8 +25,10 @@ def _schema(df: DataFrame, keys: list[str], *extra: tuple[str, T.DataType]) -> T
     return T.StructType([df.schema[k] for k in keys] + [T.StructField(n, t) for n, t in extra])
 
 
-def _keyed(key, keys) -> dict:
-    return dict(zip(keys, key))
+def _frame(key, keys: list[str], size: int, names: list[str], **cols) -> pd.DataFrame:
+    """Result rows of one group: its key values repeated beside the given columns."""
+    head = {k: pd.Series([v] * size, dtype="object") for k, v in zip(keys, key)}
+    return pd.DataFrame({**head, **{c: np.broadcast_to(v, size) for c, v in cols.items()}})[names]
 
 
 def indexed_series(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "utc_ts", min_rows: int = 2) -> DataFrame:
@@ -46,12 +48,10 @@ def _direct(series: DataFrame, keys: list[str]) -> DataFrame:
     schema = _schema(series, keys, ("n", T.LongType()), ("step_seconds", T.DoubleType()), ("bin", T.LongType()),
                      ("re", T.DoubleType()), ("im", T.DoubleType()))
 
-    def fft(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fft(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("idx")["value"].to_numpy()
         f = np.fft.fft(x)[: len(x) // 2]
-        return pd.DataFrame({**{k: [v] * len(f) for k, v in _keyed(key, keys).items()},
-                             "n": len(x), "step_seconds": pdf["step_seconds"].iloc[0],
-                             "bin": np.arange(len(f)), "re": f.real, "im": f.imag})[schema.names]
+        return _frame(key, keys, len(f), schema.names, n=len(x), step_seconds=pdf["step_seconds"].iloc[0], bin=np.arange(len(f)), re=f.real, im=f.imag)
 
     return series.groupBy(*keys).applyInPandas(fft, schema)
 
@@ -84,8 +84,8 @@ def distributed_dft(series: DataFrame, keys: list[str]) -> DataFrame:
     cell = [("n", T.LongType()), ("part", T.IntegerType()), ("row", T.LongType()), ("pos", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType())]
     s1 = _schema(series, keys, *cell)
 
-    def columns_forward(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part, n2 = int(pdf["n"].iloc[0]), int(key[-2]), int(key[-1])
+    def columns_forward(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, part, n2 = int(pdf["n"].iloc[0]), int(key[len(keys)]), int(key[-1])
         m, r, c = _split(n)
         vec = np.zeros(r, dtype="complex128")
         if part == 0:
@@ -97,26 +97,24 @@ def distributed_dft(series: DataFrame, keys: list[str]) -> DataFrame:
             inside = dist < n
             vec[inside] = _chirp(dist[inside], n)
         out = np.fft.fft(vec) * np.exp(-2j * np.pi * n2 * np.arange(r) / m)
-        return pd.DataFrame({**{k: [v] * r for k, v in _keyed(key, keys).items()}, "n": n, "part": part,
-                             "row": np.arange(r), "pos": n2, "re": out.real, "im": out.imag})[s1.names]
+        return _frame(key, keys, r, s1.names, n=n, part=part, row=np.arange(r), pos=n2, re=out.real, im=out.imag)
 
     stage1 = samples.unionByName(chirp).groupBy(*keys, "part", "n2").applyInPandas(columns_forward, s1)
     s2 = _schema(series, keys, *[x for x in cell if x[0] != "part"])
 
-    def rows_product(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows_product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, k1 = int(pdf["n"].iloc[0]), int(key[-1])
         m, r, c = _split(n)
         vecs = np.zeros((2, c), dtype="complex128")
         vecs[pdf["part"].to_numpy(), pdf["pos"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         prod = np.fft.fft(vecs[0]) * np.fft.fft(vecs[1])
         out = np.fft.ifft(prod) * np.exp(2j * np.pi * k1 * np.arange(c) / m)
-        return pd.DataFrame({**{k: [v] * c for k, v in _keyed(key, keys).items()}, "n": n,
-                             "row": np.arange(c), "pos": k1, "re": out.real, "im": out.imag})[s2.names]
+        return _frame(key, keys, c, s2.names, n=n, row=np.arange(c), pos=k1, re=out.real, im=out.imag)
 
     stage2 = stage1.groupBy(*keys, "row").applyInPandas(rows_product, s2)
     s3 = _schema(series, keys, ("bin", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType()))
 
-    def columns_inverse(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def columns_inverse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n, n2 = int(pdf["n"].iloc[0]), int(key[-1])
         _, r, c = _split(n)
         vec = np.zeros(r, dtype="complex128")
@@ -124,8 +122,7 @@ def distributed_dft(series: DataFrame, keys: list[str]) -> DataFrame:
         k = np.arange(r) * c + n2
         keep = k < n // 2
         out = np.fft.ifft(vec)[keep] * np.conj(_chirp(k[keep], n))
-        return pd.DataFrame({**{kk: [v] * len(out) for kk, v in _keyed(key, keys).items()},
-                             "bin": k[keep], "re": out.real, "im": out.imag})[s3.names]
+        return _frame(key, keys, len(out), s3.names, bin=k[keep], re=out.real, im=out.imag)
 
     return stage2.groupBy(*keys, "row").applyInPandas(columns_inverse, s3)
 
@@ -189,7 +186,7 @@ def spectrogram(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "u
     s = s.withColumn("__pos", F.col("idx") - F.col("segment") * F.col("__step")).withColumn("__task", F.floor(F.col("segment") / segments_per_task))
     schema = _schema(df, keys, ("segment", T.LongType()), ("bin", T.LongType()), ("freq_per_day", T.DoubleType()), ("power_db", T.DoubleType()))
 
-    def density(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def density(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ln, fs = int(pdf["__len"].iloc[0]), 1.0 / float(pdf["step_seconds"].iloc[0])
         seg, inv = np.unique(pdf["segment"].to_numpy(), return_inverse=True)
         x = np.zeros((len(seg), ln))
@@ -199,10 +196,8 @@ def spectrogram(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "u
         p = (f.real**2 + f.imag**2) / (fs * (w * w).sum())
         p[:, 1 : (None if ln % 2 else -1)] *= 2
         nb = p.shape[1]
-        return pd.DataFrame({**{k: [v] * (len(seg) * nb) for k, v in _keyed(key, keys).items()},
-                             "segment": np.repeat(seg, nb), "bin": np.tile(np.arange(nb), len(seg)),
-                             "freq_per_day": np.tile(np.arange(nb) * fs / ln * 86400, len(seg)),
-                             "power_db": 10 * np.log10(p + 1e-12).ravel()})[schema.names]
+        return _frame(key, keys, len(seg) * nb, schema.names, segment=np.repeat(seg, nb), bin=np.tile(np.arange(nb), len(seg)),
+                      freq_per_day=np.tile(np.arange(nb) * fs / ln * 86400, len(seg)), power_db=10 * np.log10(p + 1e-12).ravel())
 
     cols = [*keys, "segment", "__pos", "__len", "step_seconds", "value", "__task"]
     return s.select(*cols).groupBy(*keys, "__task").applyInPandas(density, schema)

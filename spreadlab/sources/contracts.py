@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 # Input column names published by the market operator.
 LOAD_ZONES = ["coast", "east", "farWest", "north", "northCentral", "southCentral", "southern", "west"]
@@ -23,35 +22,32 @@ SETTLEMENT_POINTS = [
 POINT_PREFIXES = ["LZ_", "HB_"]
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 def _zones(names: list[str]) -> str:
     return ", ".join(f"{n} double" for n in names)
 
 
+# DDL text, so that importing this module needs no session.
 SCHEMAS = {
-    "rt_spp": _schema(
+    "rt_spp": (
         "deliveryDate date, deliveryHour int, deliveryInterval int, settlementPoint string, "
         "settlementPointType string, settlementPointPrice double, DSTFlag boolean, utc_ts timestamp, local_ts timestamp"
     ),
-    "dam_spp": _schema(
+    "dam_spp": (
         "deliveryDate date, hourEnding string, settlementPoint string, settlementPointPrice double, "
         "DSTFlag boolean, utc_ts timestamp, local_ts timestamp"
     ),
-    "dam_system_lambda": _schema(
+    "dam_system_lambda": (
         "deliveryDate date, hourEnding string, systemLambda double, DSTFlag boolean, utc_ts timestamp, local_ts timestamp"
     ),
-    "load_forecast": _schema(
+    "load_forecast": (
         f"postedDatetime timestamp, deliveryDate date, hourEnding string, {_zones(LOAD_ZONES)}, "
         "inUseFlag boolean, DSTFlag boolean, utc_ts timestamp, local_ts timestamp"
     ),
-    "wind_power_gen": _schema(
+    "wind_power_gen": (
         f"postedDatetime timestamp, deliveryDate date, hourEnding int, {_zones(WIND_ZONES)}, "
         "DSTFlag boolean, utc_ts timestamp, local_ts timestamp"
     ),
-    "solar_power_gen": _schema(
+    "solar_power_gen": (
         f"postedDatetime timestamp, deliveryDate date, hourEnding int, {_zones(SOLAR_ZONES)}, "
         "DSTFlag boolean, utc_ts timestamp, local_ts timestamp"
     ),
