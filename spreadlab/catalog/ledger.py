@@ -9,6 +9,7 @@ from spreadlab.catalog.oracle_parts import r6
 from spreadlab.catalog.registry import query
 from spreadlab.functions.columns import inverse_signed_log, rnd
 from spreadlab.ledger import book, report, signals
+from spreadlab.session import materialise
 from spreadlab.sources.tables import union_all
 
 COST, K0 = 0.05, 10000.0
@@ -42,7 +43,7 @@ LED, RUIN = ledger_ctes(K0), ledger_ctes(6.0)
 
 
 def signal_rows(b):
-    p = b.predictions
+    p = materialise(b.predictions)  # read by both strategies and by the thresholds
     thr = signals.hour_thresholds(p)
     naive = signals.naive_signal(p).withColumn("strategy", F.lit("naive"))
     sel = signals.sign_prob_signal(p, thr).drop("threshold").withColumn("strategy", F.lit("sign_prob"))

@@ -129,12 +129,15 @@ def uniform_hash(key: str | Column, stream: Column | int) -> Column:
     return h.cast("double") / F.lit(2147483647.0)
 
 
+POISSON_ZERO = 2.718281828459045 ** -1
+
+
 def poisson_weight(u: Column, max_weight: int = 8) -> Column:
     """Poisson(1) draw from a uniform number by inverting the distribution function."""
-    cdf, term, out = 0.0, 2.718281828459045 ** -1, None
-    w = F.lit(0)
+    cdf, term, out = 0.0, POISSON_ZERO, None
     for k in range(max_weight):
         cdf += term
         term /= k + 1
-        w = F.when(u >= F.lit(cdf), F.lit(k + 1)).otherwise(w)
-    return w
+        hit = u < F.lit(cdf)
+        out = F.when(hit, k) if out is None else out.when(hit, k)
+    return out.otherwise(max_weight)

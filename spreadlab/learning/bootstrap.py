@@ -16,7 +16,7 @@ CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "precision_macro", "re
 def bootstrap_classification(df: DataFrame, keys: list[str], actual: str, predicted: str, row_id: Column, n: int = 20, seed: int = 0) -> DataFrame:
     """Metrics per replicate from Poisson-weighted confusion counts (they combine map-side)."""
     by = [*keys, "replicate"]
-    r = replicates(df.select(*keys, actual, predicted, row_id.alias("__rid")), F.col("__rid"), n, seed, keep_zero=False)
+    r = replicates(df.select(*keys, actual, predicted, row_id.alias("__rid")), F.col("__rid"), n, seed)
     return classification_metrics(confusion(r, by, actual, predicted, "weight"), by)
 
 

@@ -67,10 +67,14 @@ def importance_by_category(imp: DataFrame, keys: list[str]) -> DataFrame:
     return imp.groupBy(*keys, category(F.col("feature")).alias("category")).agg(F.sum("importance").alias("importance"), F.count("*").alias("n_features"))
 
 
+def _with_hour_count(top: DataFrame, hour: str) -> DataFrame:
+    """Number of distinct hours beside every row of a top list (a few hundred rows)."""
+    return top.withColumn("__h", F.size(F.collect_set(hour).over(Window.partitionBy(F.lit(1)))))
+
+
 def consistent_features(top: DataFrame, hour: str = "end_hour", share: float = 0.5, keep: int = 10) -> DataFrame:
     """Features in the top list of at least half the hours: frequency / (average rank + 1)."""
-    hours = top.agg(F.countDistinct(hour).alias("__h")).withColumn("__one", F.lit(1))
-    f = top.groupBy("feature").agg(F.count("*").alias("__n"), F.avg("rank").alias("average_rank")).withColumn("__one", F.lit(1)).join(hours, "__one")
+    f = _with_hour_count(top, hour).groupBy("feature").agg(F.count("*").alias("__n"), F.avg("rank").alias("average_rank"), F.max("__h").alias("__h"))
     f = f.where(F.col("__n") >= F.col("__h") * share).withColumn("frequency", F.col("__n") / F.col("__h"))
     f = f.withColumn("consistency_score", F.col("frequency") / (F.col("average_rank") + 1)).select("feature", "average_rank", "frequency", "consistency_score")
     return f.orderBy(F.col("consistency_score").desc(), "feature").limit(keep)
@@ -86,9 +90,8 @@ def hour_similarity(top: DataFrame, hour: str = "end_hour") -> DataFrame:
 
 def feature_stability(top: DataFrame, hour: str = "end_hour", absent_rank: int = 10) -> DataFrame:
     """Per feature 1 / (1 + population variance of its rank); hours without it count as rank 10."""
-    hours = top.agg(F.countDistinct(hour).alias("__h")).withColumn("__one", F.lit(1))
-    s = top.groupBy("feature").agg(F.count("*").alias("__n"), F.sum("rank").alias("__s"), F.sum(F.col("rank") * F.col("rank")).alias("__q"))
-    s = s.withColumn("__one", F.lit(1)).join(hours, "__one")
+    s = _with_hour_count(top, hour).groupBy("feature").agg(
+        F.count("*").alias("__n"), F.sum("rank").alias("__s"), F.sum(F.col("rank") * F.col("rank")).alias("__q"), F.max("__h").alias("__h"))
     miss = F.col("__h") - F.col("__n")
     mean = (F.col("__s") + miss * absent_rank) / F.col("__h")
     var = (F.col("__q") + miss * absent_rank * absent_rank) / F.col("__h") - mean * mean

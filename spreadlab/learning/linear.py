@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spreadlab.functions.columns import poisson_weight, uniform_hash
+from spreadlab.functions.columns import POISSON_ZERO, poisson_weight, uniform_hash
 from spreadlab.learning.folds import assign_folds
 from spreadlab.operators.correlate import co_moments
 
@@ -105,18 +105,21 @@ def sparsity(coefs: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame
         F.count_if(kept).alias("n_selected"), F.count_if(~kept).alias("n_zeroed"), F.avg((~kept).cast("double")).alias("sparsity_ratio"), F.max("r2").alias("r2"))
 
 
-def replicates(df: DataFrame, row_id: Column, n: int, seed: int = 0, keep_zero: bool = True) -> DataFrame:
-    """Poisson(1) bootstrap copies: (replicate, weight) per row, drawn from the row's own hash."""
+def replicates(df: DataFrame, row_id: Column, n: int, seed: int = 0) -> DataFrame:
+    """Poisson(1) bootstrap copies: (replicate, weight, drawn) per row, from the row's own hash.
+
+    Filter on `drawn` rather than on `weight`: a pushed-down filter repeats its expression,
+    and `drawn` reads the hash once. Weighted sums need no filter at all.
+    """
     r = df.withColumn("__id", row_id).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    r = r.withColumn("__u", uniform_hash("__id", F.col("replicate") + seed)).withColumn("weight", poisson_weight(F.col("__u")))
-    return (r if keep_zero else r.where("weight > 0")).drop("__id", "__u")
+    r = r.withColumn("__u", uniform_hash("__id", F.col("replicate") + seed))
+    return r.withColumn("weight", poisson_weight(F.col("__u"))).withColumn("drawn", F.col("__u") >= POISSON_ZERO).drop("__id", "__u")
 
 
-def weighted_moments(df: DataFrame, keys: list[str], columns: list[str], weight: str = "weight", shift_keys: list[str] | None = None) -> DataFrame:
-    """Weighted population co-moments in the layout of co_moments, on values shifted by a group mean."""
-    shift_keys = shift_keys if shift_keys is not None else keys
-    shift = df.groupBy(*shift_keys).agg(*[F.avg(c).alias(f"__s_{c}") for c in columns])
-    j = df.where(F.col(weight) > 0).join(shift, shift_keys)
+def weighted_moments(df: DataFrame, keys: list[str], columns: list[str], base: DataFrame, base_keys: list[str], weight: str = "weight") -> DataFrame:
+    """Weighted population co-moments in the layout of co_moments, on values shifted by the mean of the uncopied rows."""
+    shift = base.groupBy(*base_keys).agg(*[F.avg(c).alias(f"__s_{c}") for c in columns])
+    j = df.join(shift, base_keys)
     v = {c: F.col(c) - F.col(f"__s_{c}") for c in columns}
     w = F.col(weight).cast("double")
     pairs = [(i, k) for i in range(len(columns)) for k in range(i, len(columns))]
@@ -128,6 +131,7 @@ def weighted_moments(df: DataFrame, keys: list[str], columns: list[str], weight:
         F.lit(columns[i]).alias("a"), F.lit(columns[k]).alias("b"), F.col("__w").cast("long").alias("n"),
         (mean(columns[i]) + F.col(f"__s_{columns[i]}")).alias("mean_a"), (mean(columns[k]) + F.col(f"__s_{columns[k]}")).alias("mean_b"),
         (F.col(f"__p_{i}_{k}") / F.col("__w") - mean(columns[i]) * mean(columns[k])).alias("cov")) for i, k in pairs])
+    agg = agg.where("__w > 0")
     return agg.select(*keys, F.inline(packed))
 
 
@@ -139,11 +143,12 @@ def bootstrap_oob(df: DataFrame, keys: list[str], features: list[str], target: s
     least `min_test` rows) instead; only tiny groups get there.
     """
     by = [*keys, "replicate"]
-    r = replicates(df.select(*keys, *features, target, row_id.alias("__rid")), F.col("__rid"), n, seed)
-    coefs = coefficients(weighted_moments(r, by, [*features, target], shift_keys=keys), by, features, target, kind, [alpha])
-    size = r.groupBy(*by).agg(F.count_if(F.col("weight") == 0).alias("__oob"), F.count("*").alias("__n"))
+    rows = df.select(*keys, *features, target, row_id.alias("__rid"))
+    r = replicates(rows, F.col("__rid"), n, seed)
+    coefs = coefficients(weighted_moments(r, by, [*features, target], rows, keys), by, features, target, kind, [alpha])
+    size = r.groupBy(*by).agg(F.count_if(~F.col("drawn")).alias("__oob"), F.count("*").alias("__n"))
     thin = size.where(F.col("__oob") < min_test)
-    oob = r.where("weight = 0").join(thin, by, "left_anti")
+    oob = r.where(~F.col("drawn")).join(thin, by, "left_anti")
     w = Window.partitionBy(*by).orderBy(uniform_hash("__rid", F.col("replicate") + 100003 + seed), "__rid")
     fallback = r.join(thin, by).withColumn("__rank", F.row_number().over(w)).where(
         F.col("__rank") <= F.greatest(F.lit(min_test), F.ceil(F.col("__n") * 0.2).cast("int")))
@@ -155,8 +160,8 @@ def selection_stability(df: DataFrame, keys: list[str], features: list[str], tar
                         eps: float = 1e-12) -> DataFrame:
     """How often the lasso keeps each feature over bootstrap replicates; stable above one half."""
     by = [*keys, "replicate"]
-    r = replicates(df, row_id, n, seed, keep_zero=False)
-    coefs = coefficients(weighted_moments(r, by, [*features, target], shift_keys=keys), by, features, target, "lasso", [alpha])
+    r = replicates(df, row_id, n, seed)
+    coefs = coefficients(weighted_moments(r, by, [*features, target], df, keys), by, features, target, "lasso", [alpha])
     freq = coefs.where(F.col("feature") != INTERCEPT).groupBy(*keys, "feature").agg(
         F.avg((F.abs("coefficient") > eps).cast("double")).alias("frequency"), F.count("*").alias("n_replicates"))
     return freq.withColumn("stable", F.col("frequency") > 0.5)
@@ -177,17 +182,17 @@ def walk_forward_linear(df: DataFrame, keys: list[str], features: list[str], tar
     sums = f.join(shift, keys).groupBy(*keys, F.col("first_train_week").alias("week_num")).agg(
         F.count("*").alias("__n"), *[F.sum(v[c]).alias(f"__m_{c}") for c in cols], *[F.sum(v[cols[i]] * v[cols[k]]).alias(f"__p_{i}_{k}") for i, k in pairs])
     parts = ["__n", *[f"__m_{c}" for c in cols], *[f"__p_{i}_{k}" for i, k in pairs]]
-    # weeks x groups: calendar-sized, one row each
-    ids = weeks.agg(F.collect_list("week_num").alias("__weeks")).withColumn("__one", F.lit(1))
-    spine = shift.withColumn("__one", F.lit(1)).join(ids, "__one").withColumn("week_num", F.explode("__weeks")).drop("__weeks", "__one")
-    w = Window.partitionBy(*keys).orderBy("week_num").rowsBetween(Window.unboundedPreceding, 0)
-    cum = spine.join(sums, [*keys, "week_num"], "left").select(
-        *keys, "week_num", *[f"__s_{c}" for c in cols], *[F.sum(F.coalesce(F.col(p), F.lit(0))).over(w).alias(p) for p in parts]).where("__n > 1")
+    # One row per (group, week to predict) among the (group, week) sums: calendar-sized.
+    val = f.where("val_week is not null").withColumn("week_num", F.col("val_week")).drop("val_week", "first_train_week").join(
+        weeks.select("week_num"), "week_num", "left_semi")
+    asked = val.select(*keys, "week_num").distinct().withColumn("__ask", F.lit(1))
+    steps = sums.withColumn("__ask", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("week_num", "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    cum = steps.select(*keys, "week_num", "__ask", *[F.sum(p).over(w).alias(p) for p in parts]).where("__ask = 1 and __n > 1").join(shift, keys)
     mean = lambda c: F.col(f"__m_{c}") / F.col("__n")
     packed = F.array(*[F.struct(
         F.lit(cols[i]).alias("a"), F.lit(cols[k]).alias("b"), F.col("__n").alias("n"), (mean(cols[i]) + F.col(f"__s_{cols[i]}")).alias("mean_a"),
         (mean(cols[k]) + F.col(f"__s_{cols[k]}")).alias("mean_b"), (F.col(f"__p_{i}_{k}") / F.col("__n") - mean(cols[i]) * mean(cols[k])).alias("cov")) for i, k in pairs])
     by = [*keys, "week_num"]
     coefs = coefficients(cum.select(*by, F.inline(packed)), by, features, target, kind, [alpha])
-    val = f.where("val_week is not null").withColumn("week_num", F.col("val_week")).drop("val_week", "first_train_week")
     return score_linear(val, coefs, by, features)

@@ -70,7 +70,8 @@ def robustness_metrics(df: DataFrame, keys: list[str], actual: str, predicted: s
 def confusion(df: DataFrame, keys: list[str], actual: str, predicted: str, weight: str | None = None) -> DataFrame:
     """Long confusion table (keys, actual, predicted, n); all class metrics derive from it."""
     n = F.sum(weight) if weight else F.count("*")
-    return df.groupBy(*keys, F.col(actual).cast("int").alias("actual"), F.col(predicted).cast("int").alias("predicted")).agg(n.alias("n"))
+    out = df.groupBy(*keys, F.col(actual).cast("int").alias("actual"), F.col(predicted).cast("int").alias("predicted")).agg(n.alias("n"))
+    return out.where("n > 0") if weight else out
 
 
 def per_class(conf: DataFrame, keys: list[str]) -> DataFrame:

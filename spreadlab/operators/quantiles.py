@@ -62,10 +62,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, floa
 
 def with_quantiles(stats: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
     """Attach quantile columns to a per-key statistics table."""
-    if not keys:
-        one = F.lit(1)
-        return (stats.withColumn("__all", one)
-                .join(quantiles.withColumn("__all", one), "__all", "left").drop("__all"))
     q = quantiles.select(*[F.col(k).alias(f"__q_{k}") for k in keys],
                          *[c for c in quantiles.columns if c not in keys])
     on = [stats[k].eqNullSafe(q[f"__q_{k}"]) for k in keys]
