@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.features import ZONES, _LATEST
+from spreadlab.catalog.oracle_models import lloyd_ctes
 from spreadlab.catalog.oracle_parts import r6, slt
 from spreadlab.catalog.registry import query
 from spreadlab.functions.columns import rnd, signed_log
@@ -314,13 +315,29 @@ def _kmeans_rows(points, centres, keys):
     return inertia.join(cluster.silhouette(points, centres, keys), [*keys, "k"], "left")
 
 
-@query("kmeans_inertia")
+_KI = lloyd_ctes("spread", "dart_slt", _PK, 6, 25) + f""",
+    pair AS (SELECT a.location, a.location_type, a.k, a.rn, a.i, z.i AS j, sum(abs(a.v - z.v)) AS s, count(*) AS m
+             FROM asg a JOIN asg z ON z.location = a.location AND z.location_type = a.location_type AND z.k = a.k WHERE a.k > 1 GROUP BY ALL),
+    sil AS (SELECT location, location_type, k, avg(CASE WHEN own = 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM (
+            SELECT location, location_type, k, rn, max(m) FILTER (i = j) AS own, max(s) FILTER (i = j) / nullif(max(m) FILTER (i = j) - 1, 0) AS a, min(s / m) FILTER (i <> j) AS b FROM pair GROUP BY ALL) GROUP BY 1, 2, 3)"""
+
+
+@query("kmeans_inertia", f"""
+    SELECT location, location_type, CAST(k AS INT) AS k, {r6('inertia')} AS inertia, CAST(n_clusters AS BIGINT) AS n_clusters, {r6('silhouette')} AS silhouette FROM (
+        SELECT location, location_type, k, sum(sse) AS inertia, count(*) AS n_clusters FROM (
+            SELECT a.location, a.location_type, a.k, a.i, sum((a.v - c.v) * (a.v - c.v)) AS sse FROM asg a JOIN ctr c ON c.location = a.location AND c.location_type = a.location_type AND c.k = a.k AND c.i = a.i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+    LEFT JOIN sil USING (location, location_type, k)""", "spread", _KI)
 def kmeans_inertia(b):
     points, centres = cluster.kmeans_values(b.spread, "dart_slt", PT, max_k=6)
     return rounded(_kmeans_rows(points, centres, PT), ["inertia", "silhouette"])
 
 
-@query("kmeans_by_sign")
+@query("kmeans_by_sign", f"""
+    SELECT location, location_type, sign, CAST(k AS INT) AS k, CAST(i AS INT) AS cluster, {r6('centre')} AS centre, CAST(size AS BIGINT) AS size, {r6('sse')} AS sse,
+           {r6('size / sum(size) OVER (PARTITION BY location, location_type, sign, k)')} AS proportion FROM (
+        SELECT a.location, a.location_type, a.sign, a.k, a.i, any_value(c.v) AS centre, count(*) AS size, sum((a.v - c.v) * (a.v - c.v)) AS sse
+        FROM asg a JOIN ctr c ON c.location = a.location AND c.location_type = a.location_type AND c.sign = a.sign AND c.k = a.k AND c.i = a.i GROUP BY 1, 2, 3, 4, 5)""", "spread",
+       _SIGNED + ", " + lloyd_ctes("signed", "value", _PK + ", sign", 5, 25))
 def kmeans_by_sign(b):
     keys = [*PT, "sign"]
     points, centres = cluster.kmeans_values(signed(b), "value", keys, max_k=5)

@@ -252,16 +252,15 @@ def uniform_sql(key: str, stream: str) -> str:
 _NOISE = ["l_quantity", "l_discount"]
 
 
-def _norm_sql(i: int) -> str:
-    key = "l_orderkey * 8 + l_linenumber"
-    u1, u2 = uniform_sql(key, str(2 * i)), uniform_sql(key, str(2 * i + 1))
+def normal_sql(key: str, stream: int) -> str:
+    u1, u2 = uniform_sql(key, str(2 * stream)), uniform_sql(key, str(2 * stream + 1))
     return f"sqrt(-2.0 * ln(greatest({u1}, 1e-9))) * cos({u2} * 2 * pi())"
 
 
 @query("noise_twin", "SELECT end_hour, l_orderkey, l_linenumber, " + ", ".join(
     f"{r6(f'{c}_n01')} AS {c}_n01, {r6(f'({c}_n01 - avg({c}_n01) OVER w) / stddev_pop({c}_n01) OVER w', 5)} AS {c}_n01_z" for c in _NOISE)
     + " FROM noisy WINDOW w AS (PARTITION BY end_hour)", "feats",
-    "noisy AS (SELECT end_hour, l_orderkey, l_linenumber, " + ", ".join(f"{_norm_sql(i)} AS {c}_n01" for i, c in enumerate(_NOISE)) + " FROM feats)")
+    "noisy AS (SELECT end_hour, l_orderkey, l_linenumber, " + ", ".join(f"{normal_sql('l_orderkey * 8 + l_linenumber', i)} AS {c}_n01" for i, c in enumerate(_NOISE)) + " FROM feats)")
 def noise_twin(b):
     f = b.features_by_hour.select("end_hour", "l_orderkey", "l_linenumber", *_NOISE)
     out = encode.noise_twin(f, _NOISE, F.col("l_orderkey") * 8 + F.col("l_linenumber"), ["end_hour"])

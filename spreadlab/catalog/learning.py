@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.explore import rounded
-from spreadlab.catalog.features import uniform_sql
+from spreadlab.catalog.features import normal_sql, uniform_sql
+from spreadlab.catalog.oracle_models import gauss_ctes, lasso_ctes, moments_cte
 from spreadlab.catalog.oracle_parts import r6
 from spreadlab.catalog.registry import query
 from spreadlab.functions.columns import rnd, signed_log
@@ -102,27 +103,6 @@ def class_share(b):
 # --- linear models -----------------------------------------------------------------------------
 
 
-def gauss_ctes(xs: list[str], ridge: float = 0.0) -> str:
-    """Normal equations by elimination over scalar columns, one CTE per step."""
-    d = len(xs)
-    cols = [*xs, "y"]
-    cov = ", ".join(f"covar_pop({cols[i]}, {cols[j]}) AS c{i}_{j}" for i in range(d) for j in range(d + 1))
-    steps = [f"g0 AS (SELECT end_hour, count(*) AS n, {', '.join(f'avg({c}) AS m_{i}' for i, c in enumerate(cols))}, var_pop(y) AS vy, {cov} FROM feats GROUP BY 1)"]
-    keep = "end_hour, n, vy, " + ", ".join(f"m_{i}" for i in range(d + 1)) + ", " + ", ".join(f"s{i}" for i in range(d))
-    steps.append("e0 AS (SELECT end_hour, n, vy, " + ", ".join(f"m_{i}" for i in range(d + 1)) + ", " + ", ".join(f"c{i}_{d} AS s{i}" for i in range(d)) + ", "
-                 + ", ".join(f"c{i}_{j}{f' + {ridge}::DOUBLE / n' if i == j and ridge else ''} AS a{i}_{j}" for i in range(d) for j in range(d + 1)) + " FROM g0)")
-    for p in range(d):
-        rows = []
-        for i in range(d):
-            for j in range(d + 1):
-                rows.append(f"a{p}_{j} / a{p}_{p} AS a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}")
-        steps.append(f"e{p + 1} AS (SELECT {keep}, {', '.join(rows)} FROM e{p})")
-    w = ", ".join(f"a{i}_{d} AS w{i}" for i in range(d))
-    icept = f"m_{d} - (" + " + ".join(f"a{i}_{d} * m_{i}" for i in range(d)) + ")"
-    steps.append(f"fit AS (SELECT end_hour, n, {w}, {icept} AS wi FROM e{d})")
-    return ", ".join(steps)
-
-
 def _fit_sql(xs, digits=5):
     parts = [f"SELECT end_hour, '{x}' AS feature, {r6(f'w{i}', digits)} AS coefficient, CAST(n AS BIGINT) AS n FROM fit" for i, x in enumerate(xs)]
     return " UNION ALL ".join(parts + [f"SELECT end_hour, '(intercept)', {r6('wi', digits)}, CAST(n AS BIGINT) FROM fit"])
@@ -138,33 +118,65 @@ def ridge_per_hour(b):
     return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "ridge", [10.0]).drop("alpha", "r2"), ["coefficient"], 5)
 
 
-@query("lasso_per_hour")
+ALPHAS = [0.001, 0.01, 0.1]
+_LAS = moments_cte("g0", "feats", FEATS, "y", "end_hour") + ", gv AS (SELECT end_hour, var_pop(y) AS vy FROM feats GROUP BY 1), " + lasso_ctes(FEATS, ALPHAS, 8) + """,
+    lr AS (SELECT las.*, (2 * ({}) - ({})) / vy AS r2 FROM las JOIN gv USING (end_hour))""".format(
+    " + ".join(f"w{i} * c{i}_4" for i in range(4)), " + ".join(f"w{i} * w{j} * c{i}_{j}" for i in range(4) for j in range(4)))
+
+
+@query("lasso_per_hour", " UNION ALL ".join(
+    f"SELECT end_hour, alpha, '{n}' AS feature, {r6(w)} AS coefficient, CAST(n AS BIGINT) AS n, {r6('r2')} AS r2 FROM lr" for n, w in [*((f, f"w{i}") for i, f in enumerate(FEATS)), ("(intercept)", "wi")]), "feats", _LAS)
 def lasso_per_hour(b):
-    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", [0.001, 0.01, 0.1]), ["coefficient", "r2"])
+    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", ALPHAS), ["coefficient", "r2"])
+
 
+_ZEROED = " + ".join(f"CAST(abs(w{i}) <= 1e-12 AS INT)" for i in range(4))
 
-@query("lasso_sparsity")
+
+@query("lasso_sparsity", f"""
+    SELECT end_hour, alpha, CAST(4 - ({_ZEROED}) AS BIGINT) AS n_selected, CAST({_ZEROED} AS BIGINT) AS n_zeroed, {r6(f'({_ZEROED}) / 4.0')} AS sparsity_ratio, {r6('r2')} AS r2 FROM lr""", "feats", _LAS)
 def lasso_sparsity(b):
-    c = linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", [0.001, 0.01, 0.1])
+    c = linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", ALPHAS)
     return rounded(linear.sparsity(c, ["end_hour", "alpha"]), ["sparsity_ratio", "r2"])
 
 
-@query("selection_stability")
+_CDF, _t = [], 2.718281828459045 ** -1
+for _k in range(8):
+    _CDF.append((_CDF[-1] if _CDF else 0.0) + _t)
+    _t /= _k + 1
+
+
+def weight_sql(key: str, stream: str) -> str:
+    """Poisson(1) weight from the hashed uniform by counting passed thresholds."""
+    u = uniform_sql(key, stream)
+    return "list_transform([" + u + "], lambda u: " + " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in _CDF) + ")[1]"
+
+
+_STAB = (f"rw AS (SELECT f.*, g.r AS replicate, {weight_sql(ROWSQL, 'g.r')} AS w FROM feats f, generate_series(0, 9) AS g(r)), "
+         + moments_cte("g0", "rw", FEATS, "y", "end_hour, replicate", "w") + ", " + lasso_ctes(FEATS, [0.01], 8))
+
+
+@query("selection_stability", " UNION ALL ".join(f"""
+    SELECT end_hour, '{f}' AS feature, {r6(f'avg(CAST(abs(w{i}) > 1e-12 AS INT))')} AS frequency, CAST(count(*) AS BIGINT) AS n_replicates, avg(CAST(abs(w{i}) > 1e-12 AS INT)) > 0.5 AS stable FROM las GROUP BY 1""" for i, f in enumerate(FEATS)), "feats", _STAB)
 def selection_stability(b):
     return rounded(linear.selection_stability(feats(b), ["end_hour"], FEATS, "y", row_id(), 0.01, 10), ["frequency"])
 
 
-@query("coefficient_recovery")
+TRUTH = dict(zip(FEATS, [1.0, 2.0, 3.0, -1.0]))
+_REC = "zf AS (SELECT *, " + " + ".join(f"{t} * z_{c}" for c, t in TRUTH.items()) + f" + 0.1 * {normal_sql(ROWSQL, 7)} AS synthetic FROM (SELECT *, " + ", ".join(
+    f"({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w AS z_{c}" for c in FEATS) + " FROM feats WINDOW w AS (PARTITION BY end_hour))), " + gauss_ctes([f"z_{c}" for c in FEATS], src="zf", y="synthetic")
+
+
+@query("coefficient_recovery", " UNION ALL ".join(f"""
+    SELECT end_hour, '{c}_z' AS feature, {r6(f'w{i}', 4)} AS coefficient, CAST({t} AS DOUBLE) AS truth, abs(w{i} - {t}) < 0.05 AS recovered FROM fit""" for i, (c, t) in enumerate(TRUTH.items())), "feats", _REC)
 def coefficient_recovery(b):
     """Known coefficients on the real feature rows plus small noise come back from the fit."""
     f = encode.zscore(feats(b), FEATS, ["end_hour"])
-    names = [f"{c}_z" for c in FEATS]
-    truth = [1.0, 2.0, 3.0, -1.0]
     y = 0.1 * encode.standard_normal(row_id(), 7)
-    for c, t in zip(names, truth):
-        y = y + t * F.col(c)
-    fit = linear.fit_linear(f.withColumn("synthetic", y), ["end_hour"], names, "synthetic")
-    known = F.create_map(*[x for c, t in zip(names, truth) for x in (F.lit(c), F.lit(t))])
+    for c, t in TRUTH.items():
+        y = y + t * F.col(f"{c}_z")
+    fit = linear.fit_linear(f.withColumn("synthetic", y), ["end_hour"], [f"{c}_z" for c in FEATS], "synthetic")
+    known = F.create_map(*[x for c, t in TRUTH.items() for x in (F.lit(f"{c}_z"), F.lit(t))])
     return fit.where(F.col("feature") != linear.INTERCEPT).select(
         "end_hour", "feature", rnd("coefficient", 4).alias("coefficient"), known[F.col("feature")].alias("truth")).withColumn(
         "recovered", F.abs(F.col("coefficient") - F.col("truth")) < 0.05)
@@ -229,7 +241,15 @@ def score_predictions(b):
                       "predicted_prob_class_0", "predicted_prob_class_1", "prediction_confidence")
 
 
-@query("noise_stability")
+_NS = gauss_ctes(FEATS) + ", cutoff AS (SELECT end_hour, avg(y) AS cut, " + ", ".join(f"stddev_samp({c}) AS sd_{c}" for c in FEATS) + f""" FROM feats GROUP BY 1),
+    nz AS (SELECT f.end_hour, level, cut, wi + {' + '.join(f'w{i} * {c}' for i, c in enumerate(FEATS))} AS base,
+                  wi + {' + '.join(f'w{i} * ({c} + level * sd_{c} * {normal_sql(ROWSQL, 40 + i)})' for i, c in enumerate(FEATS))} AS moved
+           FROM feats f JOIN fit USING (end_hour) JOIN cutoff USING (end_hour), (SELECT unnest([0.01, 0.05, 0.1]::DOUBLE[]) AS level))"""
+
+
+@query("noise_stability", f"""
+    SELECT end_hour, level, {r6('avg(CAST((base > cut) = (moved > cut) AS INT))', 5)} AS prediction_stability,
+           {r6('corr(1 / (1 + exp(-(base - cut))), 1 / (1 + exp(-(moved - cut))))', 5)} AS probability_stability FROM nz GROUP BY 1, 2""", "feats", _NS)
 def noise_stability(b):
     """Agreement of a linear sign rule with itself on perturbed rows, at 1, 5 and 10 percent noise."""
     f = feats(b)
@@ -243,7 +263,7 @@ def noise_stability(b):
     prob = lambda c: 1 / (1 + F.exp(-(F.col(c) - F.col("cut"))))
     same = ((F.col("base") > F.col("cut")) == (F.col("moved") > F.col("cut"))).cast("int")
     return noisy.groupBy("end_hour", "level").agg(
-        rnd(F.avg(same), 4).alias("prediction_stability"), rnd(F.corr(prob("base"), prob("moved")), 4).alias("probability_stability"))
+        rnd(F.avg(same), 5).alias("prediction_stability"), rnd(F.corr(prob("base"), prob("moved")), 5).alias("probability_stability"))
 
 
 # --- metrics -----------------------------------------------------------------------------------
@@ -393,17 +413,6 @@ def progressive_results(b):
 
 # --- bootstrap ---------------------------------------------------------------------------------
 
-_CDF, _t = [], 2.718281828459045 ** -1
-for _k in range(8):
-    _CDF.append((_CDF[-1] if _CDF else 0.0) + _t)
-    _t /= _k + 1
-
-
-def weight_sql(key: str, stream: str) -> str:
-    u = uniform_sql(key, stream)
-    return "list_transform([" + u + "], lambda u: " + " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in _CDF) + ")[1]"
-
-
 _PKEY = "CAST(epoch(utc_ts) AS BIGINT) // 3600 * 16 + length(settlement_point)"
 _BOOT = _RP + f""", bw AS (SELECT settlement_point, a, c, g.r AS replicate, {weight_sql(_PKEY, 'g.r')} AS w FROM rp, generate_series(0, 9) AS g(r)),
     bpc AS (SELECT settlement_point, replicate, cls, sum(support) AS support, sum(tp) AS tp, sum(called) AS called FROM (
