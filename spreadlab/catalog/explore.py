@@ -507,7 +507,7 @@ _CD = ("CAST(count_if(dart_slt <= 0) AS BIGINT) AS n_negative, CAST(count_if(dar
 
 
 @query("class_distribution", f"""
-    SELECT location, yr, hr, mon, {_CD} FROM (SELECT location, dart_slt, year(utc_ts) AS yr, hour(utc_ts) + 1 AS hr, month(utc_ts) AS mon FROM spread WHERE dart_slt IS NOT NULL)
+    SELECT location, yr, hr, mon, {_CD} FROM (SELECT location, dart_slt, CAST(year(utc_ts) AS INT) AS yr, CAST(hour(utc_ts) + 1 AS INT) AS hr, CAST(month(utc_ts) AS INT) AS mon FROM spread WHERE dart_slt IS NOT NULL)
     GROUP BY GROUPING SETS ((location), (location, yr), (location, hr), (location, mon), (hr), ())""", "spread")
 def class_distribution(b):
     s = b.spread.where("dart_slt is not null").select(

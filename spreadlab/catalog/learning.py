@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.explore import rounded
-from spreadlab.catalog.features import normal_sql, uniform_sql
+from spreadlab.catalog.features import _LATEST, normal_sql, uniform_sql
 from spreadlab.catalog.oracle_models import gauss_ctes, lasso_ctes, moments_cte
 from spreadlab.catalog.oracle_parts import r6
 from spreadlab.catalog.registry import query
-from spreadlab.functions.columns import rnd, signed_log
+from spreadlab.functions.columns import rnd
 from spreadlab.learning import bootstrap, boosted, folds, importance, linear, metrics, scoring, selection, targets
-from spreadlab.operators import correlate, encode
+from spreadlab.operators import describe, encode, vintage
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
 START = "1996-01-01"
@@ -390,6 +390,46 @@ def model_comparison_by_hour(b):
     return rounded(m.select("model", "end_hour", "n", "r2", "mae"), ["r2", "mae"])
 
 
+@query("representative_hours", """
+    SELECT CAST(arg_max(end_hour, [round(ma, 9), -end_hour]) AS INT) AS best_hour, CAST(arg_min(end_hour, [round(ma, 9), end_hour]) AS INT) AS worst_hour,
+           CAST(arg_max(end_hour, [round(ma, 9), -end_hour]) FILTER (pos = (n + 1) // 2) AS INT) AS median_hour FROM (
+        SELECT *, row_number() OVER (ORDER BY round(ma, 9), end_hour) AS pos, count(*) OVER () AS n FROM (SELECT end_hour, avg(validation_accuracy) AS ma FROM hres GROUP BY 1))""", "pred", _RP + ", " + _HRES)
+def representative_hours(b):
+    h = metrics.hourly_performance(hour_results(b), 0.575).withColumn("mean_accuracy", F.round("mean_accuracy", 9))
+    return metrics.representative_hours(h)
+
+
+@query("model_error_histogram", f"""
+    SELECT model, CAST(bin AS INT) AS bin, {r6('any_value(lo + bin * (hi - lo) / 20)')} AS bin_start, CAST(count(*) AS BIGINT) AS n FROM (
+        SELECT model, lo, hi, least(floor((e - lo) / ((hi - lo) / 20)), 19) AS bin FROM er JOIN (SELECT model, min(e) AS lo, max(e) AS hi FROM er GROUP BY 1) USING (model)) GROUP BY 1, 2""", "pred",
+       _RP + ", er AS (SELECT 'prob' AS model, round(p - y, 9) AS e FROM rp UNION ALL SELECT 'zero', round(-y, 9) FROM rp)")
+def model_error_histogram(b):
+    r = reg_rows(b)
+    err = r.select(F.lit("prob").alias("model"), F.round(F.col("p") - F.col("actual_dart_slt_raw"), 9).alias("value")).unionByName(
+        r.select(F.lit("zero").alias("model"), F.round(-F.col("actual_dart_slt_raw"), 9).alias("value")))
+    return rounded(describe.histogram(err, ["model"], bins=20), ["bin_start"])
+
+
+@query("prediction_feature_series", f"""
+    SELECT settlement_point, utc_ts, end_hour, 'load' AS category, feature, {r6('value')} AS value, {r6('p')} AS prediction FROM (
+        SELECT p.settlement_point, p.utc_ts, p.end_hour, p.p, unnest(['load_forecast_click', 'load_forecast_view']) AS feature, unnest([w.load_forecast_click, w.load_forecast_view]) AS value
+        FROM rp p LEFT JOIN wide w ON w.utc_ts = p.utc_ts)""", "pred vint", _RP + ", " + _LATEST)
+def prediction_feature_series(b):
+    """Every series of a feature category beside the predictions, scaled names mapped to the base column."""
+    wide = vintage.vintage_wide(b.forecast_vintage, "value", ["click", "view"], "load_forecast_", tie="event_id")
+    d = wide.withColumnsRenamed({f"load_forecast_{z}": f"load_forecast_{z}_z" for z in ("click", "view")})
+    p = reg_rows(b).select("settlement_point", "utc_ts", "end_hour", F.col("p").alias("prediction"))
+    j = scoring.join_predictions(p, d, ["utc_ts"])
+    return rounded(scoring.feature_series(j, ["settlement_point", "utc_ts", "end_hour", "prediction"]), ["value", "prediction"])
+
+
+@query("coefficient_table", " UNION ALL ".join(f"""
+    SELECT end_hour, alpha, '{f}' AS feature, {r6(f'w{i}')} AS coefficient, {r6(f'abs(w{i})')} AS abs_coefficient, abs(w{i}) <= 1e-12 AS is_zero FROM lr""" for i, f in enumerate(FEATS)), "feats", _LAS)
+def coefficient_table(b):
+    c = linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", ALPHAS)
+    return rounded(linear.coefficient_table(c, ["end_hour", "alpha"]), ["coefficient", "abs_coefficient"])
+
+
 @query("prediction_dataset_join", f"""
     SELECT p.settlement_point, p.utc_ts, p.end_hour, {r6('p.p')} AS p, s.rt_spp_price, s.dam_spp_price FROM rp p LEFT JOIN spread s ON s.location = p.settlement_point AND s.utc_ts = p.utc_ts""", "pred", _RP)
 def prediction_dataset_join(b):
@@ -476,7 +516,7 @@ def bootstrap_oob_metrics(b):
 NAMES = {"l_quantity": "load_forecast_coast_slt", "l_discount": "wind_generation_STWPFWest_slt", "l_tax": "solar_STPPFFarWest_slt",
          "p_retailprice": "dart_slt_lag_24hr", "l_linenumber": "etf_dow_sin"}
 _IMP = "imp AS (" + " UNION ALL ".join(
-    f"SELECT year(utc_ts) AS week_num, end_hour, '{n}' AS feature, round(abs(corr({c}, y)), 9) AS importance FROM feats GROUP BY 1, 2" for c, n in NAMES.items()) + ")"
+    f"SELECT CAST(year(utc_ts) AS INT) AS week_num, end_hour, '{n}' AS feature, round(abs(corr({c}, y)), 9) AS importance FROM feats GROUP BY 1, 2" for c, n in NAMES.items()) + ")"
 _RK = _IMP + ", hi AS (SELECT end_hour, feature, round(avg(importance), 6) AS importance FROM imp GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY end_hour ORDER BY importance DESC, feature) - 1 AS rank FROM hi), top_ AS (SELECT * FROM rk WHERE rank < 3)"
 
 
@@ -550,6 +590,13 @@ def feature_stability(b):
     return rounded(importance.feature_stability(top_rows(b)), ["stability"])
 
 
+@query("stability_score", f"""
+    SELECT {r6('avg(1 / (1 + v))')} AS stability FROM (SELECT feature, var_pop(r) AS v FROM (
+        SELECT f.feature, coalesce(t.rank, 10) AS r FROM (SELECT DISTINCT feature FROM top_) f CROSS JOIN (SELECT DISTINCT end_hour FROM top_) h LEFT JOIN top_ t ON t.feature = f.feature AND t.end_hour = h.end_hour) GROUP BY 1)""", "feats", _RK)
+def stability_score(b):
+    return importance.feature_stability(top_rows(b)).agg(rnd(F.avg("stability")).alias("stability"))
+
+
 _CX = "cx AS (SELECT end_hour, round(sum(importance), 6) AS complexity FROM hi GROUP BY 1)"
 
 

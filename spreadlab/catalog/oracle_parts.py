@@ -19,7 +19,7 @@ _POINT = ("(CASE event_type WHEN 'error' THEN 'XX_' WHEN 'signup' THEN 'HB_' ELS
 PARTS: dict[str, tuple[str, str]] = {
     "ev": ("", "SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     "raw_rt": ("ev", f"""
-        SELECT CAST(ts AS DATE) AS deliveryDate, hour(ts) + 1 AS deliveryHour, minute(ts) // 15 + 1 AS deliveryInterval,
+        SELECT CAST(ts AS DATE) AS deliveryDate, CAST(hour(ts) + 1 AS INT) AS deliveryHour, CAST(minute(ts) // 15 + 1 AS INT) AS deliveryInterval,
                {_POINT} AS settlementPoint, CASE WHEN event_type = 'signup' THEN 'HU' ELSE 'LZ' END AS settlementPointType,
                value AS settlementPointPrice, k >= 50 AS DSTFlag
         FROM ev"""),
@@ -66,10 +66,10 @@ PARTS: dict[str, tuple[str, str]] = {
         SELECT o_orderdate AS utc_ts, o_orderpriority AS location, {r6('avg(o_totalprice)', 4)} AS price
         FROM orders GROUP BY 1, 2"""),
     "pred": ("spread", f"""
-        SELECT utc_ts, local_ts, hour(utc_ts) + 1 AS end_hour, location AS settlement_point,
+        SELECT utc_ts, local_ts, CAST(hour(utc_ts) + 1 AS INT) AS end_hour, location AS settlement_point,
                CAST(dart > 0 AS INT) AS actual_dart_slt, dart_slt AS actual_dart_slt_raw,
                CAST(p1 > 0.5 AS INT) AS predicted_dart_slt, {r6('1 - p1')} AS predicted_prob_class_0, p1 AS predicted_prob_class_1,
-               greatest({r6('1 - p1')}, p1) AS prediction_confidence, week(utc_ts) AS week_num
+               greatest({r6('1 - p1')}, p1) AS prediction_confidence, CAST(week(utc_ts) AS INT) AS week_num
         FROM (SELECT *, {r6('greatest(least(dam_spp_price / 100, 1.0), 0.0)')} AS p1 FROM spread WHERE dart IS NOT NULL)"""),
     "feats": ("", f"""
         SELECT CAST(l_orderkey % 24 + 1 AS INT) AS end_hour, l_shipdate AS utc_ts, l_orderkey, l_linenumber, l_quantity, l_discount, l_tax,

@@ -98,6 +98,13 @@ def score_linear(df: DataFrame, coefs: DataFrame, keys: list[str], features: lis
     return j.withColumn(out, total).drop("w")
 
 
+def coefficient_table(coefs: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame:
+    """Feature coefficients with their size and a zero flag."""
+    size = F.abs("coefficient")
+    return coefs.where(F.col("feature") != INTERCEPT).select(
+        *keys, "feature", "coefficient", size.alias("abs_coefficient"), (size <= eps).alias("is_zero"))
+
+
 def sparsity(coefs: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame:
     c = coefs.where(F.col("feature") != INTERCEPT)
     kept = F.abs("coefficient") > eps

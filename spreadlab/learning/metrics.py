@@ -123,3 +123,12 @@ def hourly_performance(results: DataFrame, baseline: float, hour: str = "end_hou
         F.avg(F.col("train_accuracy") - F.col("validation_accuracy")).alias("overfit_gap"), F.count_if(F.col("validation_accuracy") < baseline).alias("n_below_baseline"))
     top, low = Window.orderBy(F.col("mean_accuracy").desc(), hour), Window.orderBy("mean_accuracy", hour)  # 24 rows
     return h.withColumns({"is_top": F.row_number().over(top) <= best, "is_bottom": F.row_number().over(low) <= best})
+
+
+def representative_hours(perf: DataFrame, hour: str = "end_hour") -> DataFrame:
+    """Best, worst and (lower) median hour by mean accuracy; at most 24 rows come in."""
+    up = Window.orderBy("mean_accuracy", hour)
+    r = perf.select(hour, "mean_accuracy", F.row_number().over(up).alias("__pos"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("__n"))
+    best, worst = F.struct(F.col("mean_accuracy"), -F.col(hour)), F.struct("mean_accuracy", hour)
+    return r.agg(F.max_by(hour, best).alias("best_hour"), F.min_by(hour, worst).alias("worst_hour"),
+                 F.max(F.when(F.col("__pos") == F.floor((F.col("__n") + 1) / 2), F.col(hour))).alias("median_hour"))

@@ -33,3 +33,17 @@ def classified(scored: DataFrame, probability: str = "probability") -> DataFrame
     p = F.col(probability)
     return scored.withColumns({
         "predicted_prob_class_0": p[0], "predicted_prob_class_1": p[1], "prediction_confidence": F.array_max(p)})
+
+
+# Dashboard categories and the name prefix of their feature columns.
+SERIES_PREFIXES = {"load": "load_forecast_", "wind": "wind_generation_", "solar": "solar_"}
+
+
+def feature_series(joined: DataFrame, ids: list[str]) -> DataFrame:
+    """All load, wind and solar columns of a joined table as rows; a `_z` suffix is dropped from the name."""
+    owner = {c: k for c in joined.columns for k, p in SERIES_PREFIXES.items() if c.startswith(p)}
+    names = list(owner)
+    wide = joined.select(*ids, *[F.col(c).cast("double").alias(c) for c in names])
+    kind = F.create_map(*[x for c, k in owner.items() for x in (F.lit(c), F.lit(k))])
+    long = wide.unpivot(ids, names, "__c", "value")
+    return long.select(*ids, kind[F.col("__c")].alias("category"), F.regexp_replace("__c", "_z$", "").alias("feature"), "value")
