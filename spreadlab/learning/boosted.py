@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.learning.folds import assign_folds
 from spreadlab.learning.scoring import classified
+from spreadlab.session import join_measured, materialise
 from spreadlab.sources.tables import union_all
 
 
@@ -49,7 +50,7 @@ def hours_of(df: DataFrame, hour: str) -> list[int]:
 def with_class_weight(train: DataFrame, hour: str) -> DataFrame:
     """Positive rows weigh negatives / positives of their hour."""
     w = train.groupBy(hour).agg(F.count_if(F.col("label") == 0).alias("__neg"), F.count_if(F.col("label") == 1).alias("__pos"))
-    return train.join(w, hour).withColumn(
+    return join_measured(train, w, [hour]).withColumn(
         "weight", F.when((F.col("label") == 1) & (F.col("__pos") > 0), F.col("__neg") / F.col("__pos")).otherwise(1.0)).drop("__neg", "__pos")
 
 
@@ -89,7 +90,7 @@ def complexity_rows(models: dict[int, object]) -> list[tuple]:
 def walk_forward(data: DataFrame, make: Callable, weeks: list[int], start: str, hour: str = "end_hour", ts: str = "utc_ts",
                  midnight_cut: bool = False, classifier: bool = True) -> DataFrame:
     """Refit per week on all earlier rows and keep the week's validation predictions."""
-    f = assign_folds(data, start, ts, midnight_cut).persist()
+    f = materialise(assign_folds(data, start, ts, midnight_cut))
     parts = []
     for w in weeks:
         train = f.where(F.col("first_train_week") <= w)

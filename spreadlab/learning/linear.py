@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from spreadlab.functions.columns import POISSON_ZERO, poisson_weight, uniform_hash
 from spreadlab.learning.folds import assign_folds
 from spreadlab.operators.correlate import co_moments
+from spreadlab.session import join_measured
 
 INTERCEPT = "(intercept)"
 
@@ -91,7 +92,7 @@ def packed_coefficients(coefs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def score_linear(df: DataFrame, coefs: DataFrame, keys: list[str], features: list[str], out: str = "prediction") -> DataFrame:
-    j = df.join(packed_coefficients(coefs, keys), keys)
+    j = join_measured(df, packed_coefficients(coefs, keys), keys)
     total = F.col("w")[INTERCEPT]
     for f in features:
         total = total + F.col("w")[f] * F.col(f)
@@ -126,7 +127,7 @@ def replicates(df: DataFrame, row_id: Column, n: int, seed: int = 0) -> DataFram
 def weighted_moments(df: DataFrame, keys: list[str], columns: list[str], base: DataFrame, base_keys: list[str], weight: str = "weight") -> DataFrame:
     """Weighted population co-moments in the layout of co_moments, on values shifted by the mean of the uncopied rows."""
     shift = base.groupBy(*base_keys).agg(*[F.avg(c).alias(f"__s_{c}") for c in columns])
-    j = df.join(shift, base_keys)
+    j = join_measured(df, shift, base_keys)
     v = {c: F.col(c) - F.col(f"__s_{c}") for c in columns}
     w = F.col(weight).cast("double")
     pairs = [(i, k) for i in range(len(columns)) for k in range(i, len(columns))]
@@ -186,7 +187,7 @@ def walk_forward_linear(df: DataFrame, keys: list[str], features: list[str], tar
     shift = f.groupBy(*keys).agg(*[F.avg(c).alias(f"__s_{c}") for c in cols])
     v = {c: F.col(c) - F.col(f"__s_{c}") for c in cols}
     pairs = [(i, k) for i in range(len(cols)) for k in range(i, len(cols))]
-    sums = f.join(shift, keys).groupBy(*keys, F.col("first_train_week").alias("week_num")).agg(
+    sums = join_measured(f, shift, keys).groupBy(*keys, F.col("first_train_week").alias("week_num")).agg(
         F.count("*").alias("__n"), *[F.sum(v[c]).alias(f"__m_{c}") for c in cols], *[F.sum(v[cols[i]] * v[cols[k]]).alias(f"__p_{i}_{k}") for i, k in pairs])
     parts = ["__n", *[f"__m_{c}" for c in cols], *[f"__p_{i}_{k}" for i, k in pairs]]
     # One row per (group, week to predict) among the (group, week) sums: calendar-sized.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import col, ratio
 from spreadlab.operators.blocks import previous, time_block
+from spreadlab.session import join_measured
 
 
 def finite(c: str | Column) -> Column:
@@ -47,7 +48,7 @@ def spike_metrics(df: DataFrame, keys: list[str], actual: str, predicted: str, s
     q = pairs(df, actual, predicted)
     cut = q.groupBy(*keys).agg((F.avg("__y") + sigmas * F.stddev_pop("__y")).alias("__cut"))
     t, p = F.col("__y") > F.col("__cut"), F.col("__p") > F.col("__cut")
-    c = q.join(cut, keys).groupBy(*keys).agg(
+    c = join_measured(q, cut, keys).groupBy(*keys).agg(
         F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"),
         F.count_if(t).alias("spike_count_true"), F.count_if(p).alias("spike_count_pred"))
     some = (F.col("tp") + F.col("fp") + F.col("fn")) > 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import col, ratio
+from spreadlab.session import join_measured
 
 
 def sign_class(c: str | Column) -> Column:
@@ -48,6 +49,6 @@ def train_zscore(df: DataFrame, columns: list[str], keys: list[str], is_train: C
     """Scale all rows by mean and sample deviation of the training rows; a constant column divides by 1."""
     t = lambda c: F.when(is_train, F.col(c))
     stats = df.groupBy(*keys).agg(*[e for i, c in enumerate(columns) for e in (F.avg(t(c)).alias(f"__m{i}"), F.stddev_samp(t(c)).alias(f"__s{i}"))])
-    j = df.join(stats, keys, "left")
+    j = join_measured(df, stats, keys, "left")
     sd = lambda i: F.when(F.col(f"__s{i}") > 1e-12, F.col(f"__s{i}")).otherwise(1.0)
     return j.select(*df.columns, *[((F.col(c) - F.col(f"__m{i}")) / sd(i)).alias(f"{c}_z") for i, c in enumerate(columns)])

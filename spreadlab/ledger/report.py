@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spreadlab.functions.columns import kurtosis_of, skew_of
 from spreadlab.operators.blocks import running, time_block
 from spreadlab.operators.quantiles import exact_quantiles, with_quantiles
+from spreadlab.session import join_measured
 
 KEYS = ["strategy", "settlement_point"]
 
@@ -81,7 +82,7 @@ def hourly_risk(t: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     base = t.groupBy(*by).agg(
         F.min("pnl").alias("max_loss"), F.max("pnl").alias("max_gain"), F.stddev_samp("pnl").alias("volatility"), skew_of("pnl").alias("skewness"),
         kurtosis_of("pnl").alias("kurtosis"), F.when(loss > 0, gain / loss).otherwise(F.lit(float("inf"))).alias("profit_factor"))
-    tail = t.join(cut, by).where(F.col("pnl") <= F.col("var_95")).groupBy(*by).agg(F.avg("pnl").alias("cvar_95"))
+    tail = join_measured(t, cut, by).where(F.col("pnl") <= F.col("var_95")).groupBy(*by).agg(F.avg("pnl").alias("cvar_95"))
     return with_quantiles(base, cut, by).join(tail, by, "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.operators.describe import fill_slots
 from spreadlab.operators.quantiles import exact_quantiles
+from spreadlab.session import join_measured
 
 POINT = ["settlement_point"]
 DIRECTIONS = ["long", "short", "no_trade"]
@@ -41,7 +42,7 @@ def hour_thresholds(pred: DataFrame, keys: list[str] = POINT, percentile: float
     conf = pred.select(*keys, "end_hour", confidence(pred.columns).alias("conf"))
     cut = exact_quantiles(conf, [*keys, "end_hour"], "conf", {"cut": percentile})
     median = exact_quantiles(conf, keys, "conf", {"median": 0.5})
-    counts = conf.join(cut, [*keys, "end_hour"]).groupBy(*keys, "end_hour").agg(
+    counts = join_measured(conf, cut, [*keys, "end_hour"]).groupBy(*keys, "end_hour").agg(
         F.max("cut").alias("cut"), F.count("conf").alias("total_predictions"), F.count_if(F.col("conf") >= F.col("cut")).alias("n_above"))
     full = fill_slots(counts, keys, "end_hour", list(range(1, 25)), ["total_predictions", "n_above"])
     return full.join(median, keys).select(
@@ -55,7 +56,7 @@ def sign_prob_signal(pred: DataFrame, thresholds: DataFrame, keys: list[str] = P
     Thresholds may come from another split; taking them from the traded rows looks ahead.
     """
     p = pred.withColumn("confidence", confidence(pred.columns))
-    j = p.join(thresholds.select(*keys, "end_hour", "threshold"), [*keys, "end_hour"], "left")
+    j = join_measured(p, thresholds.select(*keys, "end_hour", "threshold"), [*keys, "end_hour"], "left")
     go = F.col("confidence") >= F.col("threshold")
     side = F.when(F.col("predicted_dart_slt") == 1, "long").otherwise("short")
     return j.withColumn("direction", F.when(go, side).otherwise("no_trade"))

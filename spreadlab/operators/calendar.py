@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import col, cyclic
+from spreadlab.session import join_measured
 
 # Fixed-date holidays (name, month, day, first year, moved to a weekday when on a weekend).
 FIXED_DATES = [
@@ -123,7 +124,7 @@ def holiday_calendar(df: DataFrame, ts: str = "utc_ts", pad_years: int = 1) -> D
 def holiday_features(df: DataFrame, ts: str = "utc_ts", pad_years: int = 1) -> DataFrame:
     """Holiday distance and proximity columns on the UTC date."""
     cal = holiday_calendar(df, ts, pad_years)
-    j = df.withColumn("day", F.to_date(ts)).join(cal, "day", "left").drop("day")
+    j = join_measured(df.withColumn("day", F.to_date(ts)), cal, ["day"], "left").drop("day")
     to, frm = F.col("etf_days_to_holiday"), F.col("etf_days_from_holiday")
     return j.withColumns({
         "etf_is_pre_holiday": (to <= 1) & (to > 0), "etf_is_post_holiday": (frm <= 1) & (frm > 0),

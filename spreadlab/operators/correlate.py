@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadlab.functions.columns import ratio
+from spreadlab.session import join_measured
 
 JVM_COLUMNS = 12
+HELD_CELLS = 8_000_000  # doubles a task keeps before it passes sums on
 
 
 def co_moments(df: DataFrame, keys: list[str], columns: list[str], jvm_columns: int = JVM_COLUMNS) -> DataFrame:
@@ -30,19 +32,28 @@ def co_moments(df: DataFrame, keys: list[str], columns: list[str], jvm_columns:
             for i, j in pairs])
         return src.groupBy(*keys).agg(packed.alias("m")).select(*keys, F.inline("m"))
     means = src.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in columns]).alias("means"))
-    centred = src.join(means.select(*keys, "means"), keys).select(
+    centred = join_measured(src, means.select(*keys, "means"), keys).select(
         *keys, F.array(*[F.col(c) - F.col("means")[i] for i, c in enumerate(columns)]).alias("x"))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())])
     iu, ju = np.triu_indices(len(columns))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for key, g in held.items():
+                head = {k: pd.Series([v] * len(iu), dtype="object") for k, v in zip(keys, key)}
+                yield pd.DataFrame({**head, "i": iu.astype("int32"), "j": ju.astype("int32"), "s": g[iu, ju]})
+            held.clear()
+
         for pdf in batches:
             for key, part in pdf.groupby(keys, dropna=False, sort=False):
                 x = np.vstack(part["x"].to_numpy())
-                g = x.T @ x
-                out = {k: [v] * len(iu) for k, v in zip(keys, key if isinstance(key, tuple) else (key,))}
-                yield pd.DataFrame({**out, "i": iu.astype("int32"), "j": ju.astype("int32"), "s": g[iu, ju]})
+                held[key] = held.get(key, 0.0) + x.T @ x
+            if len(held) * len(columns) ** 2 > HELD_CELLS:
+                yield from flush()
+        yield from flush()
 
     sums = centred.mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
     names = F.array(*[F.lit(c) for c in columns])
@@ -98,7 +109,7 @@ def feature_relation(df: DataFrame, x: str, y: str, keys: list[str], hour: str =
         F.corr("x", "y").alias("correlation"))
     enough = base.groupBy(*keys).agg(F.sum("n_points").alias("__t")).where(F.col("__t") >= min_total).drop("__t")
     base = base.join(enough, keys, "left_semi").where(F.col("n_points") >= min_hour)
-    c = src.join(base.select(*by, F.col("mean_x").alias("__mx"), F.col("mean_y").alias("__my")), by)
+    c = join_measured(src, base.select(*by, F.col("mean_x").alias("__mx"), F.col("mean_y").alias("__my")), by)
     u, v = F.col("x") - F.col("__mx"), F.col("y") - F.col("__my")
     q = c.groupBy(*by).agg(F.covar_pop(u, u).alias("uu"), F.covar_pop(u, u * u).alias("uw"), F.covar_pop(u * u, u * u).alias("ww"),
                            F.covar_pop(u, v).alias("uy"), F.covar_pop(u * u, v).alias("wy"), F.covar_pop(v, v).alias("yy"))

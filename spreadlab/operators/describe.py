@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import col, normal_ppf, ratio
 from spreadlab.operators.quantiles import exact_quantiles, order_positions, with_quantiles
+from spreadlab.session import join_measured
 
 POINT = ["location", "location_type"]
 # Percentiles reported for a distribution.
@@ -118,7 +119,7 @@ def histogram(df: DataFrame, keys: list[str], value: str = "value", bins: int =
     rng = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     raw = F.when(width > 0, F.floor((F.col(value) - F.col("lo")) / width)).otherwise(0)
-    binned = df.where(F.col(value).isNotNull()).join(rng, keys).withColumn("bin", F.least(raw.cast("int"), F.lit(bins - 1)))
+    binned = join_measured(df.where(F.col(value).isNotNull()), rng, keys).withColumn("bin", F.least(raw.cast("int"), F.lit(bins - 1)))
     return binned.groupBy(*keys, "bin", "lo", "hi").agg(F.count("*").alias("n")).select(
         *keys, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), "n")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadlab.functions.columns import col, uniform_hash
+from spreadlab.functions.columns import uniform_hash
+from spreadlab.session import join_measured
 
 KEYS = ["location", "location_type"]
 
@@ -47,7 +48,7 @@ def zscore(df: DataFrame, columns: list[str], keys: list[str] = KEYS, suffix: st
     """
     stats = df.groupBy(*keys).agg(*[e for i, c in enumerate(columns) for e in (
         F.avg(c).alias(f"__m{i}"), F.stddev_pop(c).alias(f"__s{i}"))])
-    j = df.join(stats, keys, "left")
+    j = join_measured(df, stats, keys, "left")
     return j.select(*df.columns, *[
         ((F.col(c) - F.col(f"__m{i}")) / F.when(F.col(f"__s{i}") > 1e-12, F.col(f"__s{i}")).otherwise(1.0)).alias(f"{c}{suffix}")
         for i, c in enumerate(columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spreadlab.functions.columns import corrected_kurtosis, corrected_skew
 from spreadlab.operators.blocks import BLK, DAY, own_rows, previous, row_numbers, running, time_block, with_halo
 from spreadlab.operators.describe import fill_slots
+from spreadlab.session import join_measured
 
 POINT = ["location", "location_type"]
 
@@ -20,7 +21,7 @@ def moving_window_stats(df: DataFrame, value: str = "dart_slt", hours: int = 168
     """
     src = df.where(F.col(value).isNotNull()).select(*keys, ts, value)
     centre = src.groupBy(*keys).agg(F.avg(value).alias("__c"))
-    src = src.join(centre, keys).withColumn("__x", F.col(value) - F.col("__c")).withColumn("__us", F.unix_micros(ts))
+    src = join_measured(src, centre, keys).withColumn("__x", F.col(value) - F.col("__c")).withColumn("__us", F.unix_micros(ts))
     back = hours * 3600 * 1000000
     width = max(block_days * DAY * 1000000, 2 * back)
     h = with_halo(src, F.col("__us"), width, back)
@@ -50,7 +51,7 @@ def rolling_autocorr(df: DataFrame, value: str = "dart_slt", lag: int = 24, hour
     """
     src = df.where(F.col(value).isNotNull()).select(*keys, ts, value)
     centre = src.groupBy(*keys).agg(F.avg(value).alias("__c"))
-    src = row_numbers(src.join(centre, keys).withColumn("__x", F.col(value) - F.col("__c")), keys, ts, time_block(ts), "__rn")
+    src = row_numbers(join_measured(src, centre, keys).withColumn("__x", F.col(value) - F.col("__c")), keys, ts, time_block(ts), "__rn")
     src = src.withColumn("__us", F.unix_micros(ts))
     back = hours * 3600 * 1000000
     h = with_halo(src, F.col("__us"), max(block_days * DAY * 1000000, 2 * back), back)

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "spreadlab", cores: str | None = None) -> SparkSession:
@@ -51,3 +52,18 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+BROADCAST_ROWS = 500_000
+
+
+def join_measured(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join rows to a table with one row per group, broadcasting it only after counting it.
+
+    The planner sizes an aggregate by its input and would shuffle all rows by group, hot
+    groups included. The group table is computed once, counted, and broadcast when it is
+    small; beyond the limit the join stays a shuffle join.
+    """
+    table = materialise(small)
+    fits = table.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(table) if fits else table, keys, how)
