@@ -8,7 +8,7 @@ from spreadlab.catalog.features import ZONES, _LATEST
 from spreadlab.catalog.oracle_models import lloyd_ctes
 from spreadlab.catalog.oracle_parts import r6, slt
 from spreadlab.catalog.registry import query
-from spreadlab.functions.columns import rnd, signed_log
+from spreadlab.functions.columns import PPF_A, PPF_B, PPF_C, PPF_D, PPF_LOW, rnd, signed_log
 from spreadlab.operators import calendar, cluster, correlate, describe as ds, encode, moving, spectrum, vintage
 
 PT = ["location", "location_type"]
@@ -27,9 +27,6 @@ def cal(b):
 
 CAL = "cal AS (SELECT *, CAST(isodow(local_ts) - 1 AS INT) AS day_of_week, CAST(hour(local_ts) + 1 AS INT) AS end_of_hour, isodow(local_ts) >= 6 AS is_weekend FROM spread)"
 
-# Ppf constants as SQL text come from the column library, evaluated by the other engine.
-from spreadlab.functions.columns import PPF_A, PPF_B, PPF_C, PPF_D, PPF_LOW  # noqa: E402
-
 
 def _horner(coefs, x):
     out = repr(coefs[0])
@@ -489,9 +486,6 @@ def top_correlations(b):
     return rounded(correlate.top_correlations(c, ["end_hour"], "y", 3), ["r"])
 
 
-_NZ = " AND ".join(f"{z} IS NOT NULL" for z in ("l_quantity", "l_discount"))
-
-
 @query("correlation_nonzero", f"""
     SELECT end_hour, CAST(count(*) AS BIGINT) AS n, {r6('corr(l_discount, y)')} AS r FROM feats WHERE abs(l_discount) + abs(l_tax) <> 0 GROUP BY 1""", "feats")
 def correlation_nonzero(b):

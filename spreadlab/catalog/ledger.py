@@ -54,6 +54,11 @@ def ledger_rows(b, k0=K0):
     return book.capital_ledger(book.bet_pnl(signal_rows(b), COST), k0, COST)
 
 
+def kept_ledger(b):
+    """Ledger written once, for reports that read it several times."""
+    return materialise(ledger_rows(b))
+
+
 def trade_rows(b, k0=K0):
     return book.trades(ledger_rows(b, k0))
 
@@ -138,7 +143,7 @@ _PSQL = ("SELECT strategy, settlement_point, CAST(total_trades AS BIGINT) AS tot
 
 @query("strategy_performance", _PSQL, "pred", LED + ", " + _PERF)
 def strategy_performance(b):
-    return rounded(book.performance(ledger_rows(b), K0, COST), _PNUM)
+    return rounded(book.performance(kept_ledger(b), K0, COST), _PNUM)
 
 
 @query("sharpe_ratio", f"SELECT strategy, settlement_point, {r6('sharpe_ratio')} AS sharpe_ratio FROM risk", "pred", LED + ", " + _PERF)
@@ -156,7 +161,7 @@ def max_drawdown(b):
            format('{:,}', total_trades) AS trades, printf('%.3f', round_even(sharpe_ratio, 3)) AS sharpe, printf('%.2f', round_even(max_drawdown_pct, 2)) AS max_drawdown,
            replace(format('{:,.2f}', round_even(final_capital, 2)), ' ', '') AS capital FROM full_""", "pred", LED + ", " + _PERF)
 def strategy_comparison(b):
-    return report.comparison_text(book.performance(ledger_rows(b), K0, COST))
+    return report.comparison_text(book.performance(kept_ledger(b), K0, COST))
 
 
 _HM = f"""hm AS (SELECT strategy, settlement_point, entry_hour AS hour, count(*) AS total_trades, sum(pnl) AS total_pnl, avg(pnl) AS avg_pnl, count_if(pnl > 0) AS winning_trades,
@@ -206,7 +211,7 @@ def hour_summary_formatted(b):
            count(t.pnl) = 0 AS no_trades, FALSE AS not_boolean, coalesce(avg(CAST(t.correct_prediction AS INT)) > 0.9 AND sum(t.pnl) < -100, FALSE) AS suspicious
     FROM (SELECT DISTINCT strategy, settlement_point FROM sig) s LEFT JOIN trd t ON t.strategy = s.strategy AND t.settlement_point = s.settlement_point GROUP BY 1, 2""", "pred", LED)
 def ledger_consistency(b):
-    led = ledger_rows(b)
+    led = kept_ledger(b)
     return rounded(report.ledger_consistency(book.trades(led), led), ["accuracy", "total_pnl"])
 
 
@@ -218,7 +223,7 @@ def ledger_consistency(b):
     FROM trd t JOIN (SELECT strategy, settlement_point, entry_hour, quantile_cont(pnl, 0.05) AS v FROM trd GROUP BY 1, 2, 3) q
       ON q.strategy = t.strategy AND q.settlement_point = t.settlement_point AND q.entry_hour = t.entry_hour GROUP BY 1, 2, 3""", "pred", LED)
 def hourly_risk(b):
-    r = rounded(report.hourly_risk(trade_rows(b)), ["var_95", "cvar_95", "max_loss", "max_gain", "volatility"])
+    r = rounded(report.hourly_risk(book.trades(kept_ledger(b))), ["var_95", "cvar_95", "max_loss", "max_gain", "volatility"])
     r = rounded(r, ["skewness", "kurtosis"], 5)
     return r.withColumn("profit_factor", F.when(F.col("profit_factor") < 1e300, rnd("profit_factor")).otherwise(F.col("profit_factor")))
 

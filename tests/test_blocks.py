@@ -27,10 +27,13 @@ def series(spark):
     return spark.createDataFrame(rows, "location string, location_type string, i long, utc_ts timestamp, v double").cache()
 
 
+def text(v):
+    return f"{v:.7f}" if isinstance(v, float) else str(v)
+
+
 def same(a, b, cols):
-    key = lambda df: sorted(tuple(None if v is None else (round(v, 8) if isinstance(v, float) else v) for v in r) for r in df.select(*cols).collect()) if False else \
-        sorted((tuple("None" if v is None else (f"{v:.7f}" if isinstance(v, float) else str(v)) for v in r) for r in df.select(*cols).collect()))
-    assert key(a) == key(b)
+    rows = lambda df: sorted(tuple(text(v) for v in r) for r in df.select(*cols).collect())
+    assert rows(a) == rows(b)
 
 
 KEYS = ["location", "location_type"]
