@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 
 # Input column names published by the market operator.
 LOAD_ZONES = ["coast", "east", "farWest", "north", "northCentral", "southCentral", "southern", "west"]
-_WIND_REGIONS = ["Coastal", "North", "Panhandle", "South", "SystemWide", "West"]
-_SOLAR_REGIONS = ["CenterEast", "CenterWest", "FarEast", "FarWest", "NorthWest", "SouthEast", "SystemWide"]
-WIND_ZONES = sorted(
-    [f"{m}{r}" for m in ("COPHSL", "gen", "STWPF", "WGRPP") for r in _WIND_REGIONS] + ["HSLSystemWide"]
-)
-SOLAR_ZONES = sorted(
-    [f"{m}{r}" for m in ("COPHSL", "gen", "PVGRPP", "STPPF") for r in _SOLAR_REGIONS] + ["HSLSystemWide"]
-)
-# Settlement points that can be collected; the first list entry set is a parameter.
+WIND_ZONES = [
+    "COPHSLCoastal", "COPHSLNorth", "COPHSLPanhandle", "COPHSLSouth", "COPHSLSystemWide", "COPHSLWest",
+    "genCoastal", "genNorth", "genPanhandle", "genSouth", "genSystemWide", "genWest", "HSLSystemWide",
+    "STWPFCoastal", "STWPFNorth", "STWPFPanhandle", "STWPFSouth", "STWPFSystemWide", "STWPFWest",
+    "WGRPPCoastal", "WGRPPNorth", "WGRPPPanhandle", "WGRPPSouth", "WGRPPSystemWide", "WGRPPWest",
+]
+SOLAR_ZONES = [
+    "COPHSLCenterEast", "COPHSLCenterWest", "COPHSLFarEast", "COPHSLFarWest", "COPHSLNorthWest", "COPHSLSouthEast", "COPHSLSystemWide",
+    "genCenterEast", "genCenterWest", "genFarEast", "genFarWest", "genNorthWest", "genSouthEast", "genSystemWide", "HSLSystemWide",
+    "PVGRPPCenterEast", "PVGRPPCenterWest", "PVGRPPFarEast", "PVGRPPFarWest", "PVGRPPNorthWest", "PVGRPPSouthEast", "PVGRPPSystemWide",
+    "STPPFCenterEast", "STPPFCenterWest", "STPPFFarEast", "STPPFFarWest", "STPPFNorthWest", "STPPFSouthEast", "STPPFSystemWide",
+]
+# Settlement points that can be collected; queries take the wanted ones as a parameter.
 SETTLEMENT_POINTS = [
     "HB_BUSAVG", "HB_HOUSTON", "HB_HUBAVG", "HB_NORTH", "HB_PAN", "HB_SOUTH", "HB_WEST",
     "LZ_AEN", "LZ_CPS", "LZ_HOUSTON", "LZ_LCRA", "LZ_NORTH", "LZ_RAYBN", "LZ_SOUTH", "LZ_WEST",
