@@ -305,6 +305,19 @@ def null_profile(b):
     return clean.null_profile(b.raw_zones)
 
 
+@query("table_profile", """
+    SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count_if(price IS NULL) AS BIGINT) AS n_null_cells, CAST(5 AS INT) AS n_columns, 'hour_local' AS missing_columns FROM (
+        SELECT settlementPointPrice AS price FROM raw_dam WHERE settlementPoint[1:3] IN ('LZ_', 'HB_'))""", "raw_dam")
+def table_profile(b):
+    return clean.table_profile(clean.clean_dam(etl.normalise_hourly(b.raw_dam)))
+
+
+@query("duplicate_prices", """
+    SELECT utc_ts, settlementPoint AS location, CAST(count(*) AS BIGINT) AS n_rows FROM rt_norm WHERE settlementPoint[1:3] IN ('LZ_', 'HB_') GROUP BY 1, 2 HAVING count(*) > 1""", "raw_rt", _RT_NORM)
+def duplicate_prices(b):
+    return target.duplicate_prices(clean.clean_rt(etl.normalise_rt(b.raw_rt)))
+
+
 @query("late_null_report", """
     SELECT location, location_type, CAST(count_if(dart IS NULL) AS BIGINT) AS n_null,
            CAST(count_if(dart IS NULL AND CAST(utc_ts AS DATE) - first_day >= 1) AS BIGINT) AS n_late_null

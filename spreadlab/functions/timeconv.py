@@ -50,7 +50,7 @@ def utc_to_local(c: str | Column, tz: str = MARKET_TZ) -> Column:
 def shift_seconds(ts: str | Column, seconds: Column | int) -> Column:
     """Add seconds to an instant without calendar arithmetic."""
     s = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return F.timestamp_seconds(F.unix_micros(col(ts)) / F.lit(1000000) + s)
+    return F.timestamp_micros(F.unix_micros(col(ts)) + s.cast("bigint") * 1000000)
 
 
 def add_minutes(ts: str | Column, minutes: Column) -> Column:

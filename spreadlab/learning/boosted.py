@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spreadlab.learning.folds import assign_folds
 from spreadlab.learning.scoring import classified
+from spreadlab.learning.selection import TUNED_PRESET
 from spreadlab.session import join_measured, materialise
 from spreadlab.sources.tables import union_all
 
@@ -37,6 +38,13 @@ def gbt_classifier(trees: int = 20, depth: int = 3, rate: float = 0.1, subsample
     return g.setWeightCol("weight") if weighted else g
 
 
+def tuned_classifier(preset: dict | None = None, seed: int = 42) -> GBTClassifier:
+    """Classifier from a tuned parameter set; MLlib has no L1 / L2 terms, the rest carries over."""
+    p = preset or TUNED_PRESET
+    g = gbt_classifier(p["n_estimators"], p["max_depth"], p["learning_rate"], p["subsample"], seed)
+    return g.setMinInstancesPerNode(p["min_child_weight"])
+
+
 def forest_classifier(trees: int = 20, depth: int = 5, seed: int = 42) -> RandomForestClassifier:
     """For more than two classes."""
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)

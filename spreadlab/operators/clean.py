@@ -85,6 +85,24 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+# Columns every normalised table should carry.
+CANONICAL_COLUMNS = ["utc_ts", "local_ts", "hour_local"]
+
+
+def table_profile(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, canonical columns absent, cells that are null."""
+    absent = [c for c in CANONICAL_COLUMNS if c not in df.columns]
+    nulls = F.lit(0)
+    for c in df.columns:
+        nulls = nulls + F.count_if(F.col(c).isNull())
+    return df.agg(F.count("*").alias("n_rows"), nulls.cast("long").alias("n_null_cells")).withColumns({
+        "n_columns": F.lit(len(df.columns)), "missing_columns": F.lit(",".join(absent))})
+
+
+def with_hour_local(df: DataFrame, local: str = "local_ts") -> DataFrame:
+    return df.withColumn("hour_local", F.hour(local))
+
+
 def validate_not_null(df: DataFrame, columns: list[str]) -> DataFrame:
     return null_profile(df.select(*columns)).withColumn("passed", F.col("n_null") == 0)
 

@@ -22,6 +22,6 @@ def dart_target(rt: DataFrame, dam: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_prices(dam: DataFrame) -> DataFrame:
-    """Keys that would fan out the left join; expected to be empty."""
-    return dam.groupBy("utc_ts", "location").agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+def duplicate_prices(prices: DataFrame, keys: tuple[str, ...] = ("utc_ts", "location")) -> DataFrame:
+    """Keys with several prices, which would fan out the left join; empty for a sound day-ahead table."""
+    return prices.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")

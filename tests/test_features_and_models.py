@@ -314,3 +314,30 @@ def test_boosted_walk_forward(spark):
     assert {r.week_num for r in rows} == {1, 2} and len(rows) == 168
     assert sum(r.label == r.prediction for r in rows) / len(rows) > 0.9
     assert all(r.prediction_confidence >= 0.5 for r in rows)
+
+
+def test_tuned_preset_maps_to_the_classifier(spark):
+    g = boosted.tuned_classifier()
+    assert (g.getMaxIter(), g.getMaxDepth(), g.getStepSize(), g.getSubsamplingRate(), g.getMinInstancesPerNode()) == (72, 5, 0.05, 0.8, 3)
+
+
+def test_measured_join_gives_the_same_rows_on_both_paths(spark):
+    from spreadlab.session import join_measured
+
+    a = spark.createDataFrame([(i % 5, float(i)) for i in range(50)], "k int, v double")
+    m = a.groupBy("k").agg(F.avg("v").alias("m"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(join_measured(a, m, ["k"])) == rows(join_measured(a, m, ["k"], max_rows=2)) == rows(a.join(m, "k"))
+
+
+def test_null_series_keys_are_kept(spark):
+    from pyspark.sql import Window
+
+    from spreadlab.operators import blocks
+
+    t = D("2024-01-01 00:00")
+    df = spark.createDataFrame([(None if i % 2 else "a", t + dt.timedelta(days=i), float(i)) for i in range(40)], "k string, ts timestamp, v double")
+    got = blocks.running(df, ["k"], "ts", blocks.time_block("ts", 3), s=("sum", "v"))
+    w = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    key = lambda d: sorted((str(r.k), r.ts, r.s) for r in d.collect())
+    assert key(got) == key(df.withColumn("s", F.sum("v").over(w)))
