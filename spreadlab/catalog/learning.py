@@ -207,7 +207,7 @@ def walk_forward_predictions(b):
 
 def _boost_data(b, label):
     f = feats(b).withColumn("label_", label).withColumn("split", F.when(F.year("utc_ts") < 2000, "train").otherwise("validation"))
-    return boosted.assembled(f, FEATS, "label_", "end_hour", ["utc_ts", "l_orderkey", "l_linenumber", "split"])
+    return boosted.partitioned_by_hour(boosted.assembled(f, FEATS, "label_", "end_hour", ["utc_ts", "l_orderkey", "l_linenumber", "split"]))
 
 
 def _classifier_scores(b):

@@ -6,6 +6,7 @@ several fits in flight; each fit itself is a distributed job over that hour's ro
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from spreadlab.learning.folds import assign_folds
 from spreadlab.learning.scoring import classified
 from spreadlab.learning.selection import TUNED_PRESET
-from spreadlab.session import join_measured, materialise
+from spreadlab.session import checkpoint_dir, join_measured
 from spreadlab.sources.tables import union_all
 
 
@@ -50,6 +51,18 @@ def forest_classifier(trees: int = 20, depth: int = 5, seed: int = 42) -> Random
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
 
+def partitioned_by_hour(df: DataFrame, hour: str = "end_hour", files_per_hour: int = 16) -> DataFrame:
+    """Write rows once under a directory per hour in the shared checkpoint folder.
+
+    The 24 fits and scorings then each read their own directory instead of filtering all
+    rows; rows of one hour spread over several writers by a hash of their values.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/hours-{uuid.uuid4().hex}"
+    plain = [c for c in df.columns if c != "features"]
+    df.repartition(F.col(hour), F.pmod(F.xxhash64(*plain), F.lit(files_per_hour))).write.partitionBy(hour).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def hours_of(df: DataFrame, hour: str) -> list[int]:
     """Distinct delivery hours, at most 24."""
     return [r[0] for r in df.select(hour).where(F.col(hour).between(1, 24)).distinct().orderBy(hour).collect()]
@@ -63,15 +76,11 @@ def with_class_weight(train: DataFrame, hour: str) -> DataFrame:
 
 
 def fit_hours(train: DataFrame, make: Callable, hour: str = "end_hour", parallel: int = 4) -> dict[int, object]:
-    """Fit one model per hour on its rows; hours run side by side."""
-    train = train.persist()
-    try:
-        hours = hours_of(train, hour)
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            models = list(pool.map(lambda h: make().fit(train.where(F.col(hour) == h)), hours))
-        return dict(zip(hours, models))
-    finally:
-        train.unpersist()
+    """Fit one model per hour on its rows, several hours side by side; `train` should be partitioned by hour."""
+    hours = hours_of(train, hour)
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        models = list(pool.map(lambda h: make().fit(train.where(F.col(hour) == h)), hours))
+    return dict(zip(hours, models))
 
 
 def score_hours(data: DataFrame, models: dict[int, object], hour: str = "end_hour", classifier: bool = False) -> DataFrame:
@@ -98,7 +107,7 @@ def complexity_rows(models: dict[int, object]) -> list[tuple]:
 def walk_forward(data: DataFrame, make: Callable, weeks: list[int], start: str, hour: str = "end_hour", ts: str = "utc_ts",
                  midnight_cut: bool = False, classifier: bool = True) -> DataFrame:
     """Refit per week on all earlier rows and keep the week's validation predictions."""
-    f = materialise(assign_folds(data, start, ts, midnight_cut))
+    f = partitioned_by_hour(assign_folds(data, start, ts, midnight_cut), hour)
     parts = []
     for w in weeks:
         train = f.where(F.col("first_train_week") <= w)
