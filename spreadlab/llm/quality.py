@@ -35,7 +35,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 200, 2000),
     Rule("symbols", "n_symbols", "n_words", None, 10),
     Rule("stop_words", "n_stop_words", "n_words", 2, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 50),
 )
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50

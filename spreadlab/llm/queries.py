@@ -71,7 +71,7 @@ m AS (
   FROM l LEFT JOIN c ON l.doc_id = c.doc_id
 ), v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND 100 * word_chars >= 200 * n_words AND 100 * word_chars <= 2000 * n_words AND 100 * n_symbols <= 10 * n_words
-       AND 100 * n_stop_words >= 2 * n_words AND 100 * n_dup_lines <= 30 * n_lines AS kept FROM v"""
+       AND 100 * n_stop_words >= 2 * n_words AND 100 * n_dup_lines <= 50 * n_lines AS kept FROM v"""
 
 
 @query("op8_quality_rules", QUALITY_SQL)
