@@ -26,6 +26,19 @@ def without_blanks(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
+#: Ids from here on stand for rows without an id, one for each text; real ids are smaller.
+NO_ID = 1 << 62
+
+
+def row_ids(id_: Column, text: Column) -> Column:
+    """The id of a row; without one, a number beyond all ids that follows from its text."""
+    return F.coalesce(id_.cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NO_ID))
+
+
+def real_id(oid: Column) -> Column:
+    return F.when(oid < NO_ID, oid)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Only a local session may lack it."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -102,3 +102,38 @@ class Words:
         for j in range(1, width):
             out += self.hashes[j : j + n] * PLACES[j]
         return mixed(out)
+
+
+def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
+    """least (np.minimum or np.maximum) of each `width` neighbours, by doubling."""
+    if len(x) < width:
+        return x[:0]
+    size = 1
+    while size * 2 <= width:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Positions that hold the least hash of some `width` neighbouring positions, ties included.
+
+    Equal stretches of `width` hashes select equal positions, whatever stands around them.
+    """
+    least = sliding(hashes, width, np.minimum)
+    if not len(least):
+        return np.zeros(0, np.int64)
+    fill = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero(hashes == sliding(np.concatenate([fill, least, fill]), width, np.maximum))
+
+
+def capped_counts(values: np.ndarray) -> np.ndarray:
+    """Each distinct value once, and twice if it occurs more often."""
+    found, counts = np.unique(values, return_counts=True)
+    return np.concatenate([found, found[counts > 1]])
+
+
+def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
