@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, exact, jaccard, langid, mixing, packing, quality, substring
+from spreadlab.llm import chat, exact, jaccard, langid, lines, mixing, packing, quality, substring, suffix
 from spreadlab.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -150,3 +150,30 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id
 @query("op10_ngram_jaccard", JACCARD_SQL)
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents")).drop("_oid", "_component")
+
+
+#: The whole strings are compared: no SQL gives all positions of all texts in bearable time. tests/llm holds it against brute force.
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("removed_spans")
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, place, line, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i
+      FROM (SELECT doc_id, unnest(generate_series(1, len(s))) AS place, unnest(s) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, i, md5(line) || md5(lead(line) OVER (PARTITION BY doc_id ORDER BY i)) AS k FROM l),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM w WHERE k IS NOT NULL) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, i FROM r UNION ALL SELECT doc_id, i + 1 FROM r)),
+a AS (SELECT doc_id, unnest(generate_series(1, len(s))) AS place, unnest(s) AS line FROM d),
+k AS (SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.place) AS t
+      FROM a LEFT JOIN l ON a.doc_id = l.doc_id AND a.place = l.place LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i WHERE g.i IS NULL GROUP BY a.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
