@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,12 +63,18 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        self.release()
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of steps that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

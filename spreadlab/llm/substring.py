@@ -42,7 +42,7 @@ def fingerprints(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, found = [], [], []
-            for first, last, data, bounds in runs(batch.column(1)):
+            for first, last, data, bounds in runs(batch.column(2)):
                 words = Words(data, bounds)
                 hashes = words.windows(phrase)
                 for row in range(last - first):
@@ -51,7 +51,9 @@ def fingerprints(window: int, phrase: int):
                     counts.append(int(b - a))
                     digests.append(hashlib.sha256(joined(words, row)[0]).digest())
                     found.append(capped_counts(own[winnowed(own, window - phrase + 1)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), list_column(found, pa.int64())], ["oid", "n_words", "digest", "fps"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), list_column(found, pa.int64())], ["oid", "th", "n_words", "digest", "fps"]
+            )
 
     return run
 
@@ -67,9 +69,9 @@ def locate(window: int, phrase: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recurring = batch.column(2)
-            digests, starts, keys, again = [], [], [], []
-            for first, last, data, bounds in runs(batch.column(1), SHARD_BYTES):
+            recurring = batch.column(3)
+            starts, keys, again = [], [], []
+            for first, last, data, bounds in runs(batch.column(2), SHARD_BYTES):
                 words = Words(data, bounds)
                 hashes, spans = words.windows(phrase), words.windows(window)
                 texts = [joined(words, row) for row in range(last - first)]
@@ -95,13 +97,12 @@ def locate(window: int, phrase: int):
                     key = spans[words.at[row] + marked]
                     _, fresh = np.unique(key, return_index=True)
                     fresh.sort()
-                    digests.append(hashlib.sha256(text).digest())
                     starts.append(marked[fresh].astype(np.int32))
                     keys.append(key[fresh])
                     again.append(np.delete(marked, fresh).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), list_column(starts, pa.int32()), list_column(keys, pa.int64()), list_column(again, pa.int32())],
-                ["oid", "digest", "starts", "keys", "again"],
+                [batch.column(0), batch.column(1), list_column(starts, pa.int32()), list_column(keys, pa.int64()), list_column(again, pa.int32())],
+                ["oid", "th", "starts", "keys", "again"],
             )
 
     return run
@@ -112,14 +113,14 @@ def cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, removed, spans, left = [], [], [], []
-            for first, last, data, bounds in runs(batch.column(1)):
+            removed, spans, left = [], [], []
+            for first, last, data, bounds in runs(batch.column(2)):
                 words = Words(data, bounds)
                 for row in range(last - first):
                     text, places = joined(words, row)
                     n = len(places)
                     marks = np.zeros(n + window + 1, np.int32)
-                    for column in (2, 3):
+                    for column in (3, 4):
                         if batch.column(column)[first + row].is_valid:
                             at = batch.column(column)[first + row].values.to_numpy(zero_copy_only=False)
                             np.add.at(marks, at, 1)
@@ -127,23 +128,22 @@ def cut(window: int):
                     gone = np.cumsum(marks[:n]) > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     ends = np.append(places[1:] - 1, len(text))
-                    digests.append(hashlib.sha256(text).digest())
                     removed.append(int(gone.sum()))
                     spans.append(edges.astype(np.int32))
                     left.append(b" ".join(text[p:q] for p, q in zip(places[~gone].tolist(), ends[~gone].tolist())).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(removed, pa.int64()), list_column(spans, pa.int32()), pa.array(left, pa.string())],
-                ["oid", "digest", "n_removed", "removed_spans", "kept_text"],
+                [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), list_column(spans, pa.int32()), pa.array(left, pa.string())],
+                ["oid", "th", "n_removed", "removed_spans", "kept_text"],
             )
 
     return run
 
 
 def repeated(fps: DataFrame) -> DataFrame:
-    """Per row of (oid, fps): the fingerprints that occur twice or more in all rows."""
+    """Per row of (oid, th, fps): the fingerprints that occur twice or more in all rows."""
     counts = fps.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    held = fps.select("oid", F.explode(F.array_distinct("fps")).alias("fp"))
-    return held.join(counts, "fp").groupBy("oid").agg(F.collect_list("fp").alias("recurring"))
+    held = fps.select("oid", "th", F.explode(F.array_distinct("fps")).alias("fp"))
+    return held.join(counts, "fp").groupBy("oid", "th").agg(F.collect_list("fp").alias("recurring"))
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -153,8 +153,8 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier: in a document of smaller id, or before in the same one. Windows are judged on the
     input. removed_spans holds the bounds of the removed runs of words in turn, null where
     nothing or everything goes. Null and empty texts have no words. Rows without an id come
-    after all others. Rows of one id and the same words are one document and get one result; texts
-    that differ under one id are compared by place only. Other columns are not read.
+    after all others. Rows of one id and equal text are one document; texts that differ under
+    one id share its place in the order but are cut by themselves. Other columns are not read.
 
     Documents of equal words meet by digest first: all but the smallest id go as a whole and
     take no further part. Of the others, fingerprints that recur bring their texts to the
@@ -163,25 +163,32 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents share is no larger than another.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    texts = docs.select(row_ids(F.col(id_col), F.col(text_col)).alias("oid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = scratch.keep(texts.mapInArrow(fingerprints(window, phrase), "oid long, n_words long, digest binary, fps array<long>"), "base")
-    long = base.where(F.col("n_words") >= window)
-    first = long.groupBy("digest").agg(F.min("oid").alias("first_id"))
-    fps = scratch.keep(long.join(first, "digest").where("oid = first_id").select("oid", "fps"), "fps")
-    hot = scratch.keep(texts.join(repeated(fps), "oid"), "texts")
-    found = scratch.keep(hot.mapInArrow(locate(window, phrase), "oid long, digest binary, starts array<int>, keys array<long>, again array<int>"), "found")
+    blank = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(row_ids(F.col(id_col), F.col(text_col)).alias("oid"), F.xxhash64(blank).alias("th"), blank.alias("text"))
+    whole = scratch.keep(texts.mapInArrow(fingerprints(window, phrase), "oid long, th long, n_words long, digest binary, fps array<long>"), "whole")
+    base = scratch.keep(whole.select("oid", "th", "n_words", "digest"), "base")
+    first = base.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("oid").alias("first_id"))
+    leads = base.join(first, "digest").where((F.col("n_words") >= window) & (F.col("oid") == F.col("first_id"))).select("oid", "th")
+    fps = scratch.keep(whole.select("oid", "th", "fps").join(leads.distinct(), ["oid", "th"]).dropDuplicates(["oid", "th"]), "fps")
+    scratch.drop("whole")
+    recurring = scratch.keep(repeated(fps), "recurring")
     scratch.drop("fps")
+    hot = scratch.keep(texts.join(recurring, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "recurring"), "texts")
+    scratch.drop("recurring")
+    found = scratch.keep(hot.mapInArrow(locate(window, phrase), "oid long, th long, starts array<int>, keys array<long>, again array<int>"), "found")
 
-    rows = found.select("oid", F.explode(F.arrays_zip("keys", "starts")).alias("k")).select("oid", F.col("k.keys").alias("key"), F.col("k.starts").alias("start"))
+    rows = found.select("oid", "th", F.explode(F.arrays_zip("keys", "starts")).alias("k")).select("oid", "th", F.col("k.keys").alias("key"), F.col("k.starts").alias("start"))
     owners = rows.groupBy("key").agg(F.min("oid").alias("owner"), F.max("oid").alias("other")).where("owner < other").select("key", "owner")
-    later = rows.join(owners, "key").where("oid > owner").groupBy("oid").agg(F.collect_list("start").alias("later"))
-    again = found.where(F.size("again") > 0).groupBy("oid").agg(F.flatten(F.collect_list("again")).alias("again"))
-    marks = later.join(again, "oid", "full_outer")
-    done = hot.select("oid", "text").join(marks, "oid").mapInArrow(cut(window), "oid long, digest binary, n_removed long, removed_spans array<int>, kept_text string")
-    done = done.select("oid", "digest", "n_removed", "removed_spans", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept")).dropDuplicates(["oid", "digest"])
+    owners = scratch.keep(owners, "owners")
+    later = rows.join(owners, "key").where("oid > owner").groupBy("oid", "th").agg(F.collect_list("start").alias("later"))
+    again = found.where(F.size("again") > 0).select("oid", "th", "again")
+    marks = scratch.keep(later.join(again, ["oid", "th"], "full_outer"), "marks")
+    scratch.drop("owners", "found")
+    done = hot.select("oid", "th", "text").join(marks, ["oid", "th"]).mapInArrow(cut(window), "oid long, th long, n_removed long, removed_spans array<int>, kept_text string")
+    done = done.select("oid", "th", "n_removed", "removed_spans", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept"))
 
     copy = (F.col("n_words") >= window) & (F.col("oid") > F.col("first_id"))
-    out = base.select("oid", "n_words", "digest").join(first, "digest", "left").join(done, ["oid", "digest"], "left")
+    out = base.join(first, "digest", "left").join(done, ["oid", "th"], "left")
     return out.select(
         real_id(F.col("oid")).alias("doc_id"),
         "n_words",

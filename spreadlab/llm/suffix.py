@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.llm.common import Scratch, real_id, row_ids
+from spreadlab.llm.substring import repeated
 from spreadlab.llm.tokens import PLACES, capped_counts, list_column, mixed, runs, winnowed
 
 LENGTH = 200
@@ -264,15 +265,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "suffix")
     blank = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(row_ids(F.col(id_col), F.col(text_col)).alias("oid"), F.xxhash64(blank).alias("th"), blank.alias("text"))
-    base = scratch.keep(texts.mapInArrow(cover(length, gram), "oid long, th long, n_bytes long, digest binary, fps array<long>"), "base")
+    every = scratch.keep(texts.mapInArrow(cover(length, gram), "oid long, th long, n_bytes long, digest binary, fps array<long>"), "every")
+    base = scratch.keep(every.select("oid", "th", "n_bytes", "digest"), "base")
     long = base.where(F.col("n_bytes") >= length)
     same = long.groupBy("digest").agg(F.min("oid").alias("first_id"), F.max("oid").alias("last_id"))
-    fps = scratch.keep(long.join(same, "digest").where("oid = first_id").select("oid", "th", "fps").dropDuplicates(["oid", "th"]), "fps")
-    counts = fps.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    held = fps.select("oid", "th", F.explode(F.array_distinct("fps")).alias("fp"))
-    recurring = held.join(counts, "fp").groupBy("oid", "th").agg(F.collect_list("fp").alias("recurring"))
-    hot = scratch.keep(texts.join(recurring, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "recurring"), "texts")
+    leads = long.join(same, "digest").where("oid = first_id").select("oid", "th").distinct()
+    fps = scratch.keep(every.select("oid", "th", "fps").join(leads, ["oid", "th"]).dropDuplicates(["oid", "th"]), "fps")
+    scratch.drop("every")
+    recurring = scratch.keep(repeated(fps), "recurring")
     scratch.drop("fps")
+    hot = scratch.keep(texts.join(recurring, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("oid", "th", "text", "recurring"), "texts")
+    scratch.drop("recurring")
 
     found = hot.mapInArrow(suffixes(length, gram), "first long, oid long, th long, at int, before binary, after binary")
     found = scratch.keep(found, "suffixes")
@@ -286,7 +289,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         again = rows.groupBy("first", "offset", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         start = F.col("at") - F.col("offset")
         marks = marks.unionByName(rows.join(again, ["first", "offset", "key"]).select("oid", "th", start.alias("start"), (start + length).alias("end")))
-    marks = marks.groupBy("oid", "th").agg(F.collect_list(F.struct("start", "end")).alias("m")).select("oid", "th", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
+    marks = scratch.keep(marks, "marks").groupBy("oid", "th").agg(F.collect_list(F.struct("start", "end")).alias("m")).select("oid", "th", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
+    scratch.drop("suffixes")
     done = hot.select("oid", "th", "text").join(marks, ["oid", "th"]).mapInArrow(cut, "oid long, th long, n_removed long, n_spans long, kept binary, removed_spans array<int>")
 
     out = base.select("oid", "th", "n_bytes", "digest").join(same, "digest", "left").join(done, ["oid", "th"], "left")
