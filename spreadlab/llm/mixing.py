@@ -58,7 +58,7 @@ def size_level(size: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies.
+    """One row per input row: doc_id, source, size, source_size, target, taken, copies.
 
     size is the number of words, a null or empty text has none. Every row of a source expects
     target / source_size copies. Rows are taken along size classes, in hash order within a
@@ -95,6 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     crossed = F.floor(F.col("_rank") * rate + F.col("offset")) - F.floor((F.col("_rank") - 1) * rate + F.col("offset"))
     return ranked.join(goal, ["_null", "_source"]).select(
         "doc_id",
+        "source",
         F.col("_size").alias("size"),
         "source_size",
         "target",
@@ -103,11 +104,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def emit(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows of docs repeated as often as the mix takes them; rows of one id must be alike."""
-    copies = mix(docs, id_col, **columns).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(1)))
-    joined = rows.join(copies, F.col("_id").eqNullSafe(F.col("doc_id"))).withColumn("_nth", nth)
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """The rows of docs, with their columns, repeated as often as the mix takes them.
+
+    Rows that agree in id, source and size share the copies taken of them, in text order.
+    """
+    keys = ("_id", "_source", "_size")
+    taken = mix(docs, id_col, text_col, source_col, **params).groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))
+    taken = taken.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"))
+    same = F.col("_id").eqNullSafe(F.col("m_id")) & F.col("_source").eqNullSafe(F.col("m_source")) & (F.col("_size") == F.col("m_size"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(f"_row.{text_col}")))
+    joined = rows.join(taken, same).withColumn("_nth", nth)
     share = F.floor(F.col("_nth") * F.col("_copies") / F.col("_rows")) - F.floor((F.col("_nth") - 1) * F.col("_copies") / F.col("_rows"))
     return joined.withColumn("_share", share.cast("int")).where("_share > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_share")))).select("_row.*")

@@ -37,7 +37,7 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 
 @query("op1_mixing", MIXING_SQL)
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 EXACT_SQL = r"""
