@@ -242,19 +242,15 @@ def pre_z_stats(b):
 
 
 def uniform_sql(key: str, stream: str) -> str:
-    p = "CAST(2147483647 AS BIGINT)"
-    h0 = f"((({key}) % {p}) * 48271 + ({stream}) * 69621 + 12345) % {p}"
-    h1 = f"list_transform([{h0}], lambda h: (h * (h + 16807) + 7919) % {p})"
-    h2 = f"list_transform({h1}, lambda h: (h * (h + 39373) + ({stream}) + 104729) % {p})[1]"
-    return f"(CAST({h2} AS DOUBLE) / 2147483647.0::DOUBLE)"
+    return f"(CAST(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':' || CAST({stream} AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52}.0::DOUBLE)"
 
 
-_NOISE = ["l_quantity", "l_discount"]
+_NOISE = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
 
 
 def normal_sql(key: str, stream: int) -> str:
     u1, u2 = uniform_sql(key, str(2 * stream)), uniform_sql(key, str(2 * stream + 1))
-    return f"sqrt(-2.0 * ln(greatest({u1}, 1e-9))) * cos({u2} * 2 * pi())"
+    return f"sqrt(-2.0 * ln(greatest({u1}, 1e-15))) * cos({u2} * 2 * pi())"
 
 
 @query("noise_twin", "SELECT end_hour, l_orderkey, l_linenumber, " + ", ".join(

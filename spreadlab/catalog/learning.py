@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.explore import rounded
-from spreadlab.catalog.features import _LATEST, normal_sql, uniform_sql
+from spreadlab.catalog.features import _LATEST, ZONES, normal_sql, uniform_sql
 from spreadlab.catalog.oracle_models import gauss_ctes, lasso_ctes, moments_cte
 from spreadlab.catalog.oracle_parts import r6
 from spreadlab.catalog.registry import query
-from spreadlab.functions.columns import rnd
+from spreadlab.functions.columns import poisson_steps, rnd
 from spreadlab.learning import bootstrap, boosted, folds, importance, linear, metrics, scoring, selection, targets
 from spreadlab.operators import describe, encode, vintage
 
@@ -140,16 +140,10 @@ def lasso_sparsity(b):
     return rounded(linear.sparsity(c, ["end_hour", "alpha"]), ["sparsity_ratio", "r2"])
 
 
-_CDF, _t = [], 2.718281828459045 ** -1
-for _k in range(8):
-    _CDF.append((_CDF[-1] if _CDF else 0.0) + _t)
-    _t /= _k + 1
-
-
 def weight_sql(key: str, stream: str) -> str:
     """Poisson(1) weight from the hashed uniform by counting passed thresholds."""
     u = uniform_sql(key, stream)
-    return "list_transform([" + u + "], lambda u: " + " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in _CDF) + ")[1]"
+    return "list_transform([" + u + "], lambda u: " + " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in poisson_steps()) + ")[1]"
 
 
 _STAB = (f"rw AS (SELECT f.*, g.r AS replicate, {weight_sql(ROWSQL, 'g.r')} AS w FROM feats f, generate_series(0, 9) AS g(r)), "
@@ -303,9 +297,9 @@ def directional_accuracy(b):
            {r6('CASE WHEN tp + fp + fn > 0 THEN CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END END')} AS spike_f1_score,
            CAST(tp + fn AS BIGINT) AS spike_count_true, CAST(tp + fp AS BIGINT) AS spike_count_pred
     FROM (SELECT settlement_point, count_if(y > cut AND p > cut) AS tp, count_if(y <= cut AND p > cut) AS fp, count_if(y > cut AND p <= cut) AS fn
-          FROM rp JOIN (SELECT settlement_point, avg(y) + 1 * stddev_pop(y) AS cut FROM rp GROUP BY 1) USING (settlement_point) GROUP BY 1)""", "pred", _RP)
+          FROM rp JOIN (SELECT settlement_point, avg(y) + 2 * stddev_pop(y) AS cut FROM rp GROUP BY 1) USING (settlement_point) GROUP BY 1)""", "pred", _RP)
 def spike_metrics(b):
-    m = metrics.spike_metrics(reg_rows(b), ["settlement_point"], "actual_dart_slt_raw", "p", sigmas=1.0)
+    m = metrics.spike_metrics(reg_rows(b), ["settlement_point"], "actual_dart_slt_raw", "p")
     return rounded(m, ["spike_precision", "spike_recall", "spike_f1_score"])
 
 
@@ -412,12 +406,12 @@ def model_error_histogram(b):
 
 @query("prediction_feature_series", f"""
     SELECT settlement_point, utc_ts, end_hour, 'load' AS category, feature, {r6('value')} AS value, {r6('p')} AS prediction FROM (
-        SELECT p.settlement_point, p.utc_ts, p.end_hour, p.p, unnest(['load_forecast_click', 'load_forecast_view']) AS feature, unnest([w.load_forecast_click, w.load_forecast_view]) AS value
+        SELECT p.settlement_point, p.utc_ts, p.end_hour, p.p, unnest([{', '.join(f"'load_forecast_{z}'" for z in ZONES)}]) AS feature, unnest([{', '.join(f'w.load_forecast_{z}' for z in ZONES)}]) AS value
         FROM rp p LEFT JOIN wide w ON w.utc_ts = p.utc_ts)""", "pred vint", _RP + ", " + _LATEST)
 def prediction_feature_series(b):
     """Every series of a feature category beside the predictions, scaled names mapped to the base column."""
-    wide = vintage.vintage_wide(b.forecast_vintage, "value", ["click", "view"], "load_forecast_", tie="event_id")
-    d = wide.withColumnsRenamed({f"load_forecast_{z}": f"load_forecast_{z}_z" for z in ("click", "view")})
+    wide = vintage.vintage_wide(b.forecast_vintage, "value", ZONES, "load_forecast_", tie="event_id")
+    d = wide.withColumnsRenamed({f"load_forecast_{z}": f"load_forecast_{z}_z" for z in ZONES})
     p = reg_rows(b).select("settlement_point", "utc_ts", "end_hour", F.col("p").alias("prediction"))
     j = scoring.join_predictions(p, d, ["utc_ts"])
     return rounded(scoring.feature_series(j, ["settlement_point", "utc_ts", "end_hour", "prediction"]), ["value", "prediction"])
@@ -517,7 +511,7 @@ NAMES = {"l_quantity": "load_forecast_coast_slt", "l_discount": "wind_generation
          "p_retailprice": "dart_slt_lag_24hr", "l_linenumber": "etf_dow_sin"}
 _IMP = "imp AS (" + " UNION ALL ".join(
     f"SELECT CAST(year(utc_ts) AS INT) AS week_num, end_hour, '{n}' AS feature, round(abs(corr({c}, y)), 9) AS importance FROM feats GROUP BY 1, 2" for c, n in NAMES.items()) + ")"
-_RK = _IMP + ", hi AS (SELECT end_hour, feature, round(avg(importance), 6) AS importance FROM imp GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY end_hour ORDER BY importance DESC, feature) - 1 AS rank FROM hi), top_ AS (SELECT * FROM rk WHERE rank < 3)"
+_RK = _IMP + ", hi AS (SELECT end_hour, feature, round(avg(importance), 6) AS importance FROM imp GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY end_hour ORDER BY importance DESC, feature) - 1 AS rank FROM hi), top_ AS (SELECT * FROM rk WHERE rank < 10)"
 
 
 def imp_rows(b):
@@ -531,7 +525,7 @@ def hour_imp(b):
 
 
 def top_rows(b):
-    return importance.ranked(hour_imp(b), ["end_hour"], 3)
+    return importance.ranked(hour_imp(b), ["end_hour"])
 
 
 @query("feature_importance_long", "SELECT week_num, end_hour, feature, importance FROM imp", "feats", _IMP)

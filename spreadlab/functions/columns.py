@@ -118,26 +118,29 @@ def kurtosis_of(c: str | Column) -> Column:
 def uniform_hash(key: str | Column, stream: Column | int) -> Column:
     """Reproducible pseudo-uniform number in [0, 1) per (key, stream).
 
-    Integer mixing modulo the Mersenne prime 2^31 - 1, so a re-run task draws the
-    same numbers and any SQL engine can compute them too.
+    The first 52 bits of a digest of both, so no two keys of any size share their numbers, a
+    re-run task draws the same ones and any SQL engine can compute them too.
     """
-    p = F.lit(2147483647).cast("long")
     s = stream if isinstance(stream, Column) else F.lit(stream)
-    h = (F.pmod(col(key).cast("long"), p) * F.lit(48271) + s.cast("long") * F.lit(69621) + F.lit(12345)) % p
-    h = (h * (h + F.lit(16807)) + F.lit(7919)) % p
-    h = (h * (h + F.lit(39373)) + s.cast("long") + F.lit(104729)) % p
-    return h.cast("double") / F.lit(2147483647.0)
+    digest = F.md5(F.concat_ws(":", col(key).cast("string"), s.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 POISSON_ZERO = 2.718281828459045 ** -1
 
 
-def poisson_weight(u: Column, max_weight: int = 8) -> Column:
+def poisson_steps() -> list[float]:
+    """Distribution function of Poisson(1) up to the last value that 52-bit numbers can reach."""
+    steps, term = [POISSON_ZERO], POISSON_ZERO
+    while term > 2.0**-53:
+        term /= len(steps)
+        steps.append(steps[-1] + term)
+    return steps
+
+
+def poisson_weight(u: Column) -> Column:
     """Poisson(1) draw from a uniform number by inverting the distribution function."""
-    cdf, term, out = 0.0, POISSON_ZERO, None
-    for k in range(max_weight):
-        cdf += term
-        term /= k + 1
-        hit = u < F.lit(cdf)
-        out = F.when(hit, k) if out is None else out.when(hit, k)
-    return out.otherwise(max_weight)
+    out = None
+    for k, step in enumerate(poisson_steps()):
+        out = F.when(u < F.lit(step), k) if out is None else out.when(u < F.lit(step), k)
+    return out.otherwise(len(poisson_steps()))

@@ -40,10 +40,13 @@ def gbt_classifier(trees: int = 20, depth: int = 3, rate: float = 0.1, subsample
 
 
 def tuned_classifier(preset: dict | None = None, seed: int = 42) -> GBTClassifier:
-    """Classifier from a tuned parameter set; MLlib has no L1 / L2 terms, the rest carries over."""
+    """Classifier from a tuned parameter set; MLlib has no L1 / L2 terms, the rest carries over.
+
+    The weight of positive rows is a column of the training table: with_class_weight(..., positive=...).
+    """
     p = preset or TUNED_PRESET
     g = gbt_classifier(p["n_estimators"], p["max_depth"], p["learning_rate"], p["subsample"], seed)
-    return g.setMinInstancesPerNode(p["min_child_weight"])
+    return g.setMinInstancesPerNode(p["min_child_weight"]).setFeatureSubsetStrategy(str(p["colsample_bytree"]))
 
 
 def forest_classifier(trees: int = 20, depth: int = 5, seed: int = 42) -> RandomForestClassifier:
@@ -64,12 +67,23 @@ def partitioned_by_hour(df: DataFrame, hour: str = "end_hour", files_per_hour: i
 
 
 def hours_of(df: DataFrame, hour: str) -> list[int]:
-    """Distinct delivery hours, at most 24."""
-    return [r[0] for r in df.select(hour).where(F.col(hour).between(1, 24)).distinct().orderBy(hour).collect()]
+    """Distinct delivery hours of the market day, at most 25 with the long one; others have no model."""
+    return [r[0] for r in df.select(hour).where(F.col(hour).between(1, 25)).distinct().orderBy(hour).collect()]
+
+
+def skipped_hours(data: DataFrame, models: dict[int, object], hour: str = "end_hour") -> DataFrame:
+    """Hours without a model and their number of rows."""
+    return _unmodelled(data, models, hour).groupBy(hour).agg(F.count("*").alias("n_rows"))
+
 
+def _unmodelled(data: DataFrame, models: dict[int, object], hour: str) -> DataFrame:
+    return data.where(~F.coalesce(F.col(hour).isin(list(models)), F.lit(False)))
 
-def with_class_weight(train: DataFrame, hour: str) -> DataFrame:
-    """Positive rows weigh negatives / positives of their hour."""
+
+def with_class_weight(train: DataFrame, hour: str, positive: float | None = None) -> DataFrame:
+    """Positive rows weigh `positive`, or else negatives / positives of their hour."""
+    if positive is not None:
+        return train.withColumn("weight", F.when(F.col("label") == 1, F.lit(positive)).otherwise(1.0))
     w = train.groupBy(hour).agg(F.count_if(F.col("label") == 0).alias("__neg"), F.count_if(F.col("label") == 1).alias("__pos"))
     return join_measured(train, w, [hour]).withColumn(
         "weight", F.when((F.col("label") == 1) & (F.col("__pos") > 0), F.col("__neg") / F.col("__pos")).otherwise(1.0)).drop("__neg", "__pos")
@@ -84,14 +98,17 @@ def fit_hours(train: DataFrame, make: Callable, hour: str = "end_hour", parallel
 
 
 def score_hours(data: DataFrame, models: dict[int, object], hour: str = "end_hour", classifier: bool = False) -> DataFrame:
-    """Rows of every hour through that hour's model; classifiers add probabilities and confidence."""
+    """Every row through the model of its hour; classifiers add probabilities and confidence.
+
+    Rows of hours without a model stay, with null predictions; `skipped_hours` counts them.
+    """
     parts = []
     for h, m in models.items():
         out = m.transform(data.where(F.col(hour) == h))
         if classifier:
-            out = classified(out.withColumn("probability", vector_to_array("probability"))).drop("probability", "rawPrediction")
+            out = classified(out.withColumn("probability", vector_to_array("probability")), classes=m.numClasses).drop("probability", "rawPrediction")
         parts.append(out.drop("features"))
-    return union_all(parts)
+    return union_all([*parts, _unmodelled(data, models, hour).drop("features")])
 
 
 def importance_rows(models: dict[int, object], features: list[str]) -> list[tuple]:

@@ -89,13 +89,14 @@ def hour_similarity(top: DataFrame, hour: str = "end_hour") -> DataFrame:
 
 
 def feature_stability(top: DataFrame, hour: str = "end_hour", absent_rank: int = 10) -> DataFrame:
-    """Per feature 1 / (1 + population variance of its rank); hours without it count as rank 10."""
+    """Per feature 1 / (1 + population variance of its rank); hours without it count as rank 10. One hour alone gives 0."""
     s = _with_hour_count(top, hour).groupBy("feature").agg(
         F.count("*").alias("__n"), F.sum("rank").alias("__s"), F.sum(F.col("rank") * F.col("rank")).alias("__q"), F.max("__h").alias("__h"))
     miss = F.col("__h") - F.col("__n")
     mean = (F.col("__s") + miss * absent_rank) / F.col("__h")
     var = (F.col("__q") + miss * absent_rank * absent_rank) / F.col("__h") - mean * mean
-    return s.select("feature", (1 / (1 + F.greatest(var, F.lit(0.0)))).alias("stability"))
+    stable = 1 / (1 + F.greatest(var, F.lit(0.0)))
+    return s.select("feature", F.when(F.col("__h") > 1, stable).otherwise(0.0).alias("stability"))
 
 
 def period(hour: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from spreadlab.functions.columns import POISSON_ZERO, poisson_weight, uniform_hash
 from spreadlab.learning.folds import assign_folds
 from spreadlab.operators.correlate import co_moments
-from spreadlab.session import join_measured
+from spreadlab.session import join_measured, materialise
 
 INTERCEPT = "(intercept)"
 
@@ -155,7 +155,9 @@ def bootstrap_oob(df: DataFrame, keys: list[str], features: list[str], target: s
     r = replicates(rows, F.col("__rid"), n, seed)
     coefs = coefficients(weighted_moments(r, by, [*features, target], rows, keys), by, features, target, kind, [alpha])
     size = r.groupBy(*by).agg(F.count_if(~F.col("drawn")).alias("__oob"), F.count("*").alias("__n"))
-    thin = size.where(F.col("__oob") < min_test)
+    thin = materialise(size.where(F.col("__oob") < min_test))
+    if thin.isEmpty():
+        return score_linear(r.where(~F.col("drawn")), coefs, by, features).select(*by, F.col(target).alias("actual"), "prediction")
     oob = r.where(~F.col("drawn")).join(thin, by, "left_anti")
     w = Window.partitionBy(*by).orderBy(uniform_hash("__rid", F.col("replicate") + 100003 + seed), "__rid")
     fallback = r.join(thin, by).withColumn("__rank", F.row_number().over(w)).where(

@@ -28,11 +28,10 @@ def coverage(pred: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n_rows"), F.countDistinct("end_hour").alias("n_hours"), F.min("utc_ts").alias("first_ts"), F.max("utc_ts").alias("last_ts"))
 
 
-def classified(scored: DataFrame, probability: str = "probability") -> DataFrame:
-    """Class probabilities and confidence from a probability array column."""
+def classified(scored: DataFrame, probability: str = "probability", classes: int = 2) -> DataFrame:
+    """The probability of every class and the confidence, from a probability array column."""
     p = F.col(probability)
-    return scored.withColumns({
-        "predicted_prob_class_0": p[0], "predicted_prob_class_1": p[1], "prediction_confidence": F.array_max(p)})
+    return scored.withColumns({**{f"predicted_prob_class_{k}": F.get(p, k) for k in range(classes)}, "prediction_confidence": F.array_max(p)})
 
 
 # Dashboard categories and the name prefix of their feature columns.

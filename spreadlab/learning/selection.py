@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spreadlab.operators.quantiles import exact_quantiles, with_quantiles
 
 # Tuned preset for boosted classifiers.
-TUNED_PRESET = {"max_depth": 5, "n_estimators": 72, "learning_rate": 0.05, "subsample": 0.8, "reg_alpha": 1, "reg_lambda": 2,
+TUNED_PRESET = {"max_depth": 5, "n_estimators": 72, "learning_rate": 0.05, "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 1, "reg_lambda": 2,
                 "min_child_weight": 3, "scale_pos_weight": 1.35}
 
 

@@ -121,9 +121,12 @@ def holiday_calendar(df: DataFrame, ts: str = "utc_ts", pad_years: int = 1) -> D
     )
 
 
-def holiday_features(df: DataFrame, ts: str = "utc_ts", pad_years: int = 1) -> DataFrame:
-    """Holiday distance and proximity columns on the UTC date."""
-    cal = holiday_calendar(df, ts, pad_years)
+def holiday_features(df: DataFrame, ts: str = "utc_ts", pad_years: int = 1, years_of: DataFrame | None = None) -> DataFrame:
+    """Holiday distance and proximity columns on the UTC date.
+
+    `years_of` is a table with the same dates from which the years can be read at less cost.
+    """
+    cal = holiday_calendar(df if years_of is None else years_of, ts, pad_years)
     j = join_measured(df.withColumn("day", F.to_date(ts)), cal, ["day"], "left").drop("day")
     to, frm = F.col("etf_days_to_holiday"), F.col("etf_days_from_holiday")
     return j.withColumns({

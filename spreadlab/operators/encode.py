@@ -57,7 +57,7 @@ def zscore(df: DataFrame, columns: list[str], keys: list[str] = KEYS, suffix: st
 
 def standard_normal(row_id: str | Column, stream: int) -> Column:
     """N(0,1) draw per (row, stream) by Box-Muller on two hashed uniforms; stable across re-runs."""
-    u1 = F.greatest(uniform_hash(row_id, 2 * stream), F.lit(1e-9))
+    u1 = F.greatest(uniform_hash(row_id, 2 * stream), F.lit(1e-15))
     u2 = uniform_hash(row_id, 2 * stream + 1)
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(u2 * (2.0 * 3.141592653589793))
 
@@ -87,11 +87,14 @@ def cleaning_summary(df: DataFrame, target: str, features: list[str], keys: list
 META = ["utc_ts", "local_ts", "end_of_hour", "location", "location_type"]
 
 
-def feature_columns(columns: list[str], variant: str = "exp2") -> list[str]:
-    """Feature list of a study dataset by name rules; the three variants differ in time features."""
+def feature_columns(columns: list[str], variant: str = "exp2", history: bool = True) -> list[str]:
+    """Feature list of a study dataset by name rules; the three variants differ in time features.
+
+    Without `history`, the lags and rolling statistics of the target are left out.
+    """
     base = [c for c in columns if not c.endswith("_z")]
     pick = lambda test: sorted(c for c in base if test(c))
-    lags, rolls = pick(lambda c: "dart_slt_lag_" in c), pick(lambda c: "dart_slt_roll_" in c)
+    lags, rolls = (pick(lambda c, p=p: p in c) if history else [] for p in ("dart_slt_lag_", "dart_slt_roll_"))
     onehot = pick(lambda c: c.startswith("day_of_week_"))
     if variant == "exp0":
         return lags + rolls + [c for c in ("is_weekend", "is_holiday") if c in base] + onehot
@@ -101,9 +104,9 @@ def feature_columns(columns: list[str], variant: str = "exp2") -> list[str]:
     return lags + rolls + forecasts + pick(lambda c: c.startswith("etf_"))
 
 
-def model_ready(df: DataFrame, variant: str = "exp2", target: str = "dart_slt") -> DataFrame:
+def model_ready(df: DataFrame, variant: str = "exp2", target: str = "dart_slt", history: bool = True) -> DataFrame:
     """Keys, target and the selected features as doubles."""
-    feats = feature_columns(df.columns, variant)
+    feats = feature_columns(df.columns, variant, history)
     kinds = dict(df.dtypes)
     num = lambda c: (F.col(c).cast("int") if kinds[c] == "boolean" else F.col(c)).cast("double").alias(c)
     return df.select(*[c for c in META if c in df.columns], num(target), *[num(c) for c in feats])

@@ -88,11 +88,13 @@ def with_quantiles(stats: DataFrame, quantiles: DataFrame, keys: list[str]) -> D
 def order_positions(df: DataFrame, keys: list[str], value, per_unit: int = 8192, chunk: int = 65536) -> DataFrame:
     """One row per original row: value, 1-based position in the sorted group, group size.
 
-    A value shared by very many rows is expanded in chunks, so no array holds them all.
+    A value shared by very many rows is expanded in chunks that are dealt out to all tasks, so
+    neither an array nor a task holds them all.
     """
     counts = _distinct_values(df, keys, value, None, per_unit)
     o = _placed(counts, _blocks(counts))
     o = o.withColumn("__c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
+    o = o.repartition(*keys, "value", "__c")
     lo = F.col("pos_from") + F.col("__c").cast("long") * chunk + 1
     hi = F.least(F.col("pos_from") + (F.col("__c").cast("long") + 1) * chunk, F.col("pos_to"))
     return o.select(*keys, "value", "total", F.explode(F.sequence(lo, hi)).alias("position"))

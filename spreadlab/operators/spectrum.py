@@ -1,8 +1,7 @@
 """Power spectra and spectrograms of series values.
 
-A series up to `direct_rows` samples is transformed in one grouped task. A longer one
-goes through a chirp transform whose inner power-of-two transforms are split into
-square-root sized groups, so no task ever holds the whole series.
+Every series goes through a chirp transform whose inner power-of-two transforms are split
+into square-root sized groups, so no task ever holds a whole series.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from pyspark.sql import types as T
 
 from spreadlab.operators.blocks import BLK, own_rows, previous, row_numbers, time_block, with_halo
 from spreadlab.operators.quantiles import exact_quantiles
-from spreadlab.session import materialise
+from spreadlab.session import join_measured, materialise
 
 POINT = ["location", "location_type"]
-DIRECT_ROWS = 1 << 20
+LONGEST = 3_000_000_000
 
 
 def _schema(df: DataFrame, keys: list[str], *extra: tuple[str, T.DataType]) -> T.StructType:
@@ -33,7 +32,7 @@ def _frame(key, keys: list[str], size: int, names: list[str], **cols) -> pd.Data
 
 def indexed_series(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "utc_ts", min_rows: int = 2) -> DataFrame:
     """Non-null values in time order: keys, idx from 0, value, series length, median step in seconds."""
-    src = materialise(df.where(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("value")))
+    src = df.where(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("value"))
     n = src.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
     steps = previous(src, keys, ts, time_block(ts), {"__prev": ts}).where("__prev is not null").withColumn(
         "__dt", (F.unix_micros(ts) - F.unix_micros("__prev")) / 1e6)
@@ -41,25 +40,15 @@ def indexed_series(df: DataFrame, value: str, keys: list[str] = POINT, ts: str =
     # sampling attributes are one row per series
     attrs = n.join(med, keys)
     numbered = row_numbers(src, keys, ts, time_block(ts), "__rn")
-    return numbered.join(attrs, keys).select(*keys, (F.col("__rn") - 1).alias("idx"), "value", "n", "step_seconds", ts)
-
-
-def _direct(series: DataFrame, keys: list[str]) -> DataFrame:
-    schema = _schema(series, keys, ("n", T.LongType()), ("step_seconds", T.DoubleType()), ("bin", T.LongType()),
-                     ("re", T.DoubleType()), ("im", T.DoubleType()))
-
-    def fft(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["value"].to_numpy()
-        f = np.fft.fft(x)[: len(x) // 2]
-        return _frame(key, keys, len(f), schema.names, n=len(x), step_seconds=pdf["step_seconds"].iloc[0], bin=np.arange(len(f)), re=f.real, im=f.imag)
-
-    return series.groupBy(*keys).applyInPandas(fft, schema)
+    return join_measured(numbered, attrs, keys).select(*keys, (F.col("__rn") - 1).alias("idx"), "value", "n", "step_seconds", ts)
 
 
 def _chirp(m: np.ndarray, n: int) -> np.ndarray:
     """exp(i pi m^2 / n) with the square reduced first, so large indices stay accurate."""
-    sq = np.array([int(v) * int(v) % (2 * n) for v in m], dtype="float64")
-    return np.exp(1j * np.pi * sq / n)
+    if n > LONGEST:
+        raise ValueError(f"a series of {n} samples is beyond exact 64-bit squares")
+    m = np.asarray(m, dtype="int64")
+    return np.exp(1j * np.pi * (m * m % (2 * n)).astype("float64") / n)
 
 
 def _split(n: int) -> tuple[int, int, int]:
@@ -127,15 +116,11 @@ def distributed_dft(series: DataFrame, keys: list[str]) -> DataFrame:
     return stage2.groupBy(*keys, "row").applyInPandas(columns_inverse, s3)
 
 
-def power_spectrum(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "utc_ts", min_rows: int = 2,
-                   direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def power_spectrum(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "utc_ts", min_rows: int = 2) -> DataFrame:
     """One-sided spectrum per series: |X|^2/N, doubled above DC, in dB, with bins in cycles per day."""
     cells = materialise(indexed_series(df, value, keys, ts, min_rows).drop(ts))
-    bins = _direct(cells.where(F.col("n") <= direct_rows), keys)
-    long = cells.where(F.col("n") > direct_rows)
-    if not long.isEmpty():
-        attrs = long.where("idx = 0").select(*keys, "n", "step_seconds")
-        bins = bins.unionByName(distributed_dft(long, keys).join(attrs, keys))
+    attrs = cells.where("idx = 0").select(*keys, "n", "step_seconds")
+    bins = join_measured(distributed_dft(cells, keys), attrs, keys)
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n") * F.when(F.col("bin") > 0, 2.0).otherwise(1.0)
     per_day = F.lit(86400.0) / F.col("step_seconds")
     return bins.select(

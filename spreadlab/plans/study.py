@@ -41,7 +41,7 @@ def build_study(rt: DataFrame, dam: DataFrame, forecasts: list[Forecast], *, hol
     for f in forecasts:
         df = vintage.forecast_features(df, f.table, f.value, f.zones, f.prefix, f.tie)
     df = df.select("*", *calendar.cyclical_columns())
-    df = calendar.holiday_features(df, pad_years=holiday_pad_years)
+    df = calendar.holiday_features(df, pad_years=holiday_pad_years, years_of=rt)
     if with_z:
         scaled = [c for c in encode.feature_columns(df.columns) if c not in NOT_SCALED]
         df = encode.zscore(df, scaled)

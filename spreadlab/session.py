@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +33,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only when none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local session may lack it."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spreadlab-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "/tmp/checkpoints"
     spark.sparkContext.setCheckpointDir(path)
-    return path
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -54,16 +57,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 
 
-def join_measured(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join rows to a table with one row per group, broadcasting it only after counting it.
+def bytes_of(table: DataFrame) -> int:
+    """Size of a table's rows as text, summed where they are."""
+    return table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+
+
+def join_measured(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join rows to a table with one row per group, broadcasting it only after measuring it.
 
     The planner sizes an aggregate by its input and would shuffle all rows by group, hot
-    groups included. The group table is computed once, counted, and broadcast when it is
-    small; beyond the limit the join stays a shuffle join.
+    groups included. The group table is computed once, its bytes are summed, and it is
+    broadcast when they are few; beyond the limit the join stays a shuffle join.
     """
     table = materialise(small)
-    fits = table.limit(max_rows + 1).count() <= max_rows
+    fits = bytes_of(table) <= max_bytes
     return df.join(F.broadcast(table) if fits else table, keys, how)

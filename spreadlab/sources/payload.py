@@ -22,11 +22,18 @@ def typed(value: Column, declared: str) -> Column:
     return F.when(~F.isnan(out), out) if target == "double" else out
 
 
-def cast_rows(rows: DataFrame, values: str, fields: list[dict]) -> DataFrame:
-    """Positional array column to one typed column per declared field."""
-    return rows.select(*[
-        typed(F.get(F.col(values), i), f["dataType"]).alias(f["name"]) for i, f in enumerate(fields)
-    ])
+def cast_rows(rows: DataFrame, values: str, fields: list[dict], names: str) -> DataFrame:
+    """Positional array column to one typed column per wanted field.
+
+    `names` is the array column with the field names of the row's own document, which say
+    where each value stands; a document that lacks a wanted name fails the job.
+    """
+    def value(name: str) -> Column:
+        at = F.array_position(names, F.lit(name)).cast("int")
+        lacking = F.raise_error(F.lit(f"payload has no field {name}")).cast("string")
+        return F.when(at > 0, F.get(F.col(values), at - 1)).otherwise(lacking)
+
+    return rows.select(*[typed(value(f["name"]), f["dataType"]).alias(f["name"]) for f in fields])
 
 
 def _present(docs: DataFrame, needed: list[str]) -> DataFrame:
@@ -36,7 +43,8 @@ def _present(docs: DataFrame, needed: list[str]) -> DataFrame:
         absent = absent | F.col(n).isNull()
     message = F.raise_error(F.lit(f"payload lacks one of {needed}"))
     return docs.select(
-        F.when(absent, message.cast(docs.schema["data"].dataType)).otherwise(F.col("data")).alias("data")
+        F.when(absent, message.cast(docs.schema["data"].dataType)).otherwise(F.col("data")).alias("data"),
+        *[c for c in docs.columns if c == "fields"],
     )
 
 
@@ -45,8 +53,8 @@ def read_payloads(spark: SparkSession, path: str, fields: list[dict]) -> DataFra
     docs = spark.read.schema(
         "_meta string, fields array<struct<name:string,dataType:string>>, data array<array<string>>"
     ).json(path, multiLine=True)
-    rows = _present(docs, ["fields", "data"]).select(F.explode("data").alias("row"))
-    return cast_rows(rows, "row", fields)
+    rows = _present(docs, ["fields", "data"]).select(F.col("fields.name").alias("names"), F.explode("data").alias("row"))
+    return cast_rows(rows, "row", fields, "names")
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

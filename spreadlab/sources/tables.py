@@ -71,9 +71,10 @@ def write_layer(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     (w.partitionBy(*parts) if parts else w).save(path)
 
 
-def write_daily(df: DataFrame, date_expr: Column, path: str) -> None:
-    """One directory per posted or delivery date."""
-    df.withColumn("extract_date", date_expr).write.mode("overwrite").partitionBy("extract_date").parquet(path)
+def write_daily(df: DataFrame, date_expr: Column, path: str, files_per_date: int = 4) -> None:
+    """One directory per posted or delivery date; a date's rows go to a few writers, so files follow dates, not tasks."""
+    dated = df.withColumn("extract_date", date_expr)
+    dated.repartition("extract_date", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date))).write.mode("overwrite").partitionBy("extract_date").parquet(path)
 
 
 def replace_table(df: DataFrame, name: str) -> None:

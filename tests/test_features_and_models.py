@@ -327,7 +327,7 @@ def test_measured_join_gives_the_same_rows_on_both_paths(spark):
     a = spark.createDataFrame([(i % 5, float(i)) for i in range(50)], "k int, v double")
     m = a.groupBy("k").agg(F.avg("v").alias("m"))
     rows = lambda d: sorted(map(tuple, d.collect()))
-    assert rows(join_measured(a, m, ["k"])) == rows(join_measured(a, m, ["k"], max_rows=2)) == rows(a.join(m, "k"))
+    assert rows(join_measured(a, m, ["k"])) == rows(join_measured(a, m, ["k"], max_bytes=2)) == rows(a.join(m, "k"))
 
 
 def test_null_series_keys_are_kept(spark):
