@@ -312,7 +312,7 @@ def _kmeans_rows(points, centres, keys):
     return inertia.join(cluster.silhouette(points, centres, keys), [*keys, "k"], "left")
 
 
-_KI = lloyd_ctes("spread", "dart_slt", _PK, 6, 25) + f""",
+_KI = lloyd_ctes("spread", "dart_slt", _PK, 10, 10) + f""",
     pair AS (SELECT a.location, a.location_type, a.k, a.rn, a.i, z.i AS j, sum(abs(a.v - z.v)) AS s, count(*) AS m
              FROM asg a JOIN asg z ON z.location = a.location AND z.location_type = a.location_type AND z.k = a.k WHERE a.k > 1 GROUP BY ALL),
     sil AS (SELECT location, location_type, k, avg(CASE WHEN own = 1 THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END) AS silhouette FROM (
@@ -325,7 +325,7 @@ _KI = lloyd_ctes("spread", "dart_slt", _PK, 6, 25) + f""",
             SELECT a.location, a.location_type, a.k, a.i, sum((a.v - c.v) * (a.v - c.v)) AS sse FROM asg a JOIN ctr c ON c.location = a.location AND c.location_type = a.location_type AND c.k = a.k AND c.i = a.i GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
     LEFT JOIN sil USING (location, location_type, k)""", "spread", _KI)
 def kmeans_inertia(b):
-    points, centres = cluster.kmeans_values(b.spread, "dart_slt", PT, max_k=6)
+    points, centres = cluster.kmeans_values(b.spread, "dart_slt", PT)
     return rounded(_kmeans_rows(points, centres, PT), ["inertia", "silhouette"])
 
 
@@ -334,10 +334,10 @@ def kmeans_inertia(b):
            {r6('size / sum(size) OVER (PARTITION BY location, location_type, sign, k)')} AS proportion FROM (
         SELECT a.location, a.location_type, a.sign, a.k, a.i, any_value(c.v) AS centre, count(*) AS size, sum((a.v - c.v) * (a.v - c.v)) AS sse
         FROM asg a JOIN ctr c ON c.location = a.location AND c.location_type = a.location_type AND c.sign = a.sign AND c.k = a.k AND c.i = a.i GROUP BY 1, 2, 3, 4, 5)""", "spread",
-       _SIGNED + ", " + lloyd_ctes("signed", "value", _PK + ", sign", 5, 25))
+       _SIGNED + ", " + lloyd_ctes("signed", "value", _PK + ", sign", 10, 5))
 def kmeans_by_sign(b):
     keys = [*PT, "sign"]
-    points, centres = cluster.kmeans_values(signed(b), "value", keys, max_k=5)
+    points, centres = cluster.kmeans_values(signed(b), "value", keys, rows_per_k=5)
     return rounded(cluster.cluster_table(points, centres, keys), ["centre", "sse", "proportion"])
 
 

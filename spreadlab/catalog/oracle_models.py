@@ -49,21 +49,24 @@ def lasso_ctes(xs: list[str], alphas: list[float], rounds: int, keys: str = "end
     return ", ".join(steps)
 
 
-def lloyd_ctes(src: str, value: str, keys: str, max_k: int, rounds: int) -> str:
-    """Lloyd rounds from quantile centres; ends in `ctr` (keys, k, i, v) and `asg` (row, cluster)."""
-    on = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
-    pk = ", ".join(f"p.{k.strip()}" for k in keys.split(","))
-    ck = ", ".join(f"c.{k.strip()}" for k in keys.split(","))
-    steps = [
+def lloyd_ctes(src: str, value: str, keys: str, max_k: int, rows_per_k: int) -> str:
+    """Lloyd rounds from quantile centres until none moves; ends in `ctr` (keys, k, i, v) and `asg` (row, cluster)."""
+    names = [k.strip() for k in keys.split(",")]
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
+    pk, lk = ", ".join(f"p.{k}" for k in names), ", ".join(f"l.{k}" for k in names)
+    near = lambda cs: f"list_position(list_transform({cs}, lambda c: abs(c - p.v)), list_min(list_transform({cs}, lambda c: abs(c - p.v)))) - 1"
+    return ", ".join([
         f"""pts AS MATERIALIZED (SELECT * FROM (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {value}) - 1 AS rn,
-            count(*) OVER (PARTITION BY {keys}) AS n FROM {src} WHERE {value} IS NOT NULL) WHERE n >= {5 * max_k})""",
-        f"""k0 AS MATERIALIZED (SELECT {pk}, g.k, g.i, p.v FROM (SELECT k, unnest(generate_series(0, k - 1)) AS i FROM (SELECT unnest(generate_series(2, {max_k})) AS k)) g
-            JOIN pts p ON p.rn = CAST(floor((p.n - 1) * ((g.i + 0.5::DOUBLE) / g.k)) AS BIGINT))""",
-    ]
-    assign = lambda c: f"SELECT {pk}, p.rn, p.v, c.k, arg_min(c.i, [abs(p.v - c.v), CAST(c.i AS DOUBLE)]) AS i FROM pts p JOIN {c} c ON {on('p', 'c')} GROUP BY {pk}, p.rn, p.v, c.k"
-    for r in range(rounds):
-        steps.append(f"""k{r + 1} AS MATERIALIZED (SELECT {ck}, c.k, c.i, coalesce(m.v, c.v) AS v FROM k{r} c LEFT JOIN (
-            SELECT {keys}, k, i, avg(v) AS v FROM ({assign(f'k{r}')}) GROUP BY {keys}, k, i) m ON {on('m', 'c')} AND m.k = c.k AND m.i = c.i)""")
-    steps.append(f"ctr AS MATERIALIZED (SELECT * FROM k{rounds} UNION ALL SELECT {keys}, 1, 0, avg(v) FROM pts GROUP BY {keys})")
-    steps.append(f"asg AS MATERIALIZED ({assign('ctr')})")
-    return ", ".join(steps)
+            count(*) OVER (PARTITION BY {keys}) AS n FROM {src} WHERE {value} IS NOT NULL) WHERE n >= {rows_per_k * max_k})""",
+        f"""k0 AS MATERIALIZED (SELECT {pk}, g.k, list(p.v ORDER BY g.i) AS cs FROM (SELECT k, unnest(generate_series(0, k - 1)) AS i FROM (SELECT unnest(generate_series(2, {max_k})) AS k)) g
+            JOIN pts p ON p.rn = CAST(floor((p.n - 1) * ((g.i + 0.5::DOUBLE) / g.k)) AS BIGINT) GROUP BY {pk}, g.k)""",
+        f"""lloyd AS (SELECT {keys}, k, cs, TRUE AS moves, 0 AS turn FROM k0 UNION ALL
+            SELECT {keys}, k, new, list_max(list_transform(new, lambda x, j: abs(x - cs[j]))) > 1e-9, turn + 1 FROM (
+                SELECT {keys}, k, turn, cs, list_transform(cs, lambda x, j: coalesce(m[j - 1][1], x)) AS new FROM (
+                    SELECT {keys}, k, turn, cs, map(list(i), list([mean])) AS m FROM (
+                        SELECT {lk}, l.k, l.turn, l.cs, {near('l.cs')} AS i, avg(p.v) AS mean FROM lloyd l JOIN pts p ON {on('p', 'l')} WHERE l.moves GROUP BY {lk}, l.k, l.turn, l.cs, {near('l.cs')})
+                    GROUP BY {keys}, k, turn, cs)))""",
+        f"fin AS MATERIALIZED (SELECT {keys}, k, arg_max(cs, turn) AS cs FROM lloyd GROUP BY {keys}, k UNION ALL SELECT {keys}, 1, [avg(v)] FROM pts GROUP BY {keys})",
+        f"ctr AS MATERIALIZED (SELECT {keys}, k, unnest(generate_series(0, len(cs) - 1)) AS i, unnest(cs) AS v FROM fin)",
+        f"asg AS MATERIALIZED (SELECT {pk}, p.rn, p.v, l.k, {near('l.cs')} AS i FROM pts p JOIN fin l ON {on('p', 'l')})",
+    ])

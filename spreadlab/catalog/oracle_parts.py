@@ -94,4 +94,5 @@ def compose(uses: list[str], ctes: str, body: str) -> str:
     blocks = [f"{n} AS ({PARTS[n][1].strip()})" for n in order]
     if ctes.strip():
         blocks.append(ctes.strip().rstrip(","))
-    return (f"WITH {', '.join(blocks)} " if blocks else "") + body.strip()
+    recursive = "RECURSIVE " if any(b.lstrip().startswith("lloyd AS") or ", lloyd AS" in b for b in blocks) else ""
+    return (f"WITH {recursive}{', '.join(blocks)} " if blocks else "") + body.strip()
