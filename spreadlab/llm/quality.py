@@ -109,5 +109,10 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
 
 def keep_good(docs: DataFrame, text: str = "text", **params) -> DataFrame:
-    """The rows that pass, with their own columns only."""
-    return apply_rules(docs, text, **params).where("kept").select("_row.*")
+    """The rows that pass, with their own columns only.
+
+    The row number keeps the filter above the projection: pushed below, it would repeat the
+    whole of it for every measure that it reads.
+    """
+    judged = apply_rules(docs, text, **params).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where("kept AND _at >= 0").select("_row.*")
