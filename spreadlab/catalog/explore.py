@@ -354,19 +354,31 @@ def _scaled(b):
     return encode.zscore(f, _FEATS, ["__all"])
 
 
-@query("kmeans_multivariate")
+# Start rows of the vector clustering are random; SQL states what holds for any of them.
+@query("kmeans_multivariate", f"""
+    SELECT CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n_rows, CASE WHEN k = 1 THEN {r6('n * 4.0', 4)} END AS inertia_of_one, TRUE AS falls
+    FROM (SELECT count(*) AS n FROM feats), (SELECT unnest(generate_series(1, 10)) AS k)""", "feats")
 def kmeans_multivariate(b):
-    return _vector_table(b, _scaled(b), [f"{c}_z" for c in _FEATS], [1, 2, 3, 4])
+    return _vector_facts(_vector_table(b, _scaled(b), [f"{c}_z" for c in _FEATS], list(range(1, 11))))
 
 
-@query("kmeans_real_vs_noise")
+@query("kmeans_real_vs_noise", f"""
+    SELECT kind, CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n_rows, CASE WHEN k = 1 THEN {r6('n * 4.0', 4)} END AS inertia_of_one, TRUE AS falls
+    FROM (SELECT count(*) AS n FROM feats), (SELECT unnest(generate_series(1, 6)) AS k), (SELECT unnest(['real', 'noise']) AS kind)""", "feats")
 def kmeans_real_vs_noise(b):
-    ks = [1, 2, 3]
-    real = _vector_table(b, _scaled(b), [f"{c}_z" for c in _FEATS], ks)
+    """The curve of the features beside that of their noise twin."""
+    ks = list(range(1, 7))
     f = b.features_by_hour.select(*_FEATS, "l_orderkey", "l_linenumber").withColumn("__all", F.lit(1))
     noise = encode.noise_twin(f, _FEATS, F.col("l_orderkey") * 8 + F.col("l_linenumber"), ["__all"])
-    twin = _vector_table(b, noise, [f"{c}_n01_z" for c in _FEATS], ks)
-    return real.select("k", F.col("inertia").alias("inertia_real")).join(twin.select("k", F.col("inertia").alias("inertia_noise")), "k")
+    curves = {"real": _vector_table(b, _scaled(b), [f"{c}_z" for c in _FEATS], ks), "noise": _vector_table(b, noise, [f"{c}_n01_z" for c in _FEATS], ks)}
+    return _vector_facts(curves["real"]).withColumn("kind", F.lit("real")).unionByName(_vector_facts(curves["noise"]).withColumn("kind", F.lit("noise")))
+
+
+def _vector_facts(t):
+    """Rows of every k, the squares of one cluster, and whether more clusters leave less than one does."""
+    one = t.where("k = 1").select(F.col("inertia").alias("whole"))
+    n = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return t.join(F.broadcast(one)).select("k", n.alias("n_rows"), F.when(F.col("k") == 1, rnd("inertia", 4)).alias("inertia_of_one"), ((F.col("k") == 1) | (F.col("inertia") < F.col("whole"))).alias("falls"))
 
 
 _CURVE = """rngs AS (SELECT location, location_type, min(dart_slt) AS lo, max(dart_slt) AS hi FROM spread WHERE dart_slt IS NOT NULL GROUP BY 1, 2),
@@ -486,6 +498,26 @@ def top_correlations(b):
     return rounded(correlate.top_correlations(c, ["end_hour"], "y", 3), ["r"])
 
 
+_NAMED = {"l_quantity": "load_forecast_coast", "l_discount": "solar_far_west", "l_tax": "solar_center_east", "p_retailprice": "wind_generation_west"}
+_BYCAT = [(k, cs, "abs(l_discount) + abs(l_tax) <> 0" if k == "solar_nonzero" else "TRUE") for k, cs in
+          {"load": ["l_quantity"], "wind": ["p_retailprice"], "solar": ["l_discount", "l_tax"], "solar_nonzero": ["l_discount", "l_tax"]}.items()]
+
+
+@query("correlation_by_category", " UNION ALL ".join(
+    f"SELECT '{k}' AS category, end_hour, '{_NAMED.get(a, a)}' AS a, '{_NAMED.get(c, c)}' AS b, CAST(count(*) AS BIGINT) AS n, {r6('1.0' if a == c else f'corr({a}, {c})')} AS r FROM feats WHERE {cut} GROUP BY 2"
+    for k, cs, cut in _BYCAT for a in [*cs, "y"] for c in [*cs, "y"]), "feats")
+def correlation_by_category(b):
+    """One matrix per feature category with the target, and the solar one over rows with sun."""
+    f = b.features_by_hour.withColumnsRenamed(_NAMED)
+    out = None
+    for k in ("load", "wind", "solar", "solar_nonzero"):
+        cols = correlate.category_columns(f.columns, k.removesuffix("_nonzero"))
+        rows = correlate.nonzero_rows(f, cols) if k.endswith("_nonzero") else f
+        m = correlate.correlation_matrix(rows, ["end_hour"], [*cols, "y"]).withColumn("category", F.lit(k))
+        out = m if out is None else out.unionByName(m)
+    return rounded(out, ["r"])
+
+
 @query("correlation_nonzero", f"""
     SELECT end_hour, CAST(count(*) AS BIGINT) AS n, {r6('corr(l_discount, y)')} AS r FROM feats WHERE abs(l_discount) + abs(l_tax) <> 0 GROUP BY 1""", "feats")
 def correlation_nonzero(b):

@@ -304,6 +304,14 @@ def model_ready(b):
     return out.select(*[c if c in encode.META else rnd(c).alias(c) for c in out.columns])
 
 
+@query("model_ready_no_history", "SELECT utc_ts, local_ts, CAST(hour(local_ts) + 1 AS INT) AS end_of_hour, location, location_type, "
+       + f"{r6('dart_slt')} AS dart_slt, {_SLT}, {_CYC} FROM (SELECT h.*, s.local_ts, s.hour_local FROM hist h JOIN spread s USING (utc_ts, location))", "spread vint", _HISTSQL)
+def model_ready_no_history(b):
+    """The feature list of runs that leave the target's own past out."""
+    out = encode.model_ready(_study(b), history=False)
+    return out.select(*[c if c in encode.META else rnd(c).alias(c) for c in out.columns if "holiday" not in c])
+
+
 @query("feature_completeness", " UNION ALL ".join(f"""
     SELECT '{c}' AS feature, CAST(count({c}) AS BIGINT) AS n_present, CAST(count(*) AS BIGINT) AS n_rows, {r6(f'100.0 * count({c}) / count(*)')} AS pct_present FROM hist""" for c in _ALLF),
        "spread vint", _HISTSQL)

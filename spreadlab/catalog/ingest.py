@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.oracle_parts import LOCAL, r6, slt
@@ -10,6 +12,7 @@ from spreadlab.functions import timeconv as tc
 from spreadlab.functions.columns import inverse_signed_log, rnd, signed_log
 from spreadlab.operators import bars, clean, target
 from spreadlab.plans import etl
+from spreadlab.session import checkpoint_dir
 from spreadlab.sources import payload, tables
 
 _UTC_FIRST = "timezone('UTC', timezone('America/Chicago', {0}))"
@@ -244,8 +247,11 @@ def distinct_posted_dates(b):
     SELECT strftime(utc_ts, '%Y-%m-%d') AS extract_date, location || ' (' || location_type || ')' AS point_identifier,
            CAST(count(*) AS BIGINT) AS n_rows, min(utc_ts) AS first_ts, max(utc_ts) AS last_ts FROM rth GROUP BY 1, 2""", "rth")
 def daily_partition_extract(b):
-    return b.rt_hourly.groupBy(
-        F.to_date("utc_ts").cast("string").alias("extract_date"),
+    """Written under a directory per date and read back from there."""
+    path = f"{checkpoint_dir(b.spark)}/daily-{uuid.uuid4().hex}"
+    tables.write_daily(b.rt_hourly, F.to_date("utc_ts"), path)
+    return b.spark.read.parquet(path).groupBy(
+        F.col("extract_date").cast("string").alias("extract_date"),
         tables.point_identifier("location", "location_type").alias("point_identifier"),
     ).agg(F.count("*").alias("n_rows"), F.min("utc_ts").alias("first_ts"), F.max("utc_ts").alias("last_ts"))
 
@@ -343,6 +349,14 @@ def etl_rt_end_to_end(b):
     return etl.etl_rt(b.raw_rt).transformed
 
 
+@query("layer_round_trip", "SELECT utc_ts, local_ts, location, location_type, price_mean, price_std, CAST(hour_local AS INT) AS hour_local FROM rth", "rth")
+def layer_round_trip(b):
+    """The hourly layer written by location and month, and scanned again."""
+    path = f"{checkpoint_dir(b.spark)}/layer-{uuid.uuid4().hex}"
+    tables.write_layer(b.rt_hourly, path, files_per_span=2)
+    return b.spark.read.schema(b.rt_hourly.schema).parquet(path)
+
+
 @query("join_rt_dam", """
     SELECT utc_ts, location, location_type, rt_spp_price, dam_spp_price FROM spread""", "spread")
 def join_rt_dam(b):

@@ -12,6 +12,7 @@ from spreadlab.catalog.registry import query
 from spreadlab.functions.columns import poisson_steps, rnd
 from spreadlab.learning import bootstrap, boosted, folds, importance, linear, metrics, scoring, selection, targets
 from spreadlab.operators import describe, encode, vintage
+from spreadlab.sources import tables
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
 START = "1996-01-01"
@@ -204,35 +205,55 @@ def _boost_data(b, label):
     return boosted.partitioned_by_hour(boosted.assembled(f, FEATS, "label_", "end_hour", ["utc_ts", "l_orderkey", "l_linenumber", "split"]))
 
 
-def _classifier_scores(b):
+def _classifier(b):
+    """Tuned classifiers of every hour, fitted on the training years, and the rows they score."""
     data = _boost_data(b, (F.col("l_extendedprice") > 40000).cast("int"))
-    train = boosted.with_class_weight(data.where("split = 'train'"), "end_hour")
-    models = boosted.fit_hours(train, lambda: boosted.gbt_classifier(trees=3, depth=3))
-    return boosted.score_hours(data, models, classifier=True), models
+    train = boosted.with_class_weight(data.where("split = 'train'"), "end_hour", selection.TUNED_PRESET["scale_pos_weight"])
+    return data, boosted.fit_hours(train, boosted.tuned_classifier)
 
 
-@query("gbt_regression")
+# SQL cannot grow the trees; what holds for any fit is stated and compared: every row is scored, chances add up, the confidence is the
+# larger chance, and on training rows the fit is no worse than a constant.
+_SPLIT = "bs AS (SELECT *, CASE WHEN year(utc_ts) < 2000 THEN 'train' ELSE 'validation' END AS split, CAST(l_extendedprice > 40000 AS INT) AS lab FROM feats)"
+
+
+@query("gbt_regression", "SELECT end_hour, split, CAST(count(*) AS BIGINT) AS n, TRUE AS explains FROM bs GROUP BY 1, 2", "feats", _SPLIT)
 def gbt_regression(b):
     data = _boost_data(b, F.col("y"))
-    models = boosted.fit_hours(data.where("split = 'train'"), lambda: boosted.gbt_regressor(trees=3, depth=3))
-    out = boosted.score_hours(data, models)
-    m = metrics.regression_metrics(out, ["end_hour", "split"], "label", "prediction")
-    return m.select("end_hour", "split", "n", rnd("r2", 4).alias("r2"), rnd("mae", 4).alias("mae"))
+    models = boosted.fit_hours(data.where("split = 'train'"), lambda: boosted.gbt_regressor(trees=100, depth=6))
+    m = metrics.regression_metrics(boosted.score_hours(data, models), ["end_hour", "split"], "label", "prediction")
+    return m.select("end_hour", "split", F.col("n").cast("long").alias("n"), ((F.col("split") != "train") | (F.col("r2") > 0)).alias("explains"))
 
 
-@query("gbt_classification")
+@query("gbt_classification", "SELECT end_hour, split, CAST(count(*) AS BIGINT) AS total_predictions, CAST(sum(lab) AS BIGINT) AS n_positive, TRUE AS beats_majority FROM bs GROUP BY 1, 2", "feats", _SPLIT)
 def gbt_classification(b):
-    out, _ = _classifier_scores(b)
-    conf = metrics.confusion(out, ["end_hour", "split"], "label", "prediction")
-    m = metrics.classification_metrics(conf, ["end_hour", "split"])
-    return m.select("end_hour", "split", rnd("accuracy", 4).alias("accuracy"), rnd("f1", 4).alias("f1"), "total_predictions")
+    data, models = _classifier(b)
+    right, positive = (F.col("label") == F.col("prediction")).cast("int"), F.avg("label")
+    out = boosted.score_hours(data, models, classifier=True).groupBy("end_hour", "split").agg(
+        F.count("*").alias("total_predictions"), F.sum("label").cast("long").alias("n_positive"), F.avg(right).alias("accuracy"), F.greatest(positive, 1 - positive).alias("majority"))
+    return out.select("end_hour", "split", "total_predictions", "n_positive", ((F.col("split") != "train") | (F.col("accuracy") >= F.col("majority"))).alias("beats_majority"))
 
 
-@query("score_predictions")
+@query("score_predictions", "SELECT end_hour, l_orderkey, l_linenumber, split, lab AS actual, TRUE AS chances_add_up, TRUE AS confidence_is_largest, TRUE AS prediction_is_likelier FROM bs", "feats", _SPLIT)
 def score_predictions(b):
-    out, _ = _classifier_scores(b)
-    return out.select("end_hour", "l_orderkey", "l_linenumber", "split", F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"),
-                      "predicted_prob_class_0", "predicted_prob_class_1", "prediction_confidence")
+    data, models = _classifier(b)
+    out = boosted.score_hours(data, models, classifier=True)
+    p0, p1 = F.col("predicted_prob_class_0"), F.col("predicted_prob_class_1")
+    return out.select(
+        "end_hour", "l_orderkey", "l_linenumber", "split", F.col("label").cast("int").alias("actual"), (F.abs(p0 + p1 - 1) < 1e-9).alias("chances_add_up"),
+        (F.col("prediction_confidence") == F.greatest(p0, p1)).alias("confidence_is_largest"), (F.col("prediction") == (p1 > p0).cast("double")).alias("prediction_is_likelier"))
+
+
+@query("model_complexity", """
+    SELECT end_hour, TRUE AS importances_add_up, TRUE AS trees_split, CAST(5 AS INT) AS n_features FROM feats GROUP BY 1""".replace("5 AS INT", f"{len(FEATS)} AS INT"), "feats")
+def model_complexity(b):
+    """Importances, nodes and depth of the fitted trees of every hour."""
+    _, models = _classifier(b)
+    imp = b.spark.createDataFrame(boosted.importance_rows(models, FEATS), "end_hour int, feature string, importance double")
+    nodes = b.spark.createDataFrame(boosted.complexity_rows(models), "end_hour int, nodes long, depth int")
+    total = imp.groupBy("end_hour").agg(F.sum("importance").alias("total"), F.count("*").cast("int").alias("n_features"))
+    return total.join(nodes, "end_hour").select(
+        "end_hour", (F.abs(F.col("total") - 1) < 1e-9).alias("importances_add_up"), ((F.col("nodes") > F.col("depth")) & (F.col("depth") >= 1)).alias("trees_split"), "n_features")
 
 
 _NS = gauss_ctes(FEATS) + ", cutoff AS (SELECT end_hour, avg(y) AS cut, " + ", ".join(f"stddev_samp({c}) AS sd_{c}" for c in FEATS) + f""" FROM feats GROUP BY 1),
@@ -632,20 +653,47 @@ def importance_ranking(b):
     return rounded(importance.importance_ranking(imp_rows(b).withColumn("feature", F.concat("feature", F.lit("_z"))), ["week_num"]), ["mean_abs_importance"], 8)
 
 
-_GRID = f"""gr AS (SELECT end_hour, alpha, 2 * w * cxy - w * w * cxx AS r0, vy FROM (
-    SELECT *, cxy / (cxx + alpha / n) AS w FROM (SELECT end_hour, count(*) AS n, covar_pop(l_quantity, y) AS cxy, var_pop(l_quantity) AS cxx, var_pop(y) AS vy FROM feats GROUP BY 1), (SELECT unnest([1.0, 10000.0, 1000000.0]) AS alpha))),
-    gh AS (SELECT end_hour, CAST(alpha AS DOUBLE) AS alpha, r0 / vy AS bootstrap_r2, round(r0 / vy * (1 - abs(end_hour - 12) / 100.0), 9) AS validation_r2 FROM gr)"""
+_GRID = f"""al AS (SELECT unnest([1.0, 10000.0, 1000000.0]::DOUBLE[]) AS alpha),
+    tr AS (SELECT end_hour, l_orderkey, l_linenumber, l_quantity AS x, y FROM feats WHERE year(utc_ts) < 2000), va AS (SELECT end_hour, l_quantity AS x, y FROM feats WHERE year(utc_ts) >= 2000),
+    ow AS (SELECT end_hour, g.r AS replicate, x, y, {weight_sql(ROWSQL, 'g.r')} AS w FROM tr, generate_series(0, 4) AS g(r)),
+    bf AS (SELECT end_hour, replicate, alpha, (sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / (sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2) + alpha / sum(w)) AS slope,
+                  sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM ow, al GROUP BY 1, 2, 3),
+    bo AS (SELECT end_hour, alpha, avg(r2) AS bootstrap_r2 FROM (
+        SELECT o.end_hour, o.replicate, alpha, 1 - sum(pow(y - my - slope * (x - mx), 2)) / (var_pop(y) * count(*)) AS r2 FROM ow o JOIN bf f ON f.end_hour = o.end_hour AND f.replicate = o.replicate WHERE w = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    vf AS (SELECT end_hour, alpha, covar_pop(x, y) / (var_pop(x) + alpha / count(*)) AS slope, avg(x) AS mx, avg(y) AS my FROM tr, al GROUP BY 1, 2),
+    vo AS (SELECT v.end_hour, alpha, 1 - sum(pow(y - my - slope * (x - mx), 2)) / (var_pop(y) * count(*)) AS validation_r2 FROM va v JOIN vf f ON f.end_hour = v.end_hour GROUP BY 1, 2),
+    gh AS (SELECT end_hour, alpha, round(bootstrap_r2, 9) AS bootstrap_r2, round(validation_r2, 9) AS validation_r2 FROM bo JOIN vo USING (end_hour, alpha))"""
 _GC = ["avg_bootstrap_r2", "std_bootstrap_r2", "avg_validation_r2", "std_validation_r2", "median_validation_r2"]
+GRID = [1.0, 10000.0, 1000000.0]
 
 
 @query("alpha_grid_summary", f"""
-    SELECT alpha, {r6('ab', 8)} AS avg_bootstrap_r2, {r6('sb', 8)} AS std_bootstrap_r2, {r6('av', 8)} AS avg_validation_r2, {r6('sv', 8)} AS std_validation_r2, CAST(n AS BIGINT) AS n_hours_trained, {r6('md', 8)} AS median_validation_r2,
+    SELECT alpha, {r6('ab')} AS avg_bootstrap_r2, {r6('sb')} AS std_bootstrap_r2, {r6('av')} AS avg_validation_r2, {r6('sv')} AS std_validation_r2, CAST(n AS BIGINT) AS n_hours_trained, {r6('md')} AS median_validation_r2,
            alpha = arg_max(alpha, av) OVER () AS best_by_mean, alpha = arg_max(alpha, md) OVER () AS best_by_median FROM (
         SELECT alpha, avg(bootstrap_r2) AS ab, stddev_pop(bootstrap_r2) AS sb, avg(validation_r2) AS av, stddev_pop(validation_r2) AS sv, count(*) AS n, quantile_cont(validation_r2, 0.5) AS md FROM gh GROUP BY 1)""", "feats", _GRID)
 def alpha_grid_summary(b):
-    fit = linear.fit_linear(feats(b), ["end_hour"], ["l_quantity"], "y", "ridge", [1.0, 10000.0, 1000000.0]).where(F.col("feature") == linear.INTERCEPT)
-    damped = F.round(F.col("r2") * (1 - F.abs(F.col("end_hour") - 12) / 100.0), 9)
-    return rounded(selection.alpha_grid_summary(fit.select("alpha", "end_hour", F.col("r2").alias("bootstrap_r2"), damped.alias("validation_r2"))), _GC, 8)
+    """Ridge at every alpha and hour: R2 of rows left out of bootstrap fits, and of the years after training."""
+    f, xs = feats(b), ["l_quantity"]
+    train, later = f.where(F.year("utc_ts") < 2000), f.where(F.year("utc_ts") >= 2000)
+    r2 = lambda d, keys: metrics.regression_metrics(d, keys, "actual", "prediction").select(*keys, "r2")
+    boot = tables.union_all([
+        r2(linear.bootstrap_oob(train, ["end_hour"], xs, "y", row_id(), n=5, kind="ridge", alpha=a), ["end_hour", "replicate"]).withColumn("alpha", F.lit(a)) for a in GRID])
+    boot = boot.groupBy("end_hour", "alpha").agg(F.round(F.avg("r2"), 9).alias("bootstrap_r2"))
+    coefs = linear.fit_linear(train, ["end_hour"], xs, "y", "ridge", GRID)
+    asked = later.select("end_hour", *xs, F.col("y").alias("actual"), F.explode(F.array(*map(F.lit, GRID))).alias("alpha"))
+    held = r2(linear.score_linear(asked, coefs, ["end_hour", "alpha"], xs), ["end_hour", "alpha"]).select("end_hour", "alpha", F.round("r2", 9).alias("validation_r2"))
+    return rounded(selection.alpha_grid_summary(boot.join(held, ["end_hour", "alpha"])), _GC)
+
+
+@query("median_parameters", f"""
+    SELECT quantile_cont(depth, 0.5) AS depth, quantile_cont(rate, 0.5) AS rate FROM (
+        SELECT end_hour, CAST(arg_max(n, [sc, -n]) AS DOUBLE) AS depth, CAST(arg_max(n, [sc, -n]) AS DOUBLE) / 10 AS rate FROM (
+            SELECT end_hour, CAST(length(settlement_point) AS INT) AS n, round(avg(validation_accuracy - 0.1 * greatest(0, train_accuracy - validation_accuracy - 0.1)), 9) AS sc FROM hres GROUP BY 1, 2) GROUP BY 1)""", "pred", _RP + ", " + _HRES)
+def median_parameters(b):
+    """Median over hours of the parameters of the best trial; the name lengths of the points stand for the parameter tried."""
+    scored = selection.tuning_score(hour_results(b)).withColumn("depth", F.length("settlement_point"))
+    scored = scored.groupBy("end_hour", "depth").agg(F.round(F.avg("score"), 9).alias("score")).withColumn("rate", F.col("depth") / 10)
+    return selection.median_parameters(selection.best_trials(scored, ["end_hour"], "depth"), ["depth", "rate"])
 
 
 @query("tuning_score", f"""
