@@ -135,3 +135,14 @@ def test_power_spectrum_equals_fft_of_each_series(series):
         f = np.abs(np.fft.fft(x)[: len(x) // 2]) ** 2 / len(x)
         f[1:] *= 2
         assert np.allclose(part["power"], f, rtol=1e-7, atol=1e-9)
+
+
+def test_positions_of_one_frequent_value_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from spreadlab.operators.quantiles import order_positions
+
+    df = spark.range(1000).select(F.lit("s").alias("k"), F.when(F.col("id") < 900, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    out = order_positions(df, ["k"], "v", chunk=50)
+    assert out.agg(F.countDistinct("position"), F.min("position"), F.max("position")).first() == (1000, 1, 1000)
+    assert "repartition" in out._jdf.queryExecution().logical().toString().lower()

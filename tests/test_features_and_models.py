@@ -85,6 +85,15 @@ def test_poisson_weights(spark):
     assert r[0] == pytest.approx(1, abs=0.03) and r[1] == pytest.approx(1, abs=0.05) and r[2] == pytest.approx(0.3679, abs=0.01)
 
 
+def test_hashed_numbers_do_not_repeat_with_large_ids(spark):
+    ids = [5, 5 + 2147483647, 5 + 2**40, -5]
+    for stream in (0, 9):
+        got = [r.u for r in spark.createDataFrame([(i,) for i in ids], "id long").select(uniform_hash("id", stream).alias("u")).collect()]
+        assert len(set(got)) == len(ids) and all(0 <= u < 1 for u in got)
+    top = spark.createDataFrame([(1 - 2.0**-52,), (0.0,)], "u double").select(poisson_weight(F.col("u")).alias("w")).collect()
+    assert top[0].w >= 16 and top[1].w == 0
+
+
 @pytest.fixture(scope="module")
 def regression(spark):
     rng = np.random.default_rng(5)
@@ -189,6 +198,12 @@ def test_elbow(spark):
     r = cluster.elbow_point(df).first()
     assert (r.elbow_k, r.distance) == (2, pytest.approx(0.3053, abs=1e-4))
     assert cluster.elbow_point(df.where("k <= 2")).first().elbow_k == 2
+    for bad in ("nan", "inf"):
+        broken = df.withColumn("inertia", F.when(F.col("k") == 4, F.lit(float(bad))).otherwise(F.col("inertia")))
+        r = cluster.elbow_point(broken).first()
+        assert (r.elbow_k, r.distance) == (2, None)
+    late = df.withColumn("inertia", F.when(F.col("k") <= 2, F.lit(float("nan"))).otherwise(F.col("inertia")))
+    assert cluster.elbow_point(late).first().elbow_k == 3
 
 
 def test_kmeans_values_find_separated_groups_and_exact_silhouette(spark):
@@ -291,6 +306,28 @@ def test_hour_similarity(spark):
     assert importance.hour_similarity(df).first().similarity == 0.5
 
 
+def test_one_hour_has_no_stability(spark):
+    top = spark.createDataFrame([(7, "a", 0), (7, "b", 1)], "end_hour int, feature string, rank int")
+    assert {r.stability for r in importance.feature_stability(top).collect()} == {0.0}
+
+
+def test_history_features_can_be_left_out():
+    cols = ["dart_slt_lag_24hr", "dart_slt_roll_mean_24hr", "load_forecast_a_slt", "etf_dow_sin"]
+    assert encode.feature_columns(cols, history=False) == ["load_forecast_a_slt", "etf_dow_sin"]
+
+
+def test_every_row_is_scored(spark):
+    rows = [(1 + i % 3, float(i % 7), int(i % 7 > 3)) for i in range(90)] + [(30, 1.0, 0)]
+    df = boosted.assembled(spark.createDataFrame(rows, "end_hour int, x double, y int"), ["x"], "y", "end_hour", [])
+    models = boosted.fit_hours(df.where("end_hour <= 2"), lambda: boosted.gbt_classifier(trees=2, depth=2, weighted=False))
+    out = boosted.score_hours(df, models, classifier=True)
+    assert out.count() == 91 and out.where("prediction is null").count() == 31
+    assert {(r.end_hour, r.n_rows) for r in boosted.skipped_hours(df, models).collect()} == {(3, 30), (30, 1)}
+    several = boosted.assembled(spark.createDataFrame([(1, float(i % 9), i % 3) for i in range(90)], "end_hour int, x double, y int"), ["x"], "y", "end_hour", [])
+    many = boosted.score_hours(several, boosted.fit_hours(several, lambda: boosted.forest_classifier(trees=3, depth=3)), classifier=True)
+    assert {"predicted_prob_class_0", "predicted_prob_class_1", "predicted_prob_class_2"} <= set(many.columns)
+
+
 def test_spikes_are_null_without_any(spark):
     df = spark.createDataFrame([("k", 1.0, 1.0), ("k", 1.0, 1.0)], "k string, y double, p double")
     r = metrics.spike_metrics(df, ["k"], "y", "p").first()

@@ -81,6 +81,22 @@ def test_payload_documents(spark, tmp_path):
         payload.read_payloads(spark, str(tmp_path), doc["fields"]).collect()
 
 
+def test_payload_values_follow_the_documents_own_fields(spark, tmp_path):
+    kinds = [{"name": "a", "dataType": "INTEGER"}, {"name": "b", "dataType": "INTEGER"}]
+    (tmp_path / "x.json").write_text(json.dumps({"_meta": "m", "fields": kinds[::-1], "data": [["1", "2"]]}))
+    (tmp_path / "y.json").write_text(json.dumps({"_meta": "m", "fields": kinds, "data": [["3", "4"]]}))
+    assert sorted(map(tuple, payload.read_payloads(spark, str(tmp_path), kinds).collect())) == [(2, 1), (3, 4)]
+    with pytest.raises(Exception, match="no field c"):
+        payload.read_payloads(spark, str(tmp_path), [*kinds, {"name": "c", "dataType": "INTEGER"}]).collect()
+
+
+def test_daily_files_follow_dates(spark, tmp_path):
+    df = spark.createDataFrame([(D("2024-01-01 00:00") + dt.timedelta(hours=h), float(h)) for h in range(24 * 6)], "utc_ts timestamp, price double").repartition(30)
+    tables.write_daily(df, F.to_date("utc_ts"), str(tmp_path / "d"), files_per_date=2)
+    assert len(list((tmp_path / "d").rglob("*.parquet"))) <= 12
+    assert spark.read.parquet(str(tmp_path / "d")).groupBy("extract_date").count().where("count = 24").count() == 6
+
+
 def test_records(spark, tmp_path):
     from pyspark.sql import types as T
 
