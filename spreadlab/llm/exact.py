@@ -9,6 +9,8 @@ from spreadlab.llm.common import Scratch, without_blanks
 
 PIECE_ROWS = 64
 HOT_SHARE = 1e-5
+#: Characters of a normalised text that go into the sampled splitters.
+HEAD = 64
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = PIECE_ROWS, hot_share: float = HOT_SHARE) -> DataFrame:
@@ -18,8 +20,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row with the most code points stays, then the smallest id, a null id last. Of rows that
     tie in everything one stays. Other columns are not read, whatever their names.
 
-    Splitters sampled by Spark range-partition the normalised texts, an external sort puts
-    equal ones side by side, and the window compares neighbours in full. A group of more than
+    Splitters sampled by Spark range-partition the normalised texts by their heads, and by a
+    hash where heads agree, so that samples of whole texts never reach the driver. An external
+    sort puts equal texts side by side, and the window compares neighbours in full. A group of more than
     piece_rows rows and hot_share of all rows (so at most 1 / hot_share groups) is dealt out
     in pieces of about piece_rows rows; the first row of each piece carries its text into a
     second comparison, so a hot group is pre-aggregated before it meets in one place.
@@ -36,11 +39,13 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")
         .withColumn("salt", F.pmod(F.xxhash64("id", "chars"), F.coalesce("pieces", F.lit(1))))
+        .withColumn("head", F.substring("norm", 1, HEAD))
     )
-    group = Window.partitionBy("norm", "salt")
+    ranged = ("head", "h", "salt")
+    group = Window.partitionBy(*ranged, "norm")
     ranked = group.orderBy(F.col("chars").desc(), F.col("id").asc_nulls_last())
     compared = (
-        salted.repartitionByRange("norm", "salt")
+        salted.repartitionByRange(*ranged)
         .withColumn("rank", F.row_number().over(ranked))
         .withColumn("keep", F.first(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("last"), F.col("id").alias("id"))).over(ranked))
         .withColumn("n", F.count("*").over(group))
