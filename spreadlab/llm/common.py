@@ -54,7 +54,7 @@ class Scratch:
     """Intermediate tables in the shared folder: written once as Parquet, read by later steps.
 
     A lost executor re-reads files instead of recomputing the chain before them. `drop`
-    removes a table that no unfinished step reads any more.
+    removes a table that no unfinished step reads any more; the rest goes when the session ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -68,6 +68,8 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         self.paths[name] = path
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
