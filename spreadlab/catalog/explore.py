@@ -13,6 +13,7 @@ from spreadlab.operators import calendar, cluster, correlate, describe as ds, en
 
 PT = ["location", "location_type"]
 _W = "PARTITION BY location, location_type"
+from spreadlab.session import join_measured
 
 
 def rounded(df, cols, digits=6):
@@ -397,7 +398,7 @@ def elbow_point(b):
     """Elbow of the within-bin squares of 1..6 equal-width bins, a curve SQL can reproduce."""
     s = b.spread.where("dart_slt is not null")
     rng = s.groupBy(*PT).agg(F.min("dart_slt").alias("lo"), F.max("dart_slt").alias("hi"))
-    j = s.join(rng, PT).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, 7)])))
+    j = join_measured(s, rng, PT).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, 7)])))
     bin_ = F.least(F.floor((F.col("dart_slt") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("k"))).cast("int"), F.col("k") - 1)
     sse = j.groupBy(*PT, "k", bin_.alias("bin")).agg((F.var_pop("dart_slt") * F.count("*")).alias("sse"))
     return rounded(cluster.elbow_point(sse.groupBy(*PT, "k").agg(F.sum("sse").alias("inertia"))), ["distance"])

@@ -12,6 +12,7 @@ from spreadlab.catalog.registry import query
 from spreadlab.functions.columns import poisson_steps, rnd
 from spreadlab.learning import bootstrap, boosted, folds, importance, linear, metrics, scoring, selection, targets
 from spreadlab.operators import describe, encode, vintage
+from spreadlab.session import join_measured
 from spreadlab.sources import tables
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
@@ -205,8 +206,18 @@ def _boost_data(b, label):
     return boosted.partitioned_by_hour(boosted.assembled(f, FEATS, "label_", "end_hour", ["utc_ts", "l_orderkey", "l_linenumber", "split"]))
 
 
+_FITTED: dict[tuple, tuple] = {}
+
+
 def _classifier(b):
-    """Tuned classifiers of every hour, fitted on the training years, and the rows they score."""
+    """Tuned classifiers of every hour, fitted once a session on the training years, and the rows they score."""
+    key = (b.spark.sparkContext.applicationId, b.sf_dir)
+    if key not in _FITTED:
+        _FITTED[key] = _fit_classifier(b)
+    return _FITTED[key]
+
+
+def _fit_classifier(b):
     data = _boost_data(b, (F.col("l_extendedprice") > 40000).cast("int"))
     train = boosted.with_class_weight(data.where("split = 'train'"), "end_hour", selection.TUNED_PRESET["scale_pos_weight"])
     return data, boosted.fit_hours(train, boosted.tuned_classifier)
@@ -270,7 +281,7 @@ def noise_stability(b):
     f = feats(b)
     coefs = linear.fit_linear(f, ["end_hour"], FEATS, "y")
     cut = f.groupBy("end_hour").agg(F.avg("y").alias("cut"), *[F.stddev_samp(c).alias(f"sd_{c}") for c in FEATS])
-    base = linear.score_linear(f, coefs, ["end_hour"], FEATS, "base").join(cut, "end_hour")
+    base = join_measured(linear.score_linear(f, coefs, ["end_hour"], FEATS, "base"), cut, ["end_hour"])
     noisy = base.withColumn("level", F.explode(F.array(F.lit(0.01), F.lit(0.05), F.lit(0.1))))
     for i, c in enumerate(FEATS):
         noisy = noisy.withColumn(c, F.col(c) + F.col("level") * F.col(f"sd_{c}") * encode.standard_normal(row_id(), 40 + i))

@@ -89,7 +89,7 @@ def with_class_weight(train: DataFrame, hour: str, positive: float | None = None
         "weight", F.when((F.col("label") == 1) & (F.col("__pos") > 0), F.col("__neg") / F.col("__pos")).otherwise(1.0)).drop("__neg", "__pos")
 
 
-def fit_hours(train: DataFrame, make: Callable, hour: str = "end_hour", parallel: int = 4) -> dict[int, object]:
+def fit_hours(train: DataFrame, make: Callable, hour: str = "end_hour", parallel: int = 8) -> dict[int, object]:
     """Fit one model per hour on its rows, several hours side by side; `train` should be partitioned by hour."""
     hours = hours_of(train, hour)
     with ThreadPoolExecutor(max_workers=parallel) as pool:

@@ -31,6 +31,7 @@ def _zones(names: list[str]) -> str:
 
 
 # DDL text, so that importing this module needs no session.
+# Declared schemas of the published input files.
 SCHEMAS = {
     "rt_spp": (
         "deliveryDate date, deliveryHour int, deliveryInterval int, settlementPoint string, "
@@ -57,6 +58,7 @@ SCHEMAS = {
     ),
 }
 
+# Column names of prediction tables.
 PREDICTION_COLUMNS = ["utc_ts", "actual_dart_slt", "predicted_dart_slt", "end_hour"]
 PREDICTION_OPTIONAL = ["prediction_confidence", "predicted_prob_class_0", "predicted_prob_class_1"]
 
