@@ -259,8 +259,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     strings between the places take their classes from them, and neighbours' prefixes say what
     occurs again. Only places whose first `gram` bytes recur take part: the others cannot lie
     in a repeated string. Places of one first string are merged in one task up to `hot_group`;
-    beyond that their strings are dealt out and counted by hash, with counts formed before the
-    shuffle.
+    beyond that places with the same bytes on both sides are met first, and only one of them
+    has its strings dealt out and counted by hash, with counts formed before the shuffle.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     blank = F.coalesce(F.col(text_col), F.lit(""))
@@ -284,7 +284,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = found.join(large, "first", "left_anti") if not large.isEmpty() else found
     marks = small.repartition("first").sortWithinPartitions("first").mapInArrow(merge(length, gram), MARKS)
     if not large.isEmpty():
-        keyed = found.join(large, "first", "left_semi").select(*SUFFIX.names).mapInArrow(window_keys(length, gram), "first long, oid long, th long, at int, offsets array<int>, keys array<long>")
+        crowded = found.join(large, "first", "left_semi")
+        alike = scratch.keep(crowded.groupBy("first", "before", "after").agg(F.count("*").alias("n"), F.min(F.struct("oid", "th", "at")).alias("one")), "alike")
+        side = length - gram
+        low, high = side - F.length("after"), F.length("before")
+        whole = crowded.join(alike.where("n > 1").select("first", "before", "after"), ["first", "before", "after"]).where(low <= high)
+        marks = marks.unionByName(whole.select("oid", "th", (F.col("at") - high).alias("start"), (F.col("at") - low + length).alias("end")))
+        keyed = alike.select("first", "one.oid", "one.th", "one.at", "before", "after").mapInArrow(window_keys(length, gram), "first long, oid long, th long, at int, offsets array<int>, keys array<long>")
         rows = keyed.select("first", "oid", "th", "at", F.explode(F.arrays_zip("offsets", "keys")).alias("k")).select("first", "oid", "th", "at", F.col("k.offsets").alias("offset"), F.col("k.keys").alias("key"))
         again = rows.groupBy("first", "offset", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         start = F.col("at") - F.col("offset")
