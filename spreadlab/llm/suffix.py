@@ -291,6 +291,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = crowded.join(alike.where("n > 1").select("first", "before", "after"), ["first", "before", "after"]).where(low <= high)
         marks = marks.unionByName(whole.select("oid", "th", (F.col("at") - high).alias("start"), (F.col("at") - low + length).alias("end")))
         keyed = alike.select("first", "one.oid", "one.th", "one.at", "before", "after").mapInArrow(window_keys(length, gram), "first long, oid long, th long, at int, offsets array<int>, keys array<long>")
+        keyed = scratch.keep(keyed, "keyed")
         rows = keyed.select("first", "oid", "th", "at", F.explode(F.arrays_zip("offsets", "keys")).alias("k")).select("first", "oid", "th", "at", F.col("k.offsets").alias("offset"), F.col("k.keys").alias("key"))
         again = rows.groupBy("first", "offset", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         start = F.col("at") - F.col("offset")
