@@ -177,3 +177,20 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN k USING (
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Every line that occurs earlier goes, whatever stands around it; op7_line_dedup takes runs of two.
+SINGLE_LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+a AS (SELECT doc_id, unnest(generate_series(1, len(s))) AS place, unnest(s) AS line FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS n FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (n > 1) AS n_removed FROM l GROUP BY doc_id),
+k AS (SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.place) AS t FROM a LEFT JOIN l USING (doc_id, place) WHERE l.n IS NULL OR l.n = 1 GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@query("op7_single_line_dedup", SINGLE_LINES_SQL)
+def op7_single_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), run=1)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, exact, lines, mixing, packing, quality
+from spreadlab.llm import chat, exact, lines, mixing, packing, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -222,6 +222,18 @@ def test_line_dedup_by_brute_force(spark, run):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_text) for r in got) == texts
 
 
+def test_single_lines_go_wherever_they_recur(spark, tmp_path):
+    """A lone repeated line and copies of one-line documents, which no run of two lines shows."""
+    data = [(1, "alone\nshared line\nafter"), (2, "before\nshared line"), (3, "only one"), (4, "only one"), (5, " \nonly one\n\nshared line\nx\nx"), (6, None), (None, "x\nlast")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_lines(data, 1)
+    assert want[last_none(4), "only one"] == (1, 1, "") and want[last_none(2), "before\nshared line"] == (2, 1, "before")
+    got = queries.QUERIES["op7_single_line_dedup"](spark, str(tmp_path)).collect()
+    digest = lambda n, gone, kept: (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+    assert Counter(map(tuple, got)) == Counter((i, *digest(*want[last_none(i), t or ""])) for i, t in data)
+
+
 def test_empty_tables(empty, spark):
     assert exact.content_sort(empty).count() == 0 and exact.drop_copies(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.emit(empty).count() == 0
