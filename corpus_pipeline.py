@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from spreadlab.llm import exact, jaccard, mixing, packing, quality
 from spreadlab.llm.common import Scratch
 
+#: Near copies share four fifths of their shingles of five words; op10_ngram_jaccard has values of its own.
+SHINGLE = 5
+PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
@@ -17,7 +21,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.drop_near_copies(docs)
+    return jaccard.drop_near_copies(docs, width=SHINGLE, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,21 @@ def test_stages_return_the_columns_of_documents(spark, small_dir):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small_dir).count() == 0
+
+
+def test_near_copies_share_four_fifths_of_five_word_shingles(spark):
+    """Two scattered edits in 94 words leave 80 of 100 shingles of five words, and 83 of 99 of four, under 0.85."""
+    docs, want = [], set()
+    for k, n in enumerate((93, 94, 100)):
+        for base, edits in ((100 * k, 0), (100 * k + 1, 2)):
+            w = [f"{'abc'[k]}{j}" for j in range(n)]
+            for e in range(edits):
+                w[20 + 40 * e] = f"edit{e}"
+            docs.append((base, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in docs}
+    for i, _ in docs:
+        if not i % 100 or 5 * len(sets[i] & sets[i - 1]) < 4 * len(sets[i] | sets[i - 1]):
+            want.add(i)
+    assert want == {0, 1, 100, 200}
+    out = corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in out.collect()} == want
