@@ -72,12 +72,22 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(F.transform(blocks, head), turns))
 
 
+def under_loss(formatted: Column, mask_runs: Column) -> Column:
+    """The formatted text where mask_runs has the loss on, in time linear in its length."""
+    on = F.flatten(F.transform(mask_runs, lambda r: F.array_repeat(r["on"], r["n"])))
+    spots = F.arrays_zip(F.split(formatted, "").alias("c"), on.alias("on"))
+    return F.array_join(F.transform(F.filter(spots, lambda x: x["on"]), lambda x: x["c"]), "")
+
+
 def read_chats(chats: DataFrame) -> DataFrame:
-    """Digests of what formatted conversations hold: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("_turns"))
+    """Digests of what formatted conversations hold: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The loss columns are read from the text under mask_runs, whatever roles the turns have.
+    """
+    loss = unescape(under_loss(F.col("formatted"), F.col("mask_runs")))
+    read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_turns(F.col("formatted")).alias("_turns"), loss.alias("_loss"))
     whole = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("_turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    read = read.select("conv_id", "formatted_chars", F.size("_turns").cast("long").alias("n_turns"), whole.alias("_whole"), loss.alias("_loss"))
+    read = read.select("conv_id", "formatted_chars", F.size("_turns").cast("long").alias("n_turns"), whole.alias("_whole"), "_loss")
     return read.select(
         "conv_id",
         "n_turns",

@@ -185,6 +185,16 @@ def test_chat_round_trip(spark):
     assert got[1].formatted.count(chat.START) == 2
 
 
+def test_loss_is_read_under_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a\U0001f600b"), (1, 1, "assistant", "\U0001f600é</s>\x1b0")], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(df)
+    off = chats.withColumn("mask_runs", F.transform("mask_runs", lambda r: r.withField("on", F.lit(False))))
+    late = chats.withColumn("mask_runs", F.transform("mask_runs", lambda r, i: F.when(i == 1, r.withField("on", F.lit(True))).otherwise(r.withField("on", F.lit(False)))))
+    for masked, loss in ((chats, "\U0001f600é</s>\x1b0"), (off, ""), (late, "a\U0001f600b")):
+        r = chat.read_chats(masked).first()
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def brute_lines(rows, run):
     order = sorted({(last_none(i), t or "") for i, t, *_ in rows})
     first, out = {}, {}
