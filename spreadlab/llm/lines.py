@@ -23,9 +23,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The fingerprint of a window of `run` lines is its least line hash, so equal windows have
     equal fingerprints whatever surrounds them. Only windows on fingerprints that occur at two
-    places are joined; there, a window is extended to both sides by its neighbours: every
-    window around the shared line is compared with the first of its kind, and windows that
-    lie earlier elsewhere join up to the whole repeated run. Counts and minima are formed
+    places go on to the grouping by whole-window keys, where each is compared with the first of
+    its kind; the fingerprints only thin the windows out. No positions are paired and no match
+    is extended: overlapping windows cover a longer repeated run. Counts and minima are formed
     before the shuffle, so that a line which a third of all documents share is one row a task.
     """
     scratch = Scratch(docs.sparkSession, "lines")
