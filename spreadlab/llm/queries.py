@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, exact, jaccard, langid, lines, mixing, packing, quality, substring, suffix
+from spreadlab.llm import chat, exact, jaccard, langid, lines, mixing, packing, quality, repair, sharding, substring, suffix
 from spreadlab.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -194,3 +194,15 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 def op7_single_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_repeated_lines(table(spark, sf_dir, "documents"), run=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: No SQL moves documents turn by turn under quotas; tests/llm holds the result against its law.
+@query("op11_sharding")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+#: Cheapest edits need a recursion over rows and states; tests/llm holds them against all edits of short conversations.
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
