@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlab.llm import chat, exact, jaccard, langid, lines, mixing, packing, quality, repair, sharding, substring, suffix
+from spreadlab.llm import chat, exact, jaccard, langid, lines, mixing, packing, quality, repair, resample, sharding, substring, suffix
 from spreadlab.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -149,7 +149,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id
 
 @query("op10_ngram_jaccard", JACCARD_SQL)
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_sets(table(spark, sf_dir, "documents")).drop("_oid", "_component")
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))
 
 
 #: The whole strings are compared: no SQL gives all positions of all texts in bearable time. tests/llm holds it against brute force.
@@ -206,3 +206,30 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+FEATURES_SQL = """SELECT {id} AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"""
+RESAMPLE_SQL = f"""
+WITH d AS ({FEATURES_SQL.format(id='doc_id', table='documents')}), b AS ({FEATURES_SQL.format(id='item_id', table='benchmark')}),
+f AS (SELECT id, list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+e AS (SELECT list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+fc AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(f) AS g FROM f) GROUP BY id, g),
+ec AS (SELECT g, count(*) AS n FROM (SELECT unnest(f) AS g FROM e) GROUP BY g),
+x AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM fc UNION SELECT g FROM ec)),
+t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+k AS (SELECT g, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+             lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) % 10000 AS k FROM x, t),
+s AS (SELECT k, sum(n) AS n FROM fc JOIN k USING (g) GROUP BY k), u AS (SELECT k, sum(n) AS n FROM ec JOIN k USING (g) GROUP BY k),
+z AS (SELECT k, CAST(floor(1000 * ln(CAST(coalesce(u.n, 0) + 1 AS DOUBLE) * ((SELECT sum(n) FROM s) + 10000) / (CAST(s.n + 1 AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM u) + 10000)))) AS BIGINT) AS gain
+      FROM s LEFT JOIN u USING (k)),
+m AS (SELECT id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM fc JOIN k USING (g) JOIN z USING (k) GROUP BY id),
+r AS (SELECT d.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(greatest(2 * len(w) - 1, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || CAST(d.id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN m ON m.id = d.id),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS p, count(*) OVER (PARTITION BY n_words >= 20) AS c FROM r)
+SELECT doc_id, n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND p <= 25 * c // 100 THEN p END AS rank FROM q"""
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -137,3 +137,31 @@ def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+
+
+class Summary:
+    """Counts of frequent keys in bounded memory: when it is full, the rarest half go."""
+
+    def __init__(self, most: int):
+        self.most, self.parts = most, []
+
+    def add(self, first: np.ndarray, second: np.ndarray) -> None:
+        mark = first * _FAR + second * np.uint64(0xC2B2AE3D27D4EB4F)
+        _, one, n = np.unique(mark, return_index=True, return_counts=True)
+        self.parts.append((first[one], second[one], n))
+        if sum(len(p[2]) for p in self.parts) > 2 * self.most:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
+        first, second, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((second, first))
+        first, second, n = first[order], second[order], n[order]
+        head = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))) if len(first) else np.zeros(0, np.int64)
+        first, second, n = first[head], second[head], np.add.reduceat(n, head) if len(head) else n
+        if len(n) > self.most:
+            top = np.argpartition(n, len(n) - self.most)[len(n) - self.most :]
+            first, second, n = first[top], second[top], n[top]
+        self.parts = [(first, second, n)]
+        return self.parts[0]
