@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.features import ZONES, _LATEST
-from spreadlab.catalog.oracle_models import lloyd_ctes
+from spreadlab.catalog.oracle_models import lloyd_ctes, vector_lloyd_ctes
 from spreadlab.catalog.oracle_parts import r6, slt
 from spreadlab.catalog.registry import query
 from spreadlab.functions.columns import PPF_A, PPF_B, PPF_C, PPF_D, PPF_LOW, rnd, signed_log
@@ -345,41 +345,39 @@ def kmeans_by_sign(b):
 _FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
 
 
-def _vector_table(b, df, columns, ks):
-    rows = cluster.kmeans_vectors(df, columns, ks)
-    return b.spark.createDataFrame(rows, "k int, inertia double, silhouette_sq double, sizes array<bigint>")
+_ZS = [f"{c}_z" for c in _FEATS]
 
 
-def _scaled(b):
-    f = b.features_by_hour.select("end_hour", *_FEATS, "l_orderkey", "l_linenumber").withColumn("__all", F.lit(1))
-    return encode.zscore(f, _FEATS, ["__all"])
+def _scaled(b, noise=False):
+    """(kind, z columns): the scaled features, and their noise twin as a kind beside them."""
+    f = b.features_by_hour.select(*_FEATS, "l_orderkey", "l_linenumber").withColumn("__all", F.lit(1))
+    real = encode.zscore(f, _FEATS, ["__all"]).select(F.lit("real").alias("kind"), *_ZS)
+    if not noise:
+        return real
+    twin = encode.noise_twin(f, _FEATS, F.col("l_orderkey") * 8 + F.col("l_linenumber"), ["__all"])
+    return real.unionByName(twin.select(F.lit("noise").alias("kind"), *[F.col(f"{c}_n01_z").alias(f"{c}_z") for c in _FEATS]))
+
+
+_ZSQL = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}_z" for c in _FEATS)
+_REAL = f"SELECT 'real' AS kind, l_orderkey * 8 + l_linenumber AS rid, {_ZSQL} FROM feats"
 
 
-# Start rows of the vector clustering are random; SQL states what holds for any of them.
 @query("kmeans_multivariate", f"""
-    SELECT CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n_rows, CASE WHEN k = 1 THEN {r6('n * 4.0', 4)} END AS inertia_of_one, TRUE AS falls
-    FROM (SELECT count(*) AS n FROM feats), (SELECT unnest(generate_series(1, 10)) AS k)""", "feats")
+    SELECT CAST(k AS INT) AS k, CAST(n_rows AS BIGINT) AS n_rows, {r6('inertia', 3)} AS inertia, CASE WHEN k > 1 THEN {r6('silhouette', 5)} END AS silhouette, sizes
+    FROM vi JOIN vz USING (kind, k) LEFT JOIN vsil USING (kind, k)""", "feats", f"vsrc AS ({_REAL}), " + vector_lloyd_ctes("vsrc", _ZS, [("real", 10)]))
 def kmeans_multivariate(b):
-    return _vector_facts(_vector_table(b, _scaled(b), [f"{c}_z" for c in _FEATS], list(range(1, 11))))
+    """Inertia, silhouette and cluster sizes of the scaled features for k up to 10."""
+    t = cluster.kmeans_vectors(_scaled(b), _ZS, list(range(1, 11)))
+    sizes = F.array_join(F.transform("sizes", lambda n: n.cast("string")), ",")
+    return t.select("k", "n_rows", rnd("inertia", 3).alias("inertia"), rnd("silhouette", 5).alias("silhouette"), sizes.alias("sizes"))
 
 
-@query("kmeans_real_vs_noise", f"""
-    SELECT kind, CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n_rows, CASE WHEN k = 1 THEN {r6('n * 4.0', 4)} END AS inertia_of_one, TRUE AS falls
-    FROM (SELECT count(*) AS n FROM feats), (SELECT unnest(generate_series(1, 6)) AS k), (SELECT unnest(['real', 'noise']) AS kind)""", "feats")
+@query("kmeans_real_vs_noise")
 def kmeans_real_vs_noise(b):
-    """The curve of the features beside that of their noise twin."""
-    ks = list(range(1, 7))
-    f = b.features_by_hour.select(*_FEATS, "l_orderkey", "l_linenumber").withColumn("__all", F.lit(1))
-    noise = encode.noise_twin(f, _FEATS, F.col("l_orderkey") * 8 + F.col("l_linenumber"), ["__all"])
-    curves = {"real": _vector_table(b, _scaled(b), [f"{c}_z" for c in _FEATS], ks), "noise": _vector_table(b, noise, [f"{c}_n01_z" for c in _FEATS], ks)}
-    return _vector_facts(curves["real"]).withColumn("kind", F.lit("real")).unionByName(_vector_facts(curves["noise"]).withColumn("kind", F.lit("noise")))
-
-
-def _vector_facts(t):
-    """Rows of every k, the squares of one cluster, and whether more clusters leave less than one does."""
-    one = t.where("k = 1").select(F.col("inertia").alias("whole"))
-    n = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    return t.join(F.broadcast(one)).select("k", n.alias("n_rows"), F.when(F.col("k") == 1, rnd("inertia", 4)).alias("inertia_of_one"), ((F.col("k") == 1) | (F.col("inertia") < F.col("whole"))).alias("falls"))
+    """The curve of the features beside that of their noise twin, with the elbow of both."""
+    t = cluster.kmeans_vectors(_scaled(b, noise=True), _ZS, list(range(1, 7)), ["kind"])
+    elbow = cluster.elbow_point(t.select("kind", F.col("k"), "inertia"), ["kind"])
+    return t.join(F.broadcast(elbow), "kind").select("kind", "k", "n_rows", rnd("inertia", 3).alias("inertia"), rnd("silhouette", 5).alias("silhouette"), "elbow_k", rnd("distance").alias("distance"))
 
 
 _CURVE = """rngs AS (SELECT location, location_type, min(dart_slt) AS lo, max(dart_slt) AS hi FROM spread WHERE dart_slt IS NOT NULL GROUP BY 1, 2),

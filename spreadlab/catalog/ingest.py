@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from spreadlab.catalog.oracle_parts import LOCAL, r6, slt
@@ -12,8 +10,7 @@ from spreadlab.functions import timeconv as tc
 from spreadlab.functions.columns import inverse_signed_log, rnd, signed_log
 from spreadlab.operators import bars, clean, target
 from spreadlab.plans import etl
-from spreadlab.session import checkpoint_dir
-from spreadlab.sources import payload, tables
+from spreadlab.sources import files, payload, tables
 
 _UTC_FIRST = "timezone('UTC', timezone('America/Chicago', {0}))"
 
@@ -248,7 +245,7 @@ def distinct_posted_dates(b):
            CAST(count(*) AS BIGINT) AS n_rows, min(utc_ts) AS first_ts, max(utc_ts) AS last_ts FROM rth GROUP BY 1, 2""", "rth")
 def daily_partition_extract(b):
     """Written under a directory per date and read back from there."""
-    path = f"{checkpoint_dir(b.spark)}/daily-{uuid.uuid4().hex}"
+    path = files.scratch_path(b.spark, "daily")
     tables.write_daily(b.rt_hourly, F.to_date("utc_ts"), path)
     return b.spark.read.parquet(path).groupBy(
         F.col("extract_date").cast("string").alias("extract_date"),
@@ -346,13 +343,16 @@ def hourly_price_stats(b):
            {r6('stddev_samp(settlementPointPrice)')} AS price_std, CAST(hour(date_trunc('hour', local_ts)) AS INT) AS hour_local
     FROM rt_norm WHERE settlementPoint[1:3] IN ('LZ_', 'HB_') GROUP BY 1, 2, 3, 4, 7""", "raw_rt", _RT_NORM)
 def etl_rt_end_to_end(b):
-    return etl.etl_rt(b.raw_rt).transformed
+    """Raw rows to the written hourly layer in one scan; keys, points and days are checked on the way, and nothing lands if one fails."""
+    path = files.scratch_path(b.spark, "rt-layer")
+    schema = etl.land_rt(b.raw_rt, path)
+    return b.spark.read.schema(schema).parquet(path)
 
 
 @query("layer_round_trip", "SELECT utc_ts, local_ts, location, location_type, price_mean, price_std, CAST(hour_local AS INT) AS hour_local FROM rth", "rth")
 def layer_round_trip(b):
     """The hourly layer written by location and month, and scanned again."""
-    path = f"{checkpoint_dir(b.spark)}/layer-{uuid.uuid4().hex}"
+    path = files.scratch_path(b.spark, "layer")
     tables.write_layer(b.rt_hourly, path, files_per_span=2)
     return b.spark.read.schema(b.rt_hourly.schema).parquet(path)
 

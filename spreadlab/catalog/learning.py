@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from spreadlab.catalog.explore import rounded
 from spreadlab.catalog.features import _LATEST, ZONES, normal_sql, uniform_sql
-from spreadlab.catalog.oracle_models import gauss_ctes, lasso_ctes, moments_cte
+from spreadlab.catalog.oracle_models import gauss_ctes, lasso_ctes, moments_cte, resample_ctes
 from spreadlab.catalog.oracle_parts import r6
 from spreadlab.catalog.registry import query
-from spreadlab.functions.columns import poisson_steps, rnd
-from spreadlab.learning import bootstrap, boosted, folds, importance, linear, metrics, scoring, selection, targets
+from spreadlab.functions.columns import rnd
+from spreadlab.learning import bootstrap, folds, importance, linear, metrics, scoring, selection, targets, trees
 from spreadlab.operators import describe, encode, vintage
-from spreadlab.session import join_measured
+from spreadlab.session import join_measured, written
 from spreadlab.sources import tables
 
 FEATS = ["l_quantity", "l_discount", "l_tax", "p_retailprice"]
@@ -112,12 +112,12 @@ def _fit_sql(xs, digits=5):
 
 @query("ols_per_hour", _fit_sql(FEATS), "feats", gauss_ctes(FEATS))
 def ols_per_hour(b):
-    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y").drop("alpha", "r2"), ["coefficient"], 5)
+    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y").drop("alpha", "r2", "gap"), ["coefficient"], 5)
 
 
 @query("ridge_per_hour", _fit_sql(FEATS), "feats", gauss_ctes(FEATS, 10.0))
 def ridge_per_hour(b):
-    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "ridge", [10.0]).drop("alpha", "r2"), ["coefficient"], 5)
+    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "ridge", [10.0]).drop("alpha", "r2", "gap"), ["coefficient"], 5)
 
 
 ALPHAS = [0.001, 0.01, 0.1]
@@ -129,7 +129,7 @@ _LAS = moments_cte("g0", "feats", FEATS, "y", "end_hour") + ", gv AS (SELECT end
 @query("lasso_per_hour", " UNION ALL ".join(
     f"SELECT end_hour, alpha, '{n}' AS feature, {r6(w)} AS coefficient, CAST(n AS BIGINT) AS n, {r6('r2')} AS r2 FROM lr" for n, w in [*((f, f"w{i}") for i, f in enumerate(FEATS)), ("(intercept)", "wi")]), "feats", _LAS)
 def lasso_per_hour(b):
-    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", ALPHAS), ["coefficient", "r2"])
+    return rounded(linear.fit_linear(feats(b), ["end_hour"], FEATS, "y", "lasso", ALPHAS).drop("gap"), ["coefficient", "r2"])
 
 
 _ZEROED = " + ".join(f"CAST(abs(w{i}) <= 1e-12 AS INT)" for i in range(4))
@@ -142,13 +142,7 @@ def lasso_sparsity(b):
     return rounded(linear.sparsity(c, ["end_hour", "alpha"]), ["sparsity_ratio", "r2"])
 
 
-def weight_sql(key: str, stream: str) -> str:
-    """Poisson(1) weight from the hashed uniform by counting passed thresholds."""
-    u = uniform_sql(key, stream)
-    return "list_transform([" + u + "], lambda u: " + " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INT)" for c in poisson_steps()) + ")[1]"
-
-
-_STAB = (f"rw AS (SELECT f.*, g.r AS replicate, {weight_sql(ROWSQL, 'g.r')} AS w FROM feats f, generate_series(0, 9) AS g(r)), "
+_STAB = (resample_ctes("rw", "feats", "end_hour", ROWSQL, uniform_sql, 10, [*FEATS, "y"]) + ", "
          + moments_cte("g0", "rw", FEATS, "y", "end_hour, replicate", "w") + ", " + lasso_ctes(FEATS, [0.01], 8))
 
 
@@ -178,93 +172,150 @@ def coefficient_recovery(b):
         "recovered", F.abs(F.col("coefficient") - F.col("truth")) < 0.05)
 
 
+_COLS = [*FEATS, "y"]
+_SHIFT = dict(zip(_COLS, (25.0, 0.05, 0.04, 1500.0, 10.0)))
+_OFF = lambda c: f"({c} - {_SHIFT[c]}::DOUBLE)"
+_PAIRS = [(i, j) for i in range(4) for j in range(5)]
+_PREDICT = lambda rows, fit: f"{fit}.wi + " + " + ".join(f"{fit}.w{i} * {rows}.{c}" for i, c in enumerate(FEATS))
 _WFW = f"""first_ AS (SELECT CAST(DATE '{START}' + CAST((7 - isodow(DATE '{START}')) AS INT) AS DATE) AS d0),
     wk AS (SELECT f.*, CASE WHEN utc_ts >= d0 THEN (CAST(utc_ts AS DATE) - d0) // 7 + 1 END AS val_week,
                   CASE WHEN utc_ts >= d0 THEN (CAST(utc_ts AS DATE) - d0) // 7 + 2 ELSE 1 END AS first_train_week FROM feats f, first_),
     nw AS (SELECT (CAST(max(utc_ts) AS DATE) - 6 - any_value(d0)) // 7 + 1 AS k FROM feats, first_),
-    inc AS (SELECT end_hour, first_train_week AS w, count(*) AS n, sum(l_quantity - 25) AS sx, sum(y - 10) AS sy, sum((l_quantity - 25) * (l_quantity - 25)) AS sxx, sum((l_quantity - 25) * (y - 10)) AS sxy FROM wk GROUP BY 1, 2),
+    inc AS (SELECT end_hour, first_train_week AS w, count(*) AS n, {", ".join(f"sum({_OFF(c)}) AS s{i}" for i, c in enumerate(_COLS))},
+                   {", ".join(f"sum({_OFF(_COLS[i])} * {_OFF(_COLS[j])}) AS p{i}_{j}" for i, j in _PAIRS)} FROM wk GROUP BY 1, 2),
     sp AS (SELECT h.end_hour, w FROM (SELECT DISTINCT end_hour FROM feats) h, (SELECT unnest(generate_series(1, k)) AS w FROM nw)),
-    cum AS (SELECT end_hour, w, sum(n) OVER o AS n, sum(sx) OVER o AS sx, sum(sy) OVER o AS sy, sum(sxx) OVER o AS sxx, sum(sxy) OVER o AS sxy FROM sp LEFT JOIN inc USING (end_hour, w)
-            WINDOW o AS (PARTITION BY end_hour ORDER BY w ROWS UNBOUNDED PRECEDING)),
-    cf AS (SELECT end_hour, w, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS slope, sx / n + 25 AS mx, sy / n + 10 AS my FROM cum WHERE n > 1)"""
+    cum AS (SELECT end_hour, w, sum(n) OVER o AS n, {", ".join(f"sum(s{i}) OVER o AS s{i}" for i in range(5))}, {", ".join(f"sum(p{i}_{j}) OVER o AS p{i}_{j}" for i, j in _PAIRS)}
+            FROM sp LEFT JOIN inc USING (end_hour, w) WINDOW o AS (PARTITION BY end_hour ORDER BY w ROWS UNBOUNDED PRECEDING)),
+    wm AS (SELECT end_hour, w, n, {", ".join(f"s{i} / n + {_SHIFT[c]}::DOUBLE AS m_{i}" for i, c in enumerate(_COLS))}, {", ".join(f"p{i}_{j} / n - s{i} / n * s{j} / n AS c{i}_{j}" for i, j in _PAIRS)} FROM cum WHERE n > 1),
+    """ + gauss_ctes(FEATS, keys="end_hour, w", moments="wm", name="wf")
 
 
 @query("walk_forward_predictions", f"""
-    SELECT wk.end_hour, l_orderkey, l_linenumber, CAST(val_week AS INT) AS week_num, {r6('my + slope * (l_quantity - mx)', 5)} AS prediction
-    FROM wk JOIN cf ON cf.end_hour = wk.end_hour AND cf.w = wk.val_week""", "feats", _WFW)
+    SELECT wk.end_hour, l_orderkey, l_linenumber, CAST(val_week AS INT) AS week_num, {r6(_PREDICT('wk', 'wf'), 5)} AS prediction
+    FROM wk JOIN wf ON wf.end_hour = wk.end_hour AND wf.w = wk.val_week""", "feats", _WFW)
 def walk_forward_predictions(b):
     f = feats(b)
-    p = linear.walk_forward_linear(f, ["end_hour"], ["l_quantity"], "y", folds.operational_weeks(f, START), START)
+    p = linear.walk_forward_linear(f, ["end_hour"], FEATS, "y", folds.operational_weeks(f, START), START)
     return rounded(p.select("end_hour", "l_orderkey", "l_linenumber", "week_num", "prediction"), ["prediction"], 5)
 
 
-# --- boosted models (MLlib) --------------------------------------------------------------------
+# --- boosted models ----------------------------------------------------------------------------
+# SQL cannot grow trees: tests/test_trees.py holds fits, scores and tables against a plain version that tries every split.
 
 
-def _boost_data(b, label):
-    f = feats(b).withColumn("label_", label).withColumn("split", F.when(F.year("utc_ts") < 2000, "train").otherwise("validation"))
-    return boosted.partitioned_by_hour(boosted.assembled(f, FEATS, "label_", "end_hour", ["utc_ts", "l_orderkey", "l_linenumber", "split"]))
+def _labelled(b, label):
+    return feats(b).withColumns({"label_": label, "split": F.when(F.year("utc_ts") < 2000, "train").otherwise("validation")})
 
 
-_FITTED: dict[tuple, tuple] = {}
+def _expensive():
+    return (F.col("l_extendedprice") > 40000).cast("int")
 
 
 def _classifier(b):
-    """Tuned classifiers of every hour, fitted once a session on the training years, and the rows they score."""
-    key = (b.spark.sparkContext.applicationId, b.sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = _fit_classifier(b)
-    return _FITTED[key]
+    """Tuned classifiers of every hour, fitted on the training years, and all rows."""
+    rows = _labelled(b, _expensive()).withColumn("weight_", F.when(F.col("label_") == 1, selection.TUNED_PRESET["scale_pos_weight"]).otherwise(1.0))
+    spec = trees.Spec.of_preset(selection.TUNED_PRESET, objective="logistic")
+    return rows, trees.fit(rows.where("split = 'train'"), ["end_hour"], FEATS, "label_", row_id(), spec, "weight_")
 
 
-def _fit_classifier(b):
-    data = _boost_data(b, (F.col("l_extendedprice") > 40000).cast("int"))
-    train = boosted.with_class_weight(data.where("split = 'train'"), "end_hour", selection.TUNED_PRESET["scale_pos_weight"])
-    return data, boosted.fit_hours(train, boosted.tuned_classifier)
+@query("gbt_regression")
+def gbt_regression(b):
+    """Boosted regression of every hour: R2 and errors on the training and the later years."""
+    rows = _labelled(b, F.col("y"))
+    spec = trees.Spec("squared", trees=100, depth=6, rate=0.1, subsample=0.8, columns=0.8)
+    out = trees.fit(rows.where("split = 'train'"), ["end_hour"], FEATS, "label_", row_id(), spec).predict(rows)
+    m = metrics.regression_metrics(out, ["end_hour", "split"], "label_", "prediction")
+    return rounded(m.select("end_hour", "split", F.col("n").cast("long").alias("n"), "r2", "mae", "rmse"), ["r2", "mae", "rmse"])
 
 
-# SQL cannot grow the trees; what holds for any fit is stated and compared: every row is scored, chances add up, the confidence is the
-# larger chance, and on training rows the fit is no worse than a constant.
-_SPLIT = "bs AS (SELECT *, CASE WHEN year(utc_ts) < 2000 THEN 'train' ELSE 'validation' END AS split, CAST(l_extendedprice > 40000 AS INT) AS lab FROM feats)"
+def _class_scores(out, keys):
+    m = metrics.classification_metrics(metrics.confusion(out.where("predicted_class is not null"), keys, "label_", "predicted_class"), keys)
+    return rounded(m.select(*keys, "total_predictions", "accuracy", "precision", "recall", "f1"), ["accuracy", "precision", "recall", "f1"])
 
 
-@query("gbt_regression", "SELECT end_hour, split, CAST(count(*) AS BIGINT) AS n, TRUE AS explains FROM bs GROUP BY 1, 2", "feats", _SPLIT)
-def gbt_regression(b):
-    data = _boost_data(b, F.col("y"))
-    models = boosted.fit_hours(data.where("split = 'train'"), lambda: boosted.gbt_regressor(trees=100, depth=6))
-    m = metrics.regression_metrics(boosted.score_hours(data, models), ["end_hour", "split"], "label", "prediction")
-    return m.select("end_hour", "split", F.col("n").cast("long").alias("n"), ((F.col("split") != "train") | (F.col("r2") > 0)).alias("explains"))
+@query("gbt_classification")
+def gbt_classification(b):
+    """Accuracy, precision, recall and F1 of the tuned classifier per hour and split, with the share of the larger class."""
+    rows, forest = _classifier(b)
+    scores = _class_scores(forest.predict(rows), ["end_hour", "split"])
+    share = rows.groupBy("end_hour", "split").agg(rnd(F.greatest(F.avg("label_"), 1 - F.avg("label_"))).alias("majority"))
+    return scores.join(share, ["end_hour", "split"])
 
 
-@query("gbt_classification", "SELECT end_hour, split, CAST(count(*) AS BIGINT) AS total_predictions, CAST(sum(lab) AS BIGINT) AS n_positive, TRUE AS beats_majority FROM bs GROUP BY 1, 2", "feats", _SPLIT)
-def gbt_classification(b):
-    data, models = _classifier(b)
-    right, positive = (F.col("label") == F.col("prediction")).cast("int"), F.avg("label")
-    out = boosted.score_hours(data, models, classifier=True).groupBy("end_hour", "split").agg(
-        F.count("*").alias("total_predictions"), F.sum("label").cast("long").alias("n_positive"), F.avg(right).alias("accuracy"), F.greatest(positive, 1 - positive).alias("majority"))
-    return out.select("end_hour", "split", "total_predictions", "n_positive", ((F.col("split") != "train") | (F.col("accuracy") >= F.col("majority"))).alias("beats_majority"))
+@query("gbt_multiclass")
+def gbt_multiclass(b):
+    """Softmax boosting of three price classes: scores per hour and split."""
+    rows = _labelled(b, targets.manual_class("l_extendedprice", [20000.0, 40000.0]))
+    spec = trees.Spec("softmax", classes=3, trees=20, depth=4, rate=0.3, subsample=0.8)
+    forest = trees.fit(rows.where("split = 'train'"), ["end_hour"], FEATS, "label_", row_id(), spec)
+    return _class_scores(forest.predict(rows), ["end_hour", "split"])
 
 
-@query("score_predictions", "SELECT end_hour, l_orderkey, l_linenumber, split, lab AS actual, TRUE AS chances_add_up, TRUE AS confidence_is_largest, TRUE AS prediction_is_likelier FROM bs", "feats", _SPLIT)
+@query("score_predictions")
 def score_predictions(b):
-    data, models = _classifier(b)
-    out = boosted.score_hours(data, models, classifier=True)
-    p0, p1 = F.col("predicted_prob_class_0"), F.col("predicted_prob_class_1")
-    return out.select(
-        "end_hour", "l_orderkey", "l_linenumber", "split", F.col("label").cast("int").alias("actual"), (F.abs(p0 + p1 - 1) < 1e-9).alias("chances_add_up"),
-        (F.col("prediction_confidence") == F.greatest(p0, p1)).alias("confidence_is_largest"), (F.col("prediction") == (p1 > p0).cast("double")).alias("prediction_is_likelier"))
+    """Every row through the classifier of its hour: class, both chances and the confidence beside the truth."""
+    rows, forest = _classifier(b)
+    out = forest.predict(rows).select("end_hour", "l_orderkey", "l_linenumber", "split", F.col("label_").alias("actual"), F.col("y").alias("actual_raw"), "predicted_class", "predicted_prob_class_0", "predicted_prob_class_1", "prediction_confidence")
+    return rounded(out, ["actual_raw", "predicted_prob_class_0", "predicted_prob_class_1", "prediction_confidence"])
 
 
-@query("model_complexity", """
-    SELECT end_hour, TRUE AS importances_add_up, TRUE AS trees_split, CAST(5 AS INT) AS n_features FROM feats GROUP BY 1""".replace("5 AS INT", f"{len(FEATS)} AS INT"), "feats")
+@query("model_complexity")
 def model_complexity(b):
-    """Importances, nodes and depth of the fitted trees of every hour."""
-    _, models = _classifier(b)
-    imp = b.spark.createDataFrame(boosted.importance_rows(models, FEATS), "end_hour int, feature string, importance double")
-    nodes = b.spark.createDataFrame(boosted.complexity_rows(models), "end_hour int, nodes long, depth int")
-    total = imp.groupBy("end_hour").agg(F.sum("importance").alias("total"), F.count("*").cast("int").alias("n_features"))
-    return total.join(nodes, "end_hour").select(
-        "end_hour", (F.abs(F.col("total") - 1) < 1e-9).alias("importances_add_up"), ((F.col("nodes") > F.col("depth")) & (F.col("depth") >= 1)).alias("trees_split"), "n_features")
+    """Trees, nodes, leaves, depth and split-gain importances of every hour's classifier."""
+    _, forest = _classifier(b)
+    nodes = forest.table(b.spark)
+    imp = trees.importances(nodes, ["end_hour"], FEATS)
+    wide = imp.groupBy("end_hour").pivot("feature", FEATS).agg(rnd(F.first("importance")))
+    return trees.complexity(nodes, ["end_hour"]).join(wide.withColumnsRenamed({f: f"importance_{f}" for f in FEATS}), "end_hour").withColumn("complexity", rnd("complexity"))
+
+
+@query("boosted_cross_hour")
+def boosted_cross_hour(b):
+    """Cross-hour tables on fitted classifiers, one row per (measure, name): top features, categories, stability, similarity, complexity."""
+    _, forest = _classifier(b)
+    nodes = written(forest.table(b.spark))
+    named = F.create_map(*[x for c, n in NAMES.items() for x in (F.lit(c), F.lit(n))])
+    imp = written(trees.importances(nodes, ["end_hour"], FEATS).withColumn("feature", named[F.col("feature")]))
+    top, size = importance.ranked(imp, ["end_hour"], 3), trees.complexity(nodes, ["end_hour"])
+    text = lambda *c: F.concat_ws("|", *[F.col(x).cast("string") for x in c])
+    row = lambda d, measure, name, value: d.select(F.lit(measure).alias("measure"), name.alias("name"), rnd(value).alias("value"))
+    trend = importance.complexity_trend(size)
+    return tables.union_all([
+        row(top, "top_rank", text("end_hour", "feature"), F.col("rank")),
+        row(importance.importance_by_category(imp, ["end_hour"]), "category_importance", text("end_hour", "category"), F.col("importance")),
+        row(importance.consistent_features(top), "consistency_score", text("feature"), F.col("consistency_score")),
+        row(importance.hour_similarity(top), "hour_similarity", text("hour_a", "hour_b"), F.col("similarity")),
+        row(importance.feature_stability(top), "feature_stability", text("feature"), F.col("stability")),
+        row(importance.complexity_by_period(size), "period_complexity", text("period"), F.col("mean_complexity")),
+        row(trend, "complexity_trend", F.lit("slope"), F.col("trend_slope")),
+        row(trend, "complexity_trend", F.lit("most_complex_hour"), F.col("most_complex_hour")),
+        row(trend, "complexity_trend", F.lit("least_complex_hour"), F.col("least_complex_hour")),
+    ])
+
+
+@query("boosted_noise_stability")
+def boosted_noise_stability(b):
+    """Agreement of the classifiers with themselves on training rows with 1, 5 and 10 percent noise."""
+    rows, forest = _classifier(b)
+    train = rows.where("split = 'train'")
+    sd = train.groupBy("end_hour").agg(*[F.stddev_samp(c).alias(f"sd_{c}") for c in FEATS])
+    noisy = join_measured(train, sd, ["end_hour"]).withColumn("level", F.explode(F.array(F.lit(0.0), F.lit(0.01), F.lit(0.05), F.lit(0.1))))
+    for i, c in enumerate(FEATS):
+        noisy = noisy.withColumn(c, F.col(c) + F.col("level") * F.coalesce(f"sd_{c}", F.lit(0.0)) * encode.standard_normal(row_id(), 40 + i))
+    out = forest.predict(noisy).select("end_hour", "level", "l_orderkey", "l_linenumber", "predicted_class", "predicted_prob_class_1")
+    base = out.where("level = 0").select("end_hour", "l_orderkey", "l_linenumber", F.col("predicted_class").alias("c"), F.col("predicted_prob_class_1").alias("p"))
+    both = out.where("level > 0").join(base, ["end_hour", "l_orderkey", "l_linenumber"])
+    return both.groupBy("end_hour", "level").agg(
+        rnd(F.avg((F.col("predicted_class") == F.col("c")).cast("int"))).alias("prediction_stability"), rnd(F.corr("predicted_prob_class_1", "p")).alias("probability_stability"))
+
+
+@query("walk_forward_boosted")
+def walk_forward_boosted(b):
+    """Weekly boosted refits: every row of a week scored by its hour's model of that week, fitted on all earlier rows."""
+    f = feats(b).withColumn("label_", _expensive())
+    spec = trees.Spec("logistic", trees=6, depth=3, rate=0.3)
+    out = trees.walk_forward(f, ["end_hour"], FEATS, "label_", row_id(), spec, START)
+    return rounded(out.select("end_hour", "l_orderkey", "l_linenumber", "week_num", F.col("label_").alias("actual"), "predicted_class", "predicted_prob_class_1", "prediction_confidence"), ["predicted_prob_class_1", "prediction_confidence"])
 
 
 _NS = gauss_ctes(FEATS) + ", cutoff AS (SELECT end_hour, avg(y) AS cut, " + ", ".join(f"stddev_samp({c}) AS sd_{c}" for c in FEATS) + f""" FROM feats GROUP BY 1),
@@ -480,7 +531,7 @@ def progressive_results(b):
 # --- bootstrap ---------------------------------------------------------------------------------
 
 _PKEY = "CAST(epoch(utc_ts) AS BIGINT) // 3600 * 16 + length(settlement_point)"
-_BOOT = _RP + f""", bw AS (SELECT settlement_point, a, c, g.r AS replicate, {weight_sql(_PKEY, 'g.r')} AS w FROM rp, generate_series(0, 9) AS g(r)),
+_BOOT = _RP + ", " + resample_ctes("bw", "rp", "settlement_point", _PKEY, uniform_sql, 10) + """,
     bpc AS (SELECT settlement_point, replicate, cls, sum(support) AS support, sum(tp) AS tp, sum(called) AS called FROM (
         SELECT settlement_point, replicate, a AS cls, w AS support, CASE WHEN a = c THEN w ELSE 0 END AS tp, 0 AS called FROM bw UNION ALL SELECT settlement_point, replicate, c, 0, 0, w FROM bw) GROUP BY 1, 2, 3),
     bm AS (SELECT settlement_point, replicate, sum(tp) / sum(support) AS accuracy, sum(CASE WHEN called > 0 THEN support * tp / called ELSE 0 END) / sum(support) AS precision_,
@@ -527,16 +578,24 @@ def metrics_flat_classes(b):
 
 @query("bootstrap_oob_metrics", f"""
     SELECT end_hour, CAST(replicate AS INT) AS replicate, CAST(count(*) AS BIGINT) AS n, {r6('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))', 5)} AS r2, {r6('avg(abs(y - p))')} AS mae FROM (
-        SELECT o.end_hour, o.replicate, o.y, my + slope * (x - mx) AS p FROM ow o JOIN (
-            SELECT end_hour, replicate, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS slope, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my
-            FROM ow GROUP BY 1, 2) f ON f.end_hour = o.end_hour AND f.replicate = o.replicate WHERE o.w = 0) GROUP BY 1, 2""", "feats",
-       f"ow AS (SELECT end_hour, g.r AS replicate, l_quantity AS x, y, {weight_sql(ROWSQL, 'g.r')} AS w FROM feats, generate_series(0, 4) AS g(r))")
+        SELECT o.end_hour, o.replicate, o.y, {_PREDICT('o', 'f')} AS p FROM ow o JOIN of f ON f.end_hour = o.end_hour AND f.replicate = o.replicate WHERE o.w = 0) GROUP BY 1, 2""", "feats",
+       resample_ctes("ow", "feats", "end_hour", ROWSQL, uniform_sql, 5, _COLS) + ", " + gauss_ctes(FEATS, src="ow", keys="end_hour, replicate", weight="w", name="of"))
 def bootstrap_oob_metrics(b):
-    p = linear.bootstrap_oob(feats(b), ["end_hour"], ["l_quantity"], "y", row_id(), n=5)
+    p = linear.bootstrap_oob(feats(b), ["end_hour"], FEATS, "y", row_id(), n=5)
     m = metrics.regression_metrics(p, ["end_hour", "replicate"], "actual", "prediction")
     return rounded(rounded(m.select("end_hour", "replicate", "n", "r2", "mae"), ["mae"]), ["r2"], 5)
 
 
+@query("resampling_weights", """
+    SELECT end_hour, CAST(replicate AS INT) AS replicate, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(w) AS BIGINT) AS n_draws, CAST(count_if(w = 0) AS BIGINT) AS n_left_out, CAST(max(w) AS BIGINT) AS most_draws
+    FROM ow GROUP BY 1, 2""", "feats", resample_ctes("ow", "feats", "end_hour", ROWSQL, uniform_sql, 5))
+def resampling_weights(b):
+    """Every replicate draws as many rows as its group has."""
+    r = linear.by_replicate(linear.resampled(feats(b).select("end_hour", "l_orderkey", "l_linenumber"), ["end_hour"], row_id(), 5))
+    return r.groupBy("end_hour", "replicate").agg(
+        F.count("*").alias("n_rows"), F.sum("weight").alias("n_draws"), F.count_if(~F.col("drawn")).alias("n_left_out"), F.max("weight").cast("long").alias("most_draws"))
+
+
 # --- selection, grids and importance -----------------------------------------------------------
 
 NAMES = {"l_quantity": "load_forecast_coast_slt", "l_discount": "wind_generation_STWPFWest_slt", "l_tax": "solar_STPPFFarWest_slt",
@@ -664,19 +723,19 @@ def importance_ranking(b):
     return rounded(importance.importance_ranking(imp_rows(b).withColumn("feature", F.concat("feature", F.lit("_z"))), ["week_num"]), ["mean_abs_importance"], 8)
 
 
-_GRID = f"""al AS (SELECT unnest([1.0, 10000.0, 1000000.0]::DOUBLE[]) AS alpha),
-    tr AS (SELECT end_hour, l_orderkey, l_linenumber, l_quantity AS x, y FROM feats WHERE year(utc_ts) < 2000), va AS (SELECT end_hour, l_quantity AS x, y FROM feats WHERE year(utc_ts) >= 2000),
-    ow AS (SELECT end_hour, g.r AS replicate, x, y, {weight_sql(ROWSQL, 'g.r')} AS w FROM tr, generate_series(0, 4) AS g(r)),
-    bf AS (SELECT end_hour, replicate, alpha, (sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / (sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2) + alpha / sum(w)) AS slope,
-                  sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM ow, al GROUP BY 1, 2, 3),
+GRID = [0.0001, 1.0, 100.0, 10000.0, 1000000.0]
+_GRID = f"""al AS (SELECT unnest({GRID!r}::DOUBLE[]) AS alpha),
+    tr AS MATERIALIZED (SELECT end_hour, l_orderkey, l_linenumber, {", ".join(_COLS)} FROM feats WHERE year(utc_ts) < 2000), va AS (SELECT end_hour, {", ".join(_COLS)} FROM feats WHERE year(utc_ts) >= 2000),
+    {resample_ctes("ow", "tr", "end_hour", ROWSQL, uniform_sql, 5, _COLS)}, {moments_cte("bg", "ow", FEATS, "y", "end_hour, replicate", "w")}, ba AS (SELECT * FROM bg, al),
+    {gauss_ctes(FEATS, "alpha", keys="end_hour, replicate, alpha", moments="ba", name="bf")},
     bo AS (SELECT end_hour, alpha, avg(r2) AS bootstrap_r2 FROM (
-        SELECT o.end_hour, o.replicate, alpha, 1 - sum(pow(y - my - slope * (x - mx), 2)) / (var_pop(y) * count(*)) AS r2 FROM ow o JOIN bf f ON f.end_hour = o.end_hour AND f.replicate = o.replicate WHERE w = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
-    vf AS (SELECT end_hour, alpha, covar_pop(x, y) / (var_pop(x) + alpha / count(*)) AS slope, avg(x) AS mx, avg(y) AS my FROM tr, al GROUP BY 1, 2),
-    vo AS (SELECT v.end_hour, alpha, 1 - sum(pow(y - my - slope * (x - mx), 2)) / (var_pop(y) * count(*)) AS validation_r2 FROM va v JOIN vf f ON f.end_hour = v.end_hour GROUP BY 1, 2),
+        SELECT end_hour, replicate, alpha, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2 FROM (
+            SELECT o.end_hour, o.replicate, f.alpha, o.y, {_PREDICT("o", "f")} AS p FROM ow o JOIN bf f ON f.end_hour = o.end_hour AND f.replicate = o.replicate WHERE o.w = 0) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    {moments_cte("vg", "tr", FEATS, "y", "end_hour")}, vb AS (SELECT * FROM vg, al), {gauss_ctes(FEATS, "alpha", keys="end_hour, alpha", moments="vb", name="vf")},
+    vo AS (SELECT end_hour, alpha, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS validation_r2 FROM (
+        SELECT v.end_hour, f.alpha, v.y, {_PREDICT("v", "f")} AS p FROM va v JOIN vf f ON f.end_hour = v.end_hour) GROUP BY 1, 2),
     gh AS (SELECT end_hour, alpha, round(bootstrap_r2, 9) AS bootstrap_r2, round(validation_r2, 9) AS validation_r2 FROM bo JOIN vo USING (end_hour, alpha))"""
 _GC = ["avg_bootstrap_r2", "std_bootstrap_r2", "avg_validation_r2", "std_validation_r2", "median_validation_r2"]
-GRID = [1.0, 10000.0, 1000000.0]
-
 
 @query("alpha_grid_summary", f"""
     SELECT alpha, {r6('ab')} AS avg_bootstrap_r2, {r6('sb')} AS std_bootstrap_r2, {r6('av')} AS avg_validation_r2, {r6('sv')} AS std_validation_r2, CAST(n AS BIGINT) AS n_hours_trained, {r6('md')} AS median_validation_r2,
@@ -684,11 +743,10 @@ GRID = [1.0, 10000.0, 1000000.0]
         SELECT alpha, avg(bootstrap_r2) AS ab, stddev_pop(bootstrap_r2) AS sb, avg(validation_r2) AS av, stddev_pop(validation_r2) AS sv, count(*) AS n, quantile_cont(validation_r2, 0.5) AS md FROM gh GROUP BY 1)""", "feats", _GRID)
 def alpha_grid_summary(b):
     """Ridge at every alpha and hour: R2 of rows left out of bootstrap fits, and of the years after training."""
-    f, xs = feats(b), ["l_quantity"]
+    f, xs = feats(b), FEATS
     train, later = f.where(F.year("utc_ts") < 2000), f.where(F.year("utc_ts") >= 2000)
     r2 = lambda d, keys: metrics.regression_metrics(d, keys, "actual", "prediction").select(*keys, "r2")
-    boot = tables.union_all([
-        r2(linear.bootstrap_oob(train, ["end_hour"], xs, "y", row_id(), n=5, kind="ridge", alpha=a), ["end_hour", "replicate"]).withColumn("alpha", F.lit(a)) for a in GRID])
+    boot = r2(linear.bootstrap_oob(train, ["end_hour"], xs, "y", row_id(), n=5, kind="ridge", alphas=GRID), ["end_hour", "replicate", "alpha"])
     boot = boot.groupBy("end_hour", "alpha").agg(F.round(F.avg("r2"), 9).alias("bootstrap_r2"))
     coefs = linear.fit_linear(train, ["end_hour"], xs, "y", "ridge", GRID)
     asked = later.select("end_hour", *xs, F.col("y").alias("actual"), F.explode(F.array(*map(F.lit, GRID))).alias("alpha"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadlab.learning.linear import replicates
+from spreadlab.learning.linear import by_replicate, resampled
 from spreadlab.learning.metrics import classification_metrics, confusion, finite
 
 # Metrics summarised for classifiers.
@@ -14,9 +14,9 @@ CLASS_METRICS = ["accuracy", "precision", "recall", "f1", "precision_macro", "re
 
 
 def bootstrap_classification(df: DataFrame, keys: list[str], actual: str, predicted: str, row_id: Column, n: int = 20, seed: int = 0) -> DataFrame:
-    """Metrics per replicate from Poisson-weighted confusion counts (they combine map-side)."""
+    """Metrics per replicate of as many draws as a group has rows, from weighted confusion counts (they combine map-side)."""
     by = [*keys, "replicate"]
-    r = replicates(df.select(*keys, actual, predicted, row_id.alias("__rid")), F.col("__rid"), n, seed)
+    r = by_replicate(resampled(df.select(*keys, actual, predicted, row_id.alias("__id")), keys, F.col("__id"), n, seed, [actual, predicted]))
     return classification_metrics(confusion(r, by, actual, predicted, "weight"), by)
 
 

@@ -12,13 +12,14 @@ from pyspark.sql import types as T
 
 from spreadlab.functions.columns import POISSON_ZERO, poisson_weight, uniform_hash
 from spreadlab.learning.folds import assign_folds
+from spreadlab.operators import blocks
 from spreadlab.operators.correlate import co_moments
-from spreadlab.session import join_measured, materialise
+from spreadlab.session import join_measured, materialise, written
 
 INTERCEPT = "(intercept)"
 
 
-def solve(cov: np.ndarray, cxy: np.ndarray, n: np.ndarray, kind: str, alpha: float, rounds: int = 2000, tol: float = 1e-10) -> np.ndarray:
+def solve(cov: np.ndarray, cxy: np.ndarray, n: np.ndarray, kind: str, alpha: float) -> np.ndarray:
     """Coefficients of a batch of groups from population covariances (m, d, d) and (m, d).
 
     Ridge minimises |y-Xw|^2 + a|w|^2, lasso |y-Xw|^2/(2n) + a|w|_1; the intercept is free.
@@ -28,22 +29,70 @@ def solve(cov: np.ndarray, cxy: np.ndarray, n: np.ndarray, kind: str, alpha: flo
         return np.einsum("mij,mj->mi", np.linalg.pinv(cov, hermitian=True), cxy)
     if kind == "ridge":
         return np.linalg.solve(cov + np.eye(d) * (alpha / n)[:, None, None], cxy[..., None])[..., 0]
-    w = np.zeros_like(cxy)
-    diag = np.einsum("mii->mi", cov)
-    for _ in range(rounds):
-        step = 0.0
+    return np.stack([lasso_at(cov[m], cxy[m], alpha) for m in range(len(cxy))]) if len(cxy) else np.zeros_like(cxy)
+
+
+def lasso_at(cov: np.ndarray, cxy: np.ndarray, alpha: float) -> np.ndarray:
+    """Lasso coefficients of one group by following the path from the largest penalty down to `alpha`.
+
+    On the path the coefficients of the active features are linear in the penalty. A step ends
+    where a feature's correlation with the rest reaches the penalty, where a coefficient
+    reaches zero, or at alpha: no rounds and no tolerance to settle.
+    """
+    d = len(cxy)
+    w, live = np.zeros(d), np.diag(cov) > 0
+    penalty = float(np.abs(np.where(live, cxy, 0)).max(initial=0.0))
+    active: list[int] = []
+    banned = -1
+    while penalty > alpha:
+        rest = cxy - cov @ w
+        if not active:
+            active = [int(np.argmax(np.where(live, np.abs(rest), -1)))]
+        signs = np.where([w[j] != 0 for j in active], np.sign(w[active]), np.sign(rest[active]))
+        slope = np.linalg.pinv(cov[np.ix_(active, active)], hermitian=True) @ signs
+        pull = cov[:, active] @ slope
+        # Per unit of penalty: active coefficients move by slope, the other correlations fall by pull.
+        step, event = penalty - alpha, None
         for j in range(d):
-            rest = cxy[:, j] - np.einsum("mi,mi->m", cov[:, j, :], w) + diag[:, j] * w[:, j]
-            new = np.where(diag[:, j] > 0, np.sign(rest) * np.maximum(np.abs(rest) - alpha, 0) / np.where(diag[:, j] > 0, diag[:, j], 1), 0.0)
-            step = max(step, float(np.abs(new - w[:, j]).max(initial=0.0)))
-            w[:, j] = new
-        if step <= tol:
+            if not live[j] or j in active:
+                continue
+            for sign in (1.0, -1.0):
+                gain = 1 - sign * pull[j]
+                if gain > 1e-12:
+                    at = (penalty - sign * rest[j]) / gain
+                    # A feature that has just left stands at the penalty and does not return there.
+                    if (1e-9 if j == banned else -1e-9) * penalty <= at < step:
+                        step, event = max(at, 0.0), ("in", j)
+        for k, j in enumerate(active):
+            if w[j] * slope[k] < 0 and -w[j] / slope[k] < step:
+                step, event = -w[j] / slope[k], ("out", j)
+        w[active] += step * slope
+        penalty -= step
+        banned = -1
+        if event is None:
             break
+        if event[0] == "in":
+            active.append(event[1])
+        else:
+            active.remove(event[1])
+            w[event[1]], banned = 0.0, event[1]
     return w
 
 
+def duality_gap(cov: np.ndarray, cxy: np.ndarray, vy: float, w: np.ndarray, alpha: float) -> float:
+    """Gap between the lasso objective |y-Xw|^2/(2n) + alpha |w|_1 and its dual at w: zero proves the solution."""
+    rest = cxy - cov @ w
+    squares = vy - 2 * w @ cxy + w @ cov @ w
+    scale = min(1.0, alpha / max(float(np.abs(rest).max(initial=0.0)), 1e-300))
+    dual = scale * (vy - w @ cxy) - scale * scale * squares / 2
+    return float(squares / 2 + alpha * np.abs(w).sum() - dual)
+
+
 def fit_linear(df: DataFrame, keys: list[str], features: list[str], target: str, kind: str = "ols", alphas: list[float] = [0.0]) -> DataFrame:
-    """Coefficients per group and alpha: keys, alpha, feature, coefficient, n, r2 (training). The intercept is a row."""
+    """Coefficients per group and alpha: keys, alpha, feature, coefficient, n, r2 (training), gap. The intercept is a row.
+
+    gap is the lasso's duality gap, which proves a solution where it is zero.
+    """
     return coefficients(co_moments(df, keys, [*features, target]), keys, features, target, kind, alphas)
 
 
@@ -60,7 +109,7 @@ def coefficients(moments: DataFrame, keys: list[str], features: list[str], targe
         F.max("n").cast("long").alias("n"), value(F.collect_set("c")).alias("cov"),
         value(F.collect_set(F.when(F.col("a") == F.col("b"), F.struct(F.col("__i").alias("p"), F.col("mean_a").alias("v"))))).alias("means"))
     schema = T.StructType([moments.schema[k] for k in keys] + [
-        T.StructField("alpha", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("r2", T.DoubleType()),
+        T.StructField("alpha", T.DoubleType()), T.StructField("n", T.LongType()), T.StructField("r2", T.DoubleType()), T.StructField("gap", T.DoubleType()),
         T.StructField("w", T.ArrayType(T.DoubleType()))])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,12 +127,13 @@ def coefficients(moments: DataFrame, keys: list[str], features: list[str], targe
                 out = pdf[keys].copy()
                 out["alpha"], out["n"] = float(alpha), pdf["n"]
                 out["r2"] = np.divide(gain, vy, out=np.full_like(gain, np.nan), where=vy > 0)
+                out["gap"] = [duality_gap(s[m], cxy[m], vy[m], w[m], alpha) if kind == "lasso" else np.nan for m in range(len(w))]
                 out["w"] = list(np.hstack([w, icept[:, None]]))
                 yield out[schema.names]
 
     labels = F.array(*[F.lit(f) for f in [*features, INTERCEPT]])
-    return rows.mapInPandas(fit, schema).select(*keys, "alpha", "n", "r2", F.posexplode("w").alias("__p", "coefficient")).select(
-        *keys, "alpha", labels[F.col("__p")].alias("feature"), "coefficient", "n", "r2")
+    return rows.mapInPandas(fit, schema).select(*keys, "alpha", "n", "r2", "gap", F.posexplode("w").alias("__p", "coefficient")).select(
+        *keys, "alpha", labels[F.col("__p")].alias("feature"), "coefficient", "n", "r2", "gap")
 
 
 def packed_coefficients(coefs: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,6 +174,32 @@ def replicates(df: DataFrame, row_id: Column, n: int, seed: int = 0) -> DataFram
     return r.withColumn("weight", poisson_weight(F.col("__u"))).withColumn("drawn", F.col("__u") >= POISSON_ZERO).drop("__id", "__u")
 
 
+def resampled(df: DataFrame, keys: list[str], row_id: Column, n: int, seed: int = 0, ties: list[str] = []) -> DataFrame:
+    """Rows with `weights`: how often each of `n` replicates draws the row, exactly as many draws as the group has rows.
+
+    The rows of a group are numbered by their ids, rows of one id by the columns `ties`. Every
+    row makes one draw per replicate, a place in its group from its own hash, so a replicate
+    is a draw with replacement of the whole group. Draws are counted by place before they meet
+    their rows; the weights are written once for all later passes.
+    """
+    rows = df.withColumn("__rid", row_id)
+    placed = blocks.row_numbers(rows, keys, ["__rid", *ties], F.shiftright(F.col("__rid").cast("long"), 16), "__place")
+    size = rows.groupBy(*keys).agg(F.count("*").alias("__size"))
+    placed = written(join_measured(placed, size, keys))
+    draw = lambda r: F.floor(uniform_hash("__rid", r + seed) * F.col("__size")).cast("long") + 1
+    draws = placed.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)).alias("r", "__place"))
+    hits = draws.groupBy(*keys, "__place").agg(*[F.count_if(F.col("r") == r).cast("int").alias(f"__w{r}") for r in range(n)])
+    hits = hits.select(*keys, "__place", F.array(*[f"__w{r}" for r in range(n)]).alias("weights"))
+    none = F.array_repeat(F.lit(0), n)
+    return written(placed.join(hits, [*keys, "__place"], "left").withColumn("weights", F.coalesce("weights", none)).drop("__place", "__size", "__rid"))
+
+
+def by_replicate(weighed: DataFrame) -> DataFrame:
+    """One row per row and replicate with its weight; drawn tells whether the replicate has it."""
+    long = weighed.select("*", F.posexplode("weights").alias("replicate", "weight")).drop("weights")
+    return long.withColumn("drawn", F.col("weight") > 0)
+
+
 def weighted_moments(df: DataFrame, keys: list[str], columns: list[str], base: DataFrame, base_keys: list[str], weight: str = "weight") -> DataFrame:
     """Weighted population co-moments in the layout of co_moments, on values shifted by the mean of the uncopied rows."""
     shift = base.groupBy(*base_keys).agg(*[F.avg(c).alias(f"__s_{c}") for c in columns])
@@ -144,33 +220,39 @@ def weighted_moments(df: DataFrame, keys: list[str], columns: list[str], base: D
 
 
 def bootstrap_oob(df: DataFrame, keys: list[str], features: list[str], target: str, row_id: Column, n: int = 20, kind: str = "ols",
-                  alpha: float = 0.0, min_test: int = 5, seed: int = 0) -> DataFrame:
-    """Refit per replicate and score the rows it did not draw: keys, replicate, actual, prediction.
+                  alphas: list[float] = [0.0], min_test: int = 5, seed: int = 0) -> DataFrame:
+    """Refit per replicate and alpha and score the rows it did not draw: keys, replicate, alpha, actual, prediction.
 
-    A replicate with fewer than `min_test` unused rows is tested on a random fifth (at
-    least `min_test` rows) instead; only tiny groups get there.
+    A replicate draws as many rows as its group has. One with fewer than `min_test` unused
+    rows is tested on a random fifth (at least `min_test` rows) instead; only tiny groups get
+    there.
     """
     by = [*keys, "replicate"]
     rows = df.select(*keys, *features, target, row_id.alias("__rid"))
-    r = replicates(rows, F.col("__rid"), n, seed)
-    coefs = coefficients(weighted_moments(r, by, [*features, target], rows, keys), by, features, target, kind, [alpha])
+    weighed = resampled(rows.withColumn("__id", F.col("__rid")), keys, F.col("__rid"), n, seed, [*features, target]).withColumnRenamed("__id", "__rid")
+    r = by_replicate(weighed)
+    coefs = coefficients(weighted_moments(r, by, [*features, target], rows, keys), by, features, target, kind, alphas)
+
+    def scored(test: DataFrame) -> DataFrame:
+        asked = test.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))) if len(alphas) > 1 else test.withColumn("alpha", F.lit(float(alphas[0])))
+        return score_linear(asked, coefs, [*by, "alpha"], features).select(*by, "alpha", F.col(target).alias("actual"), "prediction")
+
     size = r.groupBy(*by).agg(F.count_if(~F.col("drawn")).alias("__oob"), F.count("*").alias("__n"))
     thin = materialise(size.where(F.col("__oob") < min_test))
     if thin.isEmpty():
-        return score_linear(r.where(~F.col("drawn")), coefs, by, features).select(*by, F.col(target).alias("actual"), "prediction")
+        return scored(r.where(~F.col("drawn")))
     oob = r.where(~F.col("drawn")).join(thin, by, "left_anti")
     w = Window.partitionBy(*by).orderBy(uniform_hash("__rid", F.col("replicate") + 100003 + seed), "__rid")
     fallback = r.join(thin, by).withColumn("__rank", F.row_number().over(w)).where(
         F.col("__rank") <= F.greatest(F.lit(min_test), F.ceil(F.col("__n") * 0.2).cast("int")))
-    test = oob.unionByName(fallback.select(*oob.columns))
-    return score_linear(test, coefs, by, features).select(*by, F.col(target).alias("actual"), "prediction")
+    return scored(oob.unionByName(fallback.select(*oob.columns)))
 
 
 def selection_stability(df: DataFrame, keys: list[str], features: list[str], target: str, row_id: Column, alpha: float, n: int = 20, seed: int = 0,
                         eps: float = 1e-12) -> DataFrame:
     """How often the lasso keeps each feature over bootstrap replicates; stable above one half."""
     by = [*keys, "replicate"]
-    r = replicates(df, row_id, n, seed)
+    r = by_replicate(resampled(df.select(*keys, *features, target, row_id.alias("__id")), keys, F.col("__id"), n, seed, [*features, target]))
     coefs = coefficients(weighted_moments(r, by, [*features, target], df, keys), by, features, target, "lasso", [alpha])
     freq = coefs.where(F.col("feature") != INTERCEPT).groupBy(*keys, "feature").agg(
         F.avg((F.abs("coefficient") > eps).cast("double")).alias("frequency"), F.count("*").alias("n_replicates"))

@@ -6,11 +6,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spreadlab.functions.timeconv import (
     delivery_hour_to_start, hour_ending_to_start, with_interval_offset, with_utc,
 )
 from spreadlab.operators import bars, clean
+from spreadlab.plans import landing
 from spreadlab.sources.contracts import POINT_PREFIXES
 
 
@@ -62,6 +64,15 @@ def etl_rt(raw: DataFrame) -> EtlResult:
     )
 
 
+def land_rt(raw: DataFrame, path: str, complete: bool = True) -> T.StructType:
+    """Raw quarter hours to the hourly layer at path, or ChecksFailed and the old layer; returns the layer's schema."""
+    cleaned = clean.clean_rt(normalise_rt(raw))
+    checks = landing.key_checks(["utc_ts", "local_ts", "location", "price"]) | landing.domain_checks("location", prefixes=POINT_PREFIXES)
+    checks["location_type_blank"] = F.count_if(F.col("location_type").isNull() | (F.trim("location_type") == ""))
+    landing.land(cleaned, path, checks, bars.hourly_price_stats, complete=complete)
+    return bars.hourly_price_stats(cleaned).schema
+
+
 def etl_dam(raw: DataFrame) -> EtlResult:
     cleaned = clean.clean_dam(normalise_hourly(raw))
     return EtlResult(cleaned, None, {

@@ -75,7 +75,3 @@ def write_daily(df: DataFrame, date_expr: Column, path: str, files_per_date: int
     """One directory per posted or delivery date; a date's rows go to a few writers, so files follow dates, not tasks."""
     dated = df.withColumn("extract_date", date_expr)
     dated.repartition("extract_date", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_date))).write.mode("overwrite").partitionBy("extract_date").parquet(path)
-
-
-def replace_table(df: DataFrame, name: str) -> None:
-    dedup_rows(df).write.mode("overwrite").saveAsTable(name)

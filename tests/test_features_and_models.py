@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spreadlab.functions.columns import poisson_weight, uniform_hash
-from spreadlab.learning import boosted, bootstrap, folds, importance, linear, metrics, scoring, selection, targets
+from spreadlab.learning import bootstrap, folds, importance, linear, metrics, scoring, selection, targets
 from spreadlab.ledger import book, report, signals
 from spreadlab.operators import cluster, correlate, describe, encode, lags, vintage
 from spreadlab.plans import study
@@ -316,18 +316,6 @@ def test_history_features_can_be_left_out():
     assert encode.feature_columns(cols, history=False) == ["load_forecast_a_slt", "etf_dow_sin"]
 
 
-def test_every_row_is_scored(spark):
-    rows = [(1 + i % 3, float(i % 7), int(i % 7 > 3)) for i in range(90)] + [(30, 1.0, 0)]
-    df = boosted.assembled(spark.createDataFrame(rows, "end_hour int, x double, y int"), ["x"], "y", "end_hour", [])
-    models = boosted.fit_hours(df.where("end_hour <= 2"), lambda: boosted.gbt_classifier(trees=2, depth=2, weighted=False))
-    out = boosted.score_hours(df, models, classifier=True)
-    assert out.count() == 91 and out.where("prediction is null").count() == 31
-    assert {(r.end_hour, r.n_rows) for r in boosted.skipped_hours(df, models).collect()} == {(3, 30), (30, 1)}
-    several = boosted.assembled(spark.createDataFrame([(1, float(i % 9), i % 3) for i in range(90)], "end_hour int, x double, y int"), ["x"], "y", "end_hour", [])
-    many = boosted.score_hours(several, boosted.fit_hours(several, lambda: boosted.forest_classifier(trees=3, depth=3)), classifier=True)
-    assert {"predicted_prob_class_0", "predicted_prob_class_1", "predicted_prob_class_2"} <= set(many.columns)
-
-
 def test_spikes_are_null_without_any(spark):
     df = spark.createDataFrame([("k", 1.0, 1.0), ("k", 1.0, 1.0)], "k string, y double, p double")
     r = metrics.spike_metrics(df, ["k"], "y", "p").first()
@@ -341,23 +329,6 @@ def test_tuning_helpers(spark):
     assert selection.median_parameters(best, ["depth"]).first().depth == 6.5
 
 
-def test_boosted_walk_forward(spark):
-    rng = np.random.default_rng(4)
-    rows = [(1 + i % 2, D("2025-01-01 00:00") + dt.timedelta(hours=2 * i), float(x), int(x > 0)) for i, x in enumerate(rng.normal(size=240))]
-    df = spark.createDataFrame(rows, "end_hour int, utc_ts timestamp, x double, y int")
-    data = boosted.assembled(df, ["x"], "y", "end_hour", ["utc_ts"])
-    out = boosted.walk_forward(data, lambda: boosted.gbt_classifier(trees=2, depth=2), [1, 2], "2025-01-01")
-    rows = out.collect()
-    assert {r.week_num for r in rows} == {1, 2} and len(rows) == 168
-    assert sum(r.label == r.prediction for r in rows) / len(rows) > 0.9
-    assert all(r.prediction_confidence >= 0.5 for r in rows)
-
-
-def test_tuned_preset_maps_to_the_classifier(spark):
-    g = boosted.tuned_classifier()
-    assert (g.getMaxIter(), g.getMaxDepth(), g.getStepSize(), g.getSubsamplingRate(), g.getMinInstancesPerNode()) == (72, 5, 0.05, 0.8, 3)
-
-
 def test_measured_join_gives_the_same_rows_on_both_paths(spark):
     from spreadlab.session import join_measured
 
