@@ -205,23 +205,52 @@ def merge(length: int, gram: int):
     return run
 
 
-def window_keys(length: int, gram: int):
-    """Hashes of all strings around sampled places, for groups that are dealt out by them."""
-    side = length - gram
+#: Neighbouring strings of a place that are told apart together; where they are not alike, the next smaller number.
+STRIDES = (16, 4, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, keys = [], []
-            for before, after in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                data = np.frombuffer(before + after, np.uint8)
-                total = np.zeros(max(len(data) - side + 1, 0), np.uint64)
-                for k in range(side):
-                    total += _BYTES[data[k : k + len(total)]] * PLACES[k]
-                keys.append(mixed(total))
-                offsets.append((len(before) - np.arange(len(total))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], list_column(offsets, pa.int32()), list_column(keys, pa.int64())], ["first", "oid", "th", "at", "offsets", "keys"])
 
-    return run
+def crowded_marks(alike: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
+    """(oid, th, start, end) of strings that recur around places of one first string, however many they are.
+
+    `alike` has a row per different surroundings. The strings at neighbouring offsets low to
+    high of a place lie in one outer string and share a core. Places with equal outer strings
+    have all of them in common, a place whose core no other has shares none of them; one place
+    of each outer string goes on with smaller strides where cores meet. The keys are two
+    64-bit hashes, so that a clash among 10^12 strings has a chance of about 10^-15.
+    """
+    side = length - gram
+    places = alike.select("first", "one.oid", "one.th", "one.at", "before", "after")
+    found = None
+    open_ = places.withColumn("low", F.explode(F.array(*[F.lit(k) for k in range(0, side + 1, STRIDES[0])])))
+    for turn, stride in enumerate(STRIDES):
+        high = F.least(F.col("low") + stride - 1, F.lit(side))
+        lefts, rights = F.length("before"), F.length("after")
+        left = lambda n: F.substring("before", F.greatest(lefts - n, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
+        right = lambda n: F.substring("after", F.lit(1), F.greatest(n, F.lit(0)))
+        keys = lambda name, a, b: [F.xxhash64(F.lit(k), left(a), right(b), F.least(lefts, a)).alias(f"{name}{k}") for k in (1, 2)]
+        # The strings that fit into the text: from `from_` to `upto`.
+        rows = open_.where((F.col("low") <= lefts) & (high >= side - rights)).select(
+            "first", "oid", "th", "at", "low",
+            F.greatest("low", side - rights).alias("from_"), F.least(high, lefts).alias("upto"),
+            *keys("outer", high, side - F.col("low")), *keys("core", F.col("low"), side - high),
+        )
+        rows = scratch.keep(rows, f"strings-{turn}")
+        outer = ["first", "low", "outer1", "outer2"]
+        classes = rows.groupBy(*outer).agg(F.count("*").alias("n"), F.min(F.struct("oid", "th", "at", "core1", "core2")).alias("one"))
+        classes = scratch.keep(classes, f"classes-{turn}")
+        marks = rows.join(classes.where("n > 1").select(*outer), outer).select("oid", "th", (F.col("at") - F.col("upto")).alias("start"), (F.col("at") - F.col("from_") + length).alias("end"))
+        marks = scratch.keep(marks, f"marks-{turn}")
+        found = marks if found is None else found.unionByName(marks)
+        scratch.drop(f"strings-{turn}")
+        if stride > 1:
+            core = ["first", "low", "core1", "core2"]
+            one = classes.select("first", "low", "one.*")
+            meet = one.groupBy(*core).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+            smaller = STRIDES[turn + 1]
+            lows = F.filter(F.transform(F.array(*[F.lit(k) for k in range(0, stride, smaller)]), lambda k: F.col("low") + k), lambda k: k <= side)
+            on = one.join(meet, core).select("first", "oid", "th", "at", F.explode(lows).alias("low"))
+            open_ = places.join(on, ["first", "oid", "th", "at"])
+    return found
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +288,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     strings between the places take their classes from them, and neighbours' prefixes say what
     occurs again. Only places whose first `gram` bytes recur take part: the others cannot lie
     in a repeated string. Places of one first string are merged in one task up to `hot_group`;
-    beyond that places with the same bytes on both sides are met first, and only one of them
-    has its strings dealt out and counted by hash, with counts formed before the shuffle.
+    beyond that places with the same bytes on both sides are met first, and one of them stands
+    for its strings, which are told apart 16, 4 and 1 at a time, with counts formed before
+    the shuffle.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     blank = F.coalesce(F.col(text_col), F.lit(""))
@@ -290,12 +320,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         low, high = side - F.length("after"), F.length("before")
         whole = crowded.join(alike.where("n > 1").select("first", "before", "after"), ["first", "before", "after"]).where(low <= high)
         marks = marks.unionByName(whole.select("oid", "th", (F.col("at") - high).alias("start"), (F.col("at") - low + length).alias("end")))
-        keyed = alike.select("first", "one.oid", "one.th", "one.at", "before", "after").mapInArrow(window_keys(length, gram), "first long, oid long, th long, at int, offsets array<int>, keys array<long>")
-        keyed = scratch.keep(keyed, "keyed")
-        rows = keyed.select("first", "oid", "th", "at", F.explode(F.arrays_zip("offsets", "keys")).alias("k")).select("first", "oid", "th", "at", F.col("k.offsets").alias("offset"), F.col("k.keys").alias("key"))
-        again = rows.groupBy("first", "offset", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        start = F.col("at") - F.col("offset")
-        marks = marks.unionByName(rows.join(again, ["first", "offset", "key"]).select("oid", "th", start.alias("start"), (start + length).alias("end")))
+        marks = marks.unionByName(crowded_marks(alike, scratch, length, gram))
     marks = scratch.keep(marks, "marks").groupBy("oid", "th").agg(F.collect_list(F.struct("start", "end")).alias("m")).select("oid", "th", F.col("m.start").alias("starts"), F.col("m.end").alias("ends"))
     scratch.drop("suffixes")
     done = hot.select("oid", "th", "text").join(marks, ["oid", "th"]).mapInArrow(cut, "oid long, th long, n_removed long, n_spans long, kept binary, removed_spans array<int>")
