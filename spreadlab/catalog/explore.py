@@ -330,6 +330,25 @@ def kmeans_inertia(b):
     return rounded(_kmeans_rows(points, centres, PT), ["inertia", "silhouette"])
 
 
+def elbow_sql(curve: str, last_k: int) -> str:
+    """The k farthest from the chord of every point's curve of k = 1 .. last_k."""
+    return f"""
+    SELECT location, location_type, CAST(greatest(2, arg_max(k, [d, -k])) AS INT) AS elbow_k, {r6('max(d)')} AS distance FROM (
+        SELECT *, abs((y1 - y0) * x - y + y0) / sqrt((y1 - y0) * (y1 - y0) + 1) AS d FROM (
+            SELECT *, first(y) OVER ({_W} ORDER BY k) AS y0, last(y) OVER ({_W} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y1 FROM (
+                SELECT location, location_type, k, (k - 1) / {last_k - 1}.0::DOUBLE AS x, (inertia - min(inertia) OVER ({_W})) / (max(inertia) OVER ({_W}) - min(inertia) OVER ({_W})) AS y FROM {curve})))
+    GROUP BY 1, 2"""
+
+
+@query("kmeans_elbow", elbow_sql("kcurve", 10), "spread", lloyd_ctes("spread", "dart_slt", _PK, 10, 10) + """,
+    kcurve AS (SELECT a.location, a.location_type, a.k, sum((a.v - c.v) * (a.v - c.v)) AS inertia FROM asg a JOIN ctr c ON c.location = a.location AND c.location_type = a.location_type AND c.k = a.k AND c.i = a.i GROUP BY 1, 2, 3)""")
+def kmeans_elbow(b):
+    """Elbow of the inertia curve of the clustered spreads of every point."""
+    points, centres = cluster.kmeans_values(b.spread, "dart_slt", PT)
+    curve = cluster.inertia_table(cluster.cluster_table(points, centres, PT), PT)
+    return rounded(cluster.elbow_point(curve.select(*PT, "k", "inertia")), ["distance"])
+
+
 @query("kmeans_by_sign", f"""
     SELECT location, location_type, sign, CAST(k AS INT) AS k, CAST(i AS INT) AS cluster, {r6('centre')} AS centre, CAST(size AS BIGINT) AS size, {r6('sse')} AS sse,
            {r6('size / sum(size) OVER (PARTITION BY location, location_type, sign, k)')} AS proportion FROM (
@@ -386,12 +405,7 @@ _CURVE = """rngs AS (SELECT location, location_type, min(dart_slt) AS lo, max(da
     curve AS (SELECT location, location_type, k, sum(sse) AS inertia FROM (SELECT location, location_type, k, bin, var_pop(v) * count(*) AS sse FROM binned GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"""
 
 
-@query("elbow_point", f"""
-    SELECT location, location_type, CAST(greatest(2, arg_max(k, [d, -k])) AS INT) AS elbow_k, {r6('max(d)')} AS distance FROM (
-        SELECT *, abs((y1 - y0) * x - y + y0) / sqrt((y1 - y0) * (y1 - y0) + 1) AS d FROM (
-            SELECT *, first(y) OVER ({_W} ORDER BY k) AS y0, last(y) OVER ({_W} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y1 FROM (
-                SELECT location, location_type, k, (k - 1) / 5.0::DOUBLE AS x, (inertia - min(inertia) OVER ({_W})) / (max(inertia) OVER ({_W}) - min(inertia) OVER ({_W})) AS y FROM curve)))
-    GROUP BY 1, 2""", "spread", _CURVE)
+@query("elbow_point", elbow_sql("curve", 6), "spread", _CURVE)
 def elbow_point(b):
     """Elbow of the within-bin squares of 1..6 equal-width bins, a curve SQL can reproduce."""
     s = b.spread.where("dart_slt is not null")

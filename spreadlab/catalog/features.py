@@ -76,15 +76,18 @@ def holiday_distance(b):
         "utc_ts", "location", "etf_is_federal_holiday", "etf_days_to_holiday", "etf_days_from_holiday")
 
 
-@query("holiday_proximity", f"""
-    SELECT utc_ts, location, d_to <= 1 AND d_to > 0 AS etf_is_pre_holiday, d_from <= 1 AND d_from > 0 AS etf_is_post_holiday,
-           d_to <= 3 OR d_from <= 3 AS etf_is_holiday_week,
-           month(utc_ts) * 100 + day(utc_ts) IN (101, 119, 704, 1224, 1225, 1226)
+_MAJOR = """month(utc_ts) * 100 + day(utc_ts) IN (101, 119, 704, 1224, 1225, 1226)
              OR (isodow(utc_ts) = 5 AND month(utc_ts + INTERVAL 1 DAY) * 100 + day(utc_ts + INTERVAL 1 DAY) IN (101, 704, 1225))
              OR (isodow(utc_ts) = 1 AND month(utc_ts - INTERVAL 1 DAY) * 100 + day(utc_ts - INTERVAL 1 DAY) IN (101, 704, 1225))
              OR month(utc_ts) * 100 + day(utc_ts) = 302
              OR (month(utc_ts) = 5 AND day(utc_ts) >= 25 AND isodow(utc_ts) = 1) OR (month(utc_ts) = 9 AND day(utc_ts) <= 7 AND isodow(utc_ts) = 1)
-             OR (month(utc_ts) = 11 AND ((day(utc_ts) BETWEEN 22 AND 28 AND isodow(utc_ts) = 4) OR (day(utc_ts) BETWEEN 23 AND 29 AND isodow(utc_ts) = 5)))
+             OR (month(utc_ts) = 11 AND ((day(utc_ts) BETWEEN 22 AND 28 AND isodow(utc_ts) = 4) OR (day(utc_ts) BETWEEN 23 AND 29 AND isodow(utc_ts) = 5)))"""
+
+
+@query("holiday_proximity", f"""
+    SELECT utc_ts, location, d_to <= 1 AND d_to > 0 AS etf_is_pre_holiday, d_from <= 1 AND d_from > 0 AS etf_is_post_holiday,
+           d_to <= 3 OR d_from <= 3 AS etf_is_holiday_week,
+           {_MAJOR}
            AS etf_is_major_holiday FROM dist""", "daily", _CAL)
 def holiday_proximity(b):
     return calendar.holiday_features(b.daily).select(
@@ -294,22 +297,46 @@ def cleaning_summary(b):
     return encode.cleaning_summary(s, "dart_slt", encode.feature_columns(s.columns)).withColumn("pct_removed", rnd("pct_removed"))
 
 
-@query("model_ready", "SELECT utc_ts, local_ts, CAST(hour(local_ts) + 1 AS INT) AS end_of_hour, location, location_type, "
-       + ", ".join(f"{r6(c)} AS {c}" for c in ["dart_slt", *_HIST]) + f", {_SLT}, {_CYC} FROM (SELECT h.*, s.local_ts, s.hour_local FROM hist h JOIN spread s USING (utc_ts, location))",
-       "spread vint", _HISTSQL)
-def model_ready(b):
-    out = encode.model_ready(_study(b))
-    holiday = [c for c in out.columns if "holiday" in c]
-    out = out.drop(*holiday)
+# Holiday columns of the days of the spread rows.
+_HOLS = EASTERS + f""",
+    yrs AS (SELECT min(year(utc_ts)) - 1 AS lo, max(year(utc_ts)) + 1 AS hi FROM spread),
+    hol AS (SELECT day FROM (SELECT CAST(unnest(generate_series(CAST(make_date(lo, 1, 1) AS TIMESTAMP), CAST(make_date(hi, 12, 31) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM yrs)
+            WHERE {holiday_sql('day')}),
+    hdist AS (SELECT d, {_MAJOR} AS major, d IN (SELECT day FROM hol) AS federal, coalesce((SELECT min(day) FROM hol WHERE day > d) - d, 365) AS d_to,
+                     coalesce(d - (SELECT max(day) FROM hol WHERE day < d), 365) AS d_from FROM (SELECT DISTINCT CAST(utc_ts AS DATE) AS d, date_trunc('day', utc_ts) AS utc_ts FROM spread)),
+    hdays AS (SELECT d, CAST(CAST(federal AS INT) AS DOUBLE) AS etf_is_federal_holiday, CAST(CAST(major AS INT) AS DOUBLE) AS etf_is_major_holiday, CAST(d_to AS DOUBLE) AS etf_days_to_holiday,
+                     CAST(d_from AS DOUBLE) AS etf_days_from_holiday, CAST(CAST(d_to <= 1 AND d_to > 0 AS INT) AS DOUBLE) AS etf_is_pre_holiday,
+                     CAST(CAST(d_from <= 1 AND d_from > 0 AS INT) AS DOUBLE) AS etf_is_post_holiday, CAST(CAST(d_to <= 3 OR d_from <= 3 AS INT) AS DOUBLE) AS etf_is_holiday_week FROM hdist)"""
+_HCOLS = ", ".join(f"etf_{c}" for c in ("is_federal_holiday", "is_major_holiday", "days_to_holiday", "days_from_holiday", "is_pre_holiday", "is_post_holiday", "is_holiday_week"))
+_READY = f"FROM (SELECT h.*, s.local_ts, s.hour_local, {_HCOLS} FROM hist h JOIN spread s USING (utc_ts, location) JOIN hdays ON hdays.d = CAST(h.utc_ts AS DATE))"
+_METAS = "utc_ts, local_ts, CAST(hour(local_ts) + 1 AS INT) AS end_of_hour, location, location_type"
+
+
+def _rounded_ready(out):
     return out.select(*[c if c in encode.META else rnd(c).alias(c) for c in out.columns])
 
 
-@query("model_ready_no_history", "SELECT utc_ts, local_ts, CAST(hour(local_ts) + 1 AS INT) AS end_of_hour, location, location_type, "
-       + f"{r6('dart_slt')} AS dart_slt, {_SLT}, {_CYC} FROM (SELECT h.*, s.local_ts, s.hour_local FROM hist h JOIN spread s USING (utc_ts, location))", "spread vint", _HISTSQL)
+@query("model_ready", f"SELECT {_METAS}, " + ", ".join(f"{r6(c)} AS {c}" for c in ["dart_slt", *_HIST]) + f", {_SLT}, {_CYC}, {_HCOLS} {_READY}", "spread vint", _HISTSQL + ", " + _HOLS)
+def model_ready(b):
+    return _rounded_ready(encode.model_ready(_study(b)))
+
+
+@query("model_ready_no_history", f"SELECT {_METAS}, {r6('dart_slt')} AS dart_slt, {_SLT}, {_CYC}, {_HCOLS} {_READY}", "spread vint", _HISTSQL + ", " + _HOLS)
 def model_ready_no_history(b):
     """The feature list of runs that leave the target's own past out."""
-    out = encode.model_ready(_study(b), history=False)
-    return out.select(*[c if c in encode.META else rnd(c).alias(c) for c in out.columns if "holiday" not in c])
+    return _rounded_ready(encode.model_ready(_study(b), history=False))
+
+
+_ZED = [c for c in _HIST if "_lag_" in c] + [f"load_forecast_{z}_slt" for z in ZONES]
+
+
+@query("study_z_scores", "SELECT utc_ts, location, " + ", ".join(
+    f"{r6(f'({c} - avg({c}) OVER w) / CASE WHEN stddev_pop({c}) OVER w > 1e-12 THEN stddev_pop({c}) OVER w ELSE 1 END', 5)} AS {c}_z" for c in _ZED)
+    + f" FROM (SELECT utc_ts, location, location_type, {', '.join(c for c in _HIST if "_lag_" in c)}, {', '.join(f'{slt(f"load_forecast_{z}")} AS load_forecast_{z}_slt' for z in ZONES)} FROM hist) WINDOW w AS (PARTITION BY location, location_type)", "spread vint", _HISTSQL)
+def study_z_scores(b):
+    """The study with its z-score columns: lags and forecasts scaled per settlement point."""
+    s = build_study(b.rt_hourly, b.dam_hourly, [_forecast(b)])
+    return s.select("utc_ts", "location", *[rnd(f"{c}_z", 5).alias(f"{c}_z") for c in _ZED])
 
 
 @query("feature_completeness", " UNION ALL ".join(f"""

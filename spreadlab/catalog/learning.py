@@ -365,6 +365,15 @@ def regression_metrics(b):
     return rounded(rounded(m, ["r2", "mae", "rmse"]), ["mape", "smape"], 5)
 
 
+@query("core_metrics", f"""
+    SELECT settlement_point, {r6('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS validation_r2, {r6('avg(abs(y - p))')} AS validation_mae, {r6('sqrt(avg((y - p) * (y - p)))')} AS validation_rmse FROM rp GROUP BY 1""", "pred", _RP)
+def core_metrics(b):
+    """The three metrics that are kept with every model."""
+    m = metrics.regression_metrics(reg_rows(b), ["settlement_point"], "actual_dart_slt_raw", "p")
+    out = metrics.core(m, ["settlement_point"], "validation_")
+    return rounded(out, [c for c in out.columns if c != "settlement_point"])
+
+
 @query("directional_accuracy", f"""
     SELECT settlement_point, {r6('100.0 * avg(CAST(sign(dy) = sign(dp) AS INT))')} AS directional_accuracy, CAST(count(dy) AS BIGINT) AS directional_accuracy_sample_count,
            {r6('avg(abs(y - p)) / avg(abs(dy))')} AS mase FROM (
@@ -570,7 +579,7 @@ def metrics_flat(b):
 
 
 @query("metrics_flat_classes", "SELECT settlement_point, " + ", ".join(
-    f"{r6(f'avg({m}_)')} AS mean_per_class_{m}, {r6(f'min({m}_)')} AS min_per_class_{m}" for m in ("precision", "recall", "f1")) + " FROM pcm GROUP BY 1", "pred", _RP + ", " + _PC)
+    f"{r6(f'avg({m}_)')} AS mean_per_class_{m}, {r6(f'min({m}_)')} AS min_per_class_{m}, {r6(f'max({m}_)')} AS max_per_class_{m}" for m in ("precision", "recall", "f1")) + " FROM pcm GROUP BY 1", "pred", _RP + ", " + _PC)
 def metrics_flat_classes(b):
     out = bootstrap.flat_class_metrics(metrics.per_class(_conf(b), ["settlement_point"]), ["settlement_point"])
     return rounded(out, [c for c in out.columns if c != "settlement_point"])
@@ -754,15 +763,26 @@ def alpha_grid_summary(b):
     return rounded(selection.alpha_grid_summary(boot.join(held, ["end_hour", "alpha"])), _GC)
 
 
-@query("median_parameters", f"""
-    SELECT quantile_cont(depth, 0.5) AS depth, quantile_cont(rate, 0.5) AS rate FROM (
-        SELECT end_hour, CAST(arg_max(n, [sc, -n]) AS DOUBLE) AS depth, CAST(arg_max(n, [sc, -n]) AS DOUBLE) / 10 AS rate FROM (
-            SELECT end_hour, CAST(length(settlement_point) AS INT) AS n, round(avg(validation_accuracy - 0.1 * greatest(0, train_accuracy - validation_accuracy - 0.1)), 9) AS sc FROM hres GROUP BY 1, 2) GROUP BY 1)""", "pred", _RP + ", " + _HRES)
+_TRIALS = _GRID + f""", vt AS (SELECT end_hour, alpha, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS train_r2 FROM (
+        SELECT v.end_hour, f.alpha, v.y, {_PREDICT("v", "f")} AS p FROM tr v JOIN vf f ON f.end_hour = v.end_hour) GROUP BY 1, 2),
+    trials AS (SELECT end_hour, alpha, round(train_r2, 9) AS train_accuracy, round(validation_r2, 9) AS validation_accuracy FROM vt JOIN vo USING (end_hour, alpha))"""
+
+
+@query("median_parameters", """
+    SELECT quantile_cont(alpha, 0.5) AS alpha, quantile_cont(log_alpha, 0.5) AS log_alpha FROM (
+        SELECT end_hour, arg_max(alpha, [round(validation_accuracy - 0.1 * greatest(0, train_accuracy - validation_accuracy - 0.1), 9), -alpha]) AS alpha,
+               round(log10(arg_max(alpha, [round(validation_accuracy - 0.1 * greatest(0, train_accuracy - validation_accuracy - 0.1), 9), -alpha])), 6) AS log_alpha FROM trials GROUP BY 1)""", "feats", _TRIALS)
 def median_parameters(b):
-    """Median over hours of the parameters of the best trial; the name lengths of the points stand for the parameter tried."""
-    scored = selection.tuning_score(hour_results(b)).withColumn("depth", F.length("settlement_point"))
-    scored = scored.groupBy("end_hour", "depth").agg(F.round(F.avg("score"), 9).alias("score")).withColumn("rate", F.col("depth") / 10)
-    return selection.median_parameters(selection.best_trials(scored, ["end_hour"], "depth"), ["depth", "rate"])
+    """Median over hours of the penalty of the best ridge trial: R2 after the training years, less a penalty on a gap to R2 within them."""
+    f = feats(b)
+    train = f.where(F.year("utc_ts") < 2000)
+    coefs = linear.fit_linear(train, ["end_hour"], FEATS, "y", "ridge", GRID)
+    asked = f.withColumn("split", F.when(F.year("utc_ts") < 2000, "train").otherwise("validation")).withColumn("alpha", F.explode(F.array(*map(F.lit, GRID)))).withColumn("actual", F.col("y"))
+    r2 = metrics.regression_metrics(linear.score_linear(asked, coefs, ["end_hour", "alpha"], FEATS), ["end_hour", "alpha", "split"], "actual", "prediction")
+    of = lambda split: F.round(F.max(F.when(F.col("split") == split, F.col("r2"))), 9)
+    trials = r2.groupBy("end_hour", "alpha").agg(of("train").alias("train_accuracy"), of("validation").alias("validation_accuracy"))
+    scored = selection.tuning_score(trials).withColumn("score", F.round("score", 9)).withColumn("log_alpha", rnd(F.log10("alpha")))
+    return selection.median_parameters(selection.best_trials(scored, ["end_hour"], "alpha"), ["alpha", "log_alpha"])
 
 
 @query("tuning_score", f"""

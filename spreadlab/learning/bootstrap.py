@@ -44,6 +44,6 @@ def flat_metrics(summary: DataFrame, keys: list[str], metrics: list[str], stats:
 
 
 def flat_class_metrics(per_class: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
-    """Mean and minimum over classes of precision, recall and F1."""
+    """Mean, minimum and maximum over classes of precision, recall and F1."""
     return per_class.groupBy(*keys).agg(*[
-        e for m in ("precision", "recall", "f1") for e in (F.avg(m).alias(f"{prefix}mean_per_class_{m}"), F.min(m).alias(f"{prefix}min_per_class_{m}"))])
+        e for m in ("precision", "recall", "f1") for e in (F.avg(m).alias(f"{prefix}mean_per_class_{m}"), F.min(m).alias(f"{prefix}min_per_class_{m}"), F.max(m).alias(f"{prefix}max_per_class_{m}"))])

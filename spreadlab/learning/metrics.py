@@ -33,6 +33,15 @@ def regression_metrics(df: DataFrame, keys: list[str], actual: str, predicted: s
     return out.withColumn("r2", 1 - ratio(F.col("__sse"), F.col("__vy") * F.col("n"))).drop("__sse", "__vy")
 
 
+# Metrics that are stored with every model.
+CORE = ("r2", "mae", "rmse")
+
+
+def core(measured: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
+    """The core subset of a metric table under prefixed names."""
+    return measured.select(*keys, *[F.col(m).alias(f"{prefix}{m}") for m in CORE])
+
+
 def directional_accuracy(df: DataFrame, keys: list[str], actual: str, predicted: str, order: list[str], ts: str = "utc_ts") -> DataFrame:
     """Share of equal change signs in time order, and MAE over the mean absolute change."""
     s = previous(pairs(df, actual, predicted), keys, order, time_block(ts), {"__y0": "__y", "__p0": "__p"})

@@ -1,7 +1,8 @@
 """Power spectra and spectrograms of series values.
 
 Every series goes through a chirp transform whose inner power-of-two transforms are split
-into square-root sized groups, so no task ever holds a whole series.
+into groups of columns and rows, so a task holds a fixed number of cells or, of very long
+series, the square root of their length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from spreadlab.session import join_measured, materialise
 
 POINT = ["location", "location_type"]
 LONGEST = 3_000_000_000
+#: Numbers of a group of columns or rows of a transform.
+CELLS = 1 << 16
 
 
 def _schema(df: DataFrame, keys: list[str], *extra: tuple[str, T.DataType]) -> T.StructType:
@@ -56,64 +59,80 @@ def _split(n: int) -> tuple[int, int, int]:
     return 1 << p, 1 << (p // 2), 1 << (p - p // 2)
 
 
-def distributed_dft(series: DataFrame, keys: list[str]) -> DataFrame:
-    """First half of the DFT of each series by three shuffles over square-root sized groups.
+def distributed_dft(series: DataFrame, keys: list[str], cells: int = CELLS) -> DataFrame:
+    """First half of the DFT of each series by three shuffles over groups of columns and rows.
 
     The length-N transform is a convolution with a chirp of padded length M = R * C.
     Sample n sits at (n // C, n % C); columns are transformed in the first grouping, rows in
     the second (where the product with the chirp's transform and the inverse row transform
-    happen), columns again in the third.
+    happen), columns again in the third. A group holds as many columns or rows as make up
+    some `cells` numbers, and one at least: short series are one group, long ones are spread
+    over tasks of square-root size. Series travel under a number, their keys join at the end.
     """
+    names = materialise(series.where("idx = 0").select(*keys, "n").withColumn("__s", F.monotonically_increasing_id()))
     p = F.length(F.conv((F.col("n") * 2 - 1).cast("string"), 10, 2))
-    cols = F.pow(F.lit(2.0), F.ceil(p / 2)).cast("long")
-    wide = series.withColumn("__c", cols)
-    samples = wide.select(*keys, "n", F.lit(0).alias("part"), F.pmod("idx", "__c").alias("n2"), F.floor(F.col("idx") / F.col("__c")).alias("n1"), "value")
-    chirp = wide.groupBy(*keys, "n", "__c").agg(F.lit(1).alias("__one")).select(
-        *keys, "n", F.lit(1).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1)).alias("n2"), F.lit(0).cast("long").alias("n1"), F.lit(0.0).alias("value"))
-    cell = [("n", T.LongType()), ("part", T.IntegerType()), ("row", T.LongType()), ("pos", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType())]
-    s1 = _schema(series, keys, *cell)
+    high, wide = (F.pow(F.lit(2.0), x).cast("long") for x in (F.floor(p / 2), F.ceil(p / 2)))
+    per = F.greatest(F.lit(1), F.floor(F.lit(cells) / high)).cast("long")
+    sized = join_measured(series.drop("n"), names, keys).withColumns({"__c": wide, "__per": per})
+    n2 = F.pmod("idx", "__c")
+    samples = sized.select("__s", "n", F.floor(n2 / F.col("__per")).alias("g"), n2.alias("n2"), F.floor(F.col("idx") / F.col("__c")).alias("n1"), "value")
+    # Columns without a sample, in very short series, still have the chirp's: a marker for every group of columns.
+    groups = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / F.col("__per"))))
+    marks = names.withColumns({"__c": wide, "__per": per}).select("__s", "n", groups.alias("g"), F.lit(0).cast("long").alias("n2"), F.lit(-1).cast("long").alias("n1"), F.lit(0.0).alias("value"))
 
     def columns_forward(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part, n2 = int(pdf["n"].iloc[0]), int(key[len(keys)]), int(key[-1])
+        n = int(pdf["n"].iloc[0])
         m, r, c = _split(n)
-        vec = np.zeros(r, dtype="complex128")
-        if part == 0:
-            n1 = pdf["n1"].to_numpy()
-            vec[n1] = pdf["value"].to_numpy() * np.conj(_chirp(n1 * c + n2, n))
-        else:
-            pos = np.arange(r) * c + n2
-            dist = np.minimum(pos, m - pos)
-            inside = dist < n
-            vec[inside] = _chirp(dist[inside], n)
-        out = np.fft.fft(vec) * np.exp(-2j * np.pi * n2 * np.arange(r) / m)
-        return _frame(key, keys, r, s1.names, n=n, part=part, row=np.arange(r), pos=n2, re=out.real, im=out.imag)
-
-    stage1 = samples.unionByName(chirp).groupBy(*keys, "part", "n2").applyInPandas(columns_forward, s1)
-    s2 = _schema(series, keys, *[x for x in cell if x[0] != "part"])
+        cols = _block(int(key[1]), cells, r, c)
+        real = pdf[pdf["n1"] >= 0]
+        n1, at = real["n1"].to_numpy(), real["n2"].to_numpy()
+        vec = np.zeros((r, len(cols)), dtype="complex128")
+        vec[n1, at - cols[0]] = real["value"].to_numpy() * np.conj(_chirp(n1 * c + at, n))
+        pos = np.arange(r)[:, None] * c + cols
+        dist = np.minimum(pos, m - pos)
+        kernel = np.where(dist < n, _chirp(np.minimum(dist, n), n), 0)
+        turn = np.exp(-2j * np.pi * (cols * np.arange(r)[:, None] % m) / m)
+        one, two = np.fft.fft(vec, axis=0) * turn, np.fft.fft(kernel, axis=0) * turn
+        rows = np.repeat(np.arange(r), len(cols))
+        return pd.DataFrame({"__s": key[0], "n": n, "g": rows // max(1, cells // c), "row": rows, "pos": np.tile(cols, r),
+                             "ar": one.real.ravel(), "ai": one.imag.ravel(), "br": two.real.ravel(), "bi": two.imag.ravel()})
+
+    stage1 = samples.unionByName(marks).groupBy("__s", "g").applyInPandas(columns_forward, "__s long, n long, g long, row long, pos long, ar double, ai double, br double, bi double")
 
     def rows_product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, k1 = int(pdf["n"].iloc[0]), int(key[-1])
+        n = int(pdf["n"].iloc[0])
         m, r, c = _split(n)
-        vecs = np.zeros((2, c), dtype="complex128")
-        vecs[pdf["part"].to_numpy(), pdf["pos"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        prod = np.fft.fft(vecs[0]) * np.fft.fft(vecs[1])
-        out = np.fft.ifft(prod) * np.exp(2j * np.pi * k1 * np.arange(c) / m)
-        return _frame(key, keys, c, s2.names, n=n, row=np.arange(c), pos=k1, re=out.real, im=out.imag)
-
-    stage2 = stage1.groupBy(*keys, "row").applyInPandas(rows_product, s2)
-    s3 = _schema(series, keys, ("bin", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType()))
+        rows = _block(int(key[1]), cells, c, r)
+        vecs = np.zeros((2, len(rows), c), dtype="complex128")
+        row, pos = pdf["row"].to_numpy() - rows[0], pdf["pos"].to_numpy()
+        vecs[0, row, pos] = pdf["ar"].to_numpy() + 1j * pdf["ai"].to_numpy()
+        vecs[1, row, pos] = pdf["br"].to_numpy() + 1j * pdf["bi"].to_numpy()
+        prod = np.fft.fft(vecs[0], axis=1) * np.fft.fft(vecs[1], axis=1)
+        out = np.fft.ifft(prod, axis=1) * np.exp(2j * np.pi * (rows[:, None] * np.arange(c) % m) / m)
+        cols = np.tile(np.arange(c), len(rows))
+        return pd.DataFrame({"__s": key[0], "n": n, "g": cols // max(1, cells // r), "col": cols, "pos": np.repeat(rows, c), "re": out.real.ravel(), "im": out.imag.ravel()})
+
+    stage2 = stage1.groupBy("__s", "g").applyInPandas(rows_product, "__s long, n long, g long, col long, pos long, re double, im double")
 
     def columns_inverse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, n2 = int(pdf["n"].iloc[0]), int(key[-1])
+        n = int(pdf["n"].iloc[0])
         _, r, c = _split(n)
-        vec = np.zeros(r, dtype="complex128")
-        vec[pdf["pos"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        k = np.arange(r) * c + n2
+        cols = _block(int(key[1]), cells, r, c)
+        vec = np.zeros((r, len(cols)), dtype="complex128")
+        vec[pdf["pos"].to_numpy(), pdf["col"].to_numpy() - cols[0]] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        k = np.arange(r)[:, None] * c + cols
         keep = k < n // 2
-        out = np.fft.ifft(vec)[keep] * np.conj(_chirp(k[keep], n))
-        return _frame(key, keys, len(out), s3.names, bin=k[keep], re=out.real, im=out.imag)
+        out = np.fft.ifft(vec, axis=0)[keep] * np.conj(_chirp(k[keep], n))
+        return pd.DataFrame({"__s": key[0], "bin": k[keep], "re": out.real, "im": out.imag})
+
+    found = stage2.groupBy("__s", "g").applyInPandas(columns_inverse, "__s long, bin long, re double, im double")
+    return join_measured(found, names.drop("n"), ["__s"]).select(*keys, "bin", "re", "im")
+
 
-    return stage2.groupBy(*keys, "row").applyInPandas(columns_inverse, s3)
+def _block(g: int, cells: int, length: int, count: int) -> np.ndarray:
+    """Numbers of the columns (or rows) of group g, of `length` numbers each."""
+    per = max(1, cells // length)
+    return np.arange(g * per, min((g + 1) * per, count))
 
 
 def power_spectrum(df: DataFrame, value: str, keys: list[str] = POINT, ts: str = "utc_ts", min_rows: int = 2) -> DataFrame:

@@ -116,12 +116,12 @@ def test_order_positions_expand_ties_in_chunks(spark):
     assert got == [(i + 1, v) for i, v in enumerate([0.5] * 3 + [1.0] * 25 + [2.0])]
 
 
-@pytest.mark.parametrize("n", [2, 3, 7, 64, 97, 240])
-def test_split_transform_equals_fft(spark, n):
+@pytest.mark.parametrize(("n", "cells"), [(2, 1), (3, 2), (7, 1 << 16), (64, 3), (97, 40), (240, 1)])
+def test_split_transform_equals_fft(spark, n, cells):
     rng = np.random.default_rng(n)
     x = rng.normal(size=n)
     df = spark.createDataFrame([("s", int(i), float(v), n) for i, v in enumerate(x)], "k string, idx long, value double, n long")
-    got = spectrum.distributed_dft(df, ["k"]).orderBy("bin").toPandas()
+    got = spectrum.distributed_dft(df, ["k"], cells).orderBy("bin").toPandas()
     exp = np.fft.fft(x)[: n // 2]
     assert list(got["bin"]) == list(range(n // 2))
     assert np.allclose(got["re"] + 1j * got["im"], exp, atol=1e-8)

@@ -349,3 +349,68 @@ def test_null_series_keys_are_kept(spark):
     w = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     key = lambda d: sorted((str(r.k), r.ts, r.s) for r in d.collect())
     assert key(got) == key(df.withColumn("s", F.sum("v").over(w)))
+
+
+def test_lasso_path_leaves_no_duality_gap():
+    rng = np.random.default_rng(0)
+    for turn in range(60):
+        d = int(rng.integers(1, 8))
+        x = rng.normal(size=(50, d))
+        if d > 2 and turn % 3 == 0:
+            x[:, 1] = x[:, 0] + rng.normal(size=50) * 0.01
+        if turn % 7 == 0:
+            x[:, -1] = 0
+        y = x @ rng.normal(size=d) + rng.normal(size=50)
+        x, y = x - x.mean(axis=0), y - y.mean()
+        cov, cxy, vy = x.T @ x / 50, x.T @ y / 50, float(y @ y / 50)
+        for alpha in (1e-4, 0.01, 0.1, 0.5, 2.0):
+            assert abs(linear.duality_gap(cov, cxy, vy, linear.lasso_at(cov, cxy, alpha), alpha)) < 1e-9
+    assert linear.duality_gap(cov, cxy, vy, linear.lasso_at(cov, cxy, 0.01) + 0.1, 0.01) > 1e-4
+
+
+def test_replicates_draw_as_many_rows_as_the_group_has(spark):
+    rows = [(k % 3, k * 70_000, float(k)) for k in range(600)] + [(7, 1, 1.0), (7, 1, 2.0)]
+    df = spark.createDataFrame(rows, "end_hour int, id long, v double").repartition(4)
+    weighed = linear.resampled(df, ["end_hour"], F.col("id"), 6, ties=["v"])
+    assert weighed.columns == ["end_hour", "id", "v", "weights"] and weighed.count() == len(rows)
+    sums = linear.by_replicate(weighed).groupBy("end_hour", "replicate").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.max("weight").alias("m")).collect()
+    assert len(sums) == 4 * 6 and all(r.w == r.n for r in sums)
+    assert max(r.m for r in sums if r.n > 2) >= 3
+    again = linear.resampled(df.repartition(2), ["end_hour"], F.col("id"), 6, ties=["v"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, weighed.collect()))
+    # A third or so of the rows of a group are left out, and replicates differ.
+    left = linear.by_replicate(weighed).where("end_hour < 3").groupBy("replicate").agg(F.avg((~F.col("drawn")).cast("int")).alias("o")).collect()
+    assert all(0.25 < r.o < 0.5 for r in left) and len({r.o for r in left}) > 2
+
+
+def test_vector_clusters_by_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(np.concatenate([rng.normal(c, 0.4, (40, 2)) for c in (0.0, 3.0, 6.0)]), 2)
+    x = np.concatenate([x, x[:10]])
+    rows = [("a", float(a), float(b)) for a, b in x] + [("b", float(a), float(-b)) for a, b in x[::3]] + [("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "kind string, p double, q double").repartition(3)
+    got = {(r.kind, r.k): r for r in cluster.kmeans_vectors(df, ["p", "q"], [1, 2, 3, 4], ["kind"]).collect()}
+    for kind, own in (("a", x), ("b", x[::3] * [1, -1])):
+        n = len(own)
+        for k in (1, 2, 3, 4):
+            at = [int(np.floor((n - 1) * (i + 0.5) / k)) for i in range(k)]
+            c = np.sort(own, axis=0)[at]
+            while True:
+                near = ((own[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+                new = np.array([own[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(k)])
+                if np.abs(new - c).max() <= 1e-9:
+                    break
+                c = new
+            r = got[kind, k]
+            assert r.n_rows == n and r.inertia == pytest.approx(((own - c[near]) ** 2).sum()) and r.sizes == sorted(np.bincount(near, minlength=k).tolist(), reverse=True)
+            if k > 1:
+                apart = ((own[:, None] - own[None]) ** 2).sum(axis=2)
+                sil = []
+                for i in range(n):
+                    mean = [apart[i][near == j].sum() / max((near == j).sum() - (j == near[i]), 1) if (near == j).any() else np.inf for j in range(k)]
+                    a, b = mean[near[i]], min(v for j, v in enumerate(mean) if j != near[i])
+                    sil.append((b - a) / max(a, b) if (near == near[i]).sum() > 1 else 0.0)
+                assert r.silhouette == pytest.approx(np.mean(sil), abs=1e-9)
+            else:
+                assert r.silhouette is None
+    assert cluster.kmeans_vectors(df.limit(0), ["p", "q"], [1, 2], ["kind"]).count() == 0
