@@ -35,12 +35,12 @@ def one_of_similar(docs):
     sets = []
     for i, t, s in sorted(docs):
         w = WORD.findall(t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-        sets.append((i, t, s, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))}))
+        sets.append((i, t, s, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}))
     group = list(range(len(sets)))
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             common = len(sets[a][3] & sets[b][3])
-            if 100 * common >= 85 * len(sets[a][3] | sets[b][3]) and group[a] != group[b]:
+            if 5 * common >= 4 * len(sets[a][3] | sets[b][3]) and group[a] != group[b]:
                 old, new = sorted((group[a], group[b]), reverse=True)
                 group = [new if g == old else g for g in group]
     return [x[:3] for k, x in enumerate(sets) if group[k] == k]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -26,7 +27,7 @@ def test_exact_dedup_by_brute_force(docs, rows):
     groups = defaultdict(list)
     for i, t, *_ in rows:
         groups[squeezed(t)].append((-len(t or ""), last_none(i), i))
-    got = exact.content_sort(docs, piece_rows=4, hot_share=0).collect()
+    got = exact.content_sort(docs, piece_rows=4, hot_rows=4).collect()
     assert len(got) == len(rows)
     assert sum(r.kept for r in got) == len(groups)
     keep = {hashlib.sha256(k.encode()).hexdigest(): (min(g)[2], len(g)) for k, g in groups.items()}
@@ -35,7 +36,7 @@ def test_exact_dedup_by_brute_force(docs, rows):
 
 
 def test_exact_dedup_pieces_do_not_change_the_result(docs):
-    a = sorted(map(tuple, exact.content_sort(docs, piece_rows=2, hot_share=0).collect()), key=str)
+    a = sorted(map(tuple, exact.content_sort(docs, piece_rows=2, hot_rows=2).collect()), key=str)
     b = sorted(map(tuple, exact.content_sort(docs, piece_rows=10_000).collect()), key=str)
     assert a == b
 
@@ -120,6 +121,57 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert placed == [(0, 0), (1, 0), (1, 55), (0, 60), (1, 95)]
 
 
+def tightest(sizes, sources, clusters, capacity, slots):
+    """Best fit by looking at every open bin for every piece."""
+    bins, placed = [], []
+    for size, source, cluster in zip(sizes, sources, clusters):
+        fits = [(capacity - sum(p[0] for p in b), k) for k, b in enumerate(bins)
+                if capacity - sum(p[0] for p in b) >= size and all(p[2] != cluster for p in b) and sum(p[1] == source for p in b) < slots]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append([])
+        placed.append((k, sum(p[0] for p in bins[k])))
+        bins[k].append((size, source, cluster))
+    return placed
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_by_brute_force(seed):
+    rng = random.Random(seed)
+    n = 300
+    sizes = sorted((rng.choice([0, 1, rng.randrange(1, 101), 100]) for _ in range(n)), reverse=True)
+    sources, clusters = [rng.randrange(5) for _ in range(n)], [rng.randrange(60) for _ in range(n)]
+    for slots in (1, 3):
+        assert packing.best_fit(sizes, sources, clusters, 100, slots) == tightest(sizes, sources, clusters, 100, slots)
+
+
+def test_packed_shards_by_brute_force(spark, docs, monkeypatch):
+    """Every shard of the result is what best fit over all open bins gives for its pieces, in their order."""
+    monkeypatch.setattr(packing, "best_fit", tightest)
+    slow = sorted(map(tuple, packing.pack(docs, capacity=200, source_slots=2, shard_pieces=30).collect()), key=str)
+    monkeypatch.undo()
+    fast = sorted(map(tuple, packing.pack(docs, capacity=200, source_slots=2, shard_pieces=30).collect()), key=str)
+    assert slow == fast and len({r[4].split("-")[0] for r in fast}) > 3
+
+
+def test_many_rows_without_an_id_are_dealt_out(spark):
+    """A third of all rows has no id and one text, a third no id and texts of its own, a third one id."""
+    texts = ["the same words again"] * 700 + [f"words of {k} its own" for k in range(700)] + ["under one id"] * 700
+    data = [(5 if t == "under one id" else None, t, "s", "x") for t in texts]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, row string").repartition(5)
+    out = packing.pack(df, shard_pieces=100).collect()
+    pieces = Counter(r.bin.split("-")[0] for r in out)
+    assert len(out) == 2100 and max(pieces.values()) <= 200
+    got = exact.content_sort(df, piece_rows=16, hot_rows=64).collect()
+    assert sum(r.kept for r in got) == 702 and Counter(r.group_size for r in got) == {700: 1400, 1: 700}
+    assert exact.drop_copies(df).count() == 702
+    mix = mixing.mix(df).collect()
+    assert sum(r.taken for r in mix) == sum(r.size for r in mix) == 700 * 4 + 700 * 5 + 700 * 3
+    assert mixing.emit(df).count() == sum(r.copies for r in mix)
+
+
 def brute_quality(text):
     w = words(text)
     seen, dup = set(), 0

@@ -136,6 +136,50 @@ def test_jaccard_keeps_one_of_each_group(docs, rows):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} - {None} == stay
 
 
+def sets_by_brute_force(spark, rows, **params):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_sets(df, **params).collect())
+    want = brute_components(rows)
+    assert got == Counter((i, *want[(i is None, i or 0), t or ""]) for i, t in rows)
+    return jaccard.drop_near_copies(df, **params)
+
+
+def test_jaccard_ids_on_different_texts(spark):
+    c, d = ([f"{x}{k}" for k in range(50)] for x in "cd")
+    text = " ".join
+    rows = [(5, text(c)), (5, text(d)), (6, text([*d, "x"])), (7, text([*c, "x"])), (8, None), (8, text(["e"] * 9)), (9, text(["e"] * 9))]
+    out = sets_by_brute_force(spark, rows)
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(5, text(c)), (5, text(d)), (8, ""), (8, text(["e"] * 9))])
+    a, b = text(["a"] * 3 + c[:9]), text(d[:20])
+    out = sets_by_brute_force(spark, [(1, a), (2, b), (2, a), (3, b)])
+    assert sorted(map(tuple, out.collect())) == [(1, a), (2, b)]
+
+
+def test_jaccard_many_null_ids_and_repeats(spark):
+    base = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join([*base, f"x{k % 7}"])) for k in range(60)] + [(None, None)] * 9 + [(3, " ".join(base))] * 4
+    out = sets_by_brute_force(spark, rows, long=3)
+    assert sorted(map(str, out.collect())) == sorted([f"Row(doc_id=3, text='{' '.join(base)}')", "Row(doc_id=None, text=None)"])
+
+
+@pytest.mark.parametrize(("long", "heavy"), [(2, 4)])
+def test_jaccard_groups_that_share_passages(spark, monkeypatch, long, heavy):
+    """Groups of similar texts and texts that only share a passage, in long lists dealt out in small parts."""
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "DEAL", 3)
+    rng = np.random.default_rng(6)
+    shared = [f"s{k}" for k in range(24)]
+    rows = []
+    for g in range(12):
+        base = [f"g{g}v{k}" for k in range(int(rng.integers(1, 60)))] + shared
+        for k in range(6):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(0, 3))):
+                w[at] = f"e{g}x{k}x{at}"
+            rows.append((len(rows), " ".join(w[: len(w) - int(rng.integers(0, 4))])))
+    sets_by_brute_force(spark, rows, long=long)
+
+
 def test_sketch_never_overstates():
     rng = np.random.default_rng(3)
     for n, m in ((5, 7), (100, 90), (500, 30), (64, 2000)):
@@ -169,6 +213,38 @@ def test_language_network_learns(spark):
     assert sorted(map(str, got)) == sorted(map(str, langid.identify(df).collect()))
 
 
+def test_network_by_plain_loops(spark):
+    """The forward pass, filter by filter and place by place, and the mean over the windows of a text."""
+    rng = np.random.default_rng(8)
+    network = langid.Network.fresh(["aa", "bb", "cc"])
+    for p in network.parameters():
+        p += rng.normal(size=p.shape).astype(np.float32) * 0.1
+    network.filters *= langid.filter_mask()
+    texts = ["short é", "x" * 300 + "yz" * 200, "".join(chr(97 + int(k)) for k in rng.integers(0, 26, 700))]
+
+    def chances(window):
+        features = []
+        for f in range(network.filters.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            best = max(
+                sum(float(network.embedding[window[at + j]] @ network.filters[j * langid.EMBED : (j + 1) * langid.EMBED, f]) for j in range(width))
+                for at in range(langid.WINDOW - max(langid.WIDTHS) + 1)
+            )
+            features.append(max(best + float(network.biases[f]), 0.0))
+        scores = np.exp(np.array(features) @ network.out + network.out_bias)
+        return scores / scores.sum()
+
+    want = {}
+    for k, text in enumerate(texts):
+        data = text.encode()
+        starts = [0] if len(data) <= langid.WINDOW else [*range(0, len(data) - langid.WINDOW, langid.WINDOW), len(data) - langid.WINDOW]
+        mean = np.mean([chances([*data[s : s + langid.WINDOW], *[256] * (langid.WINDOW - len(data))]) for s in starts], axis=0)
+        want[k] = (network.labels[int(mean.argmax())], float(mean.max()))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in langid.predict(df, network).collect():
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-4)
+
+
 def test_windows_cover_whole_texts():
     bounds = np.array([0, 10, 10, 1000], np.int64)
     owner, start = langid.window_starts(bounds)
