@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from spreadlab.llm.common import Scratch, without_blanks
 
 PIECE_ROWS = 64
-HOT_SHARE = 1e-5
+#: Groups of more rows are dealt out in pieces.
+HOT_ROWS = 4096
+#: Rows of a table of hot groups that is broadcast: some 30 MB.
+BROADCAST_ROWS = 1 << 18
 #: Characters of a normalised text that go into the sampled splitters.
 HEAD = 64
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = PIECE_ROWS, hot_share: float = HOT_SHARE) -> DataFrame:
+def few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_rows: int = PIECE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Texts are equal when identical without blanks; null counts as empty. Of equal texts the
@@ -22,23 +30,23 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Splitters sampled by Spark range-partition the normalised texts by their heads, and by a
     hash where heads agree, so that samples of whole texts never reach the driver. An external
-    sort puts equal texts side by side, and the window compares neighbours in full. A group of more than
-    piece_rows rows and hot_share of all rows (so at most 1 / hot_share groups) is dealt out
-    in pieces of about piece_rows rows; the first row of each piece carries its text into a
-    second comparison, so a hot group is pre-aggregated before it meets in one place.
+    sort puts equal texts side by side, and the window compares neighbours in full. A group of
+    more than hot_rows rows is dealt out by a running number in pieces of about piece_rows
+    rows, whatever ids its rows have; the first row of each piece carries its text into a
+    second comparison, so a hot group is pre-aggregated before it meets in one place. The
+    tables of hot groups are counted, and broadcast only while they have few rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "content-sort")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("chars"), without_blanks(text).alias("norm"))
-    counts = rows.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > piece_rows)
-    counts = scratch.keep(counts, "counts")
-    least = docs.count() * hot_share
-    hot = counts.where(F.col("n") > least).select("h", F.ceil(F.col("n") / piece_rows).alias("pieces"))
+    counts = rows.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    hot = scratch.keep(counts.select("h", F.ceil(F.col("n") / piece_rows).alias("pieces")), "hot")
     salted = (
         rows.withColumn("h", F.xxhash64("norm"))
-        .join(F.broadcast(hot), "h", "left")
-        .withColumn("salt", F.pmod(F.xxhash64("id", "chars"), F.coalesce("pieces", F.lit(1))))
+        .withColumn("row", F.monotonically_increasing_id())
+        .join(few(hot), "h", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1))))
         .withColumn("head", F.substring("norm", 1, HEAD))
     )
     ranged = ("head", "h", "salt")
@@ -47,7 +55,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     compared = (
         salted.repartitionByRange(*ranged)
         .withColumn("rank", F.row_number().over(ranked))
-        .withColumn("keep", F.first(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("last"), F.col("id").alias("id"))).over(ranked))
+        .withColumn("keep", F.first(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("salt").alias("piece"))).over(ranked))
         .withColumn("n", F.count("*").over(group))
         .select(
             "id", "chars", "rank", "keep", "n",
@@ -62,7 +70,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.min("keep").alias("whole_keep"), F.sum("n").alias("whole_n"), F.first("sha").alias("sha"))
         .select("sha", "whole_keep", "whole_n")
     )
-    out = compared.drop("piece_text").join(F.broadcast(whole), "sha", "left")
+    whole = scratch.keep(whole, "whole")
+    out = compared.drop("piece_text").join(few(whole), "sha", "left")
     keep = F.coalesce("whole_keep", "keep")
     return out.select(
         F.col("id").alias("doc_id"),
