@@ -65,14 +65,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     class, so that every stretch of the sampling covers all sizes; the prefix sum of expected
     copies plus one offset per source is cut at integers and a row is emitted once for each
     integer it crosses: at most `cap` copies. Rows that tie share their positions in any
-    order with the same result. A source of size 0 has target 0 and takes nothing.
+    order with the same result; rows without an id stand by their running number instead, in
+    the order of the input's files. A source of size 0 has target 0 and takes nothing. Other
+    columns are not read, whatever their names; an empty table gives no rows.
 
     The prefix sum of a source is a sum over size classes, over hash blocks of a class, and
     over rows of a block: no window ever holds a source, however many rows it has.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("_size"))
-    sized = sized.withColumn("_level", size_level(F.col("_size"))).withColumn("_h", hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = sized.withColumn("_level", size_level(F.col("_size"))).withColumn("_h", hashed(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))))
     sized = scratch.keep(sized.withColumn("_block", F.substring("_h", 1, BLOCK_DIGITS)), "sized")
     goal = scratch.keep(targets(sized.select("source", F.col("_size").alias("size")), weights, cap), "targets")
 
@@ -108,6 +110,8 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The rows of docs, with their columns, repeated as often as the mix takes them.
 
     Rows that agree in id, source and size share the copies taken of them, in text order.
+    Null texts have no words and are taken like other rows without; very long texts are rows
+    like others. The columns of docs may have any names.
     """
     keys = ("_id", "_source", "_size")
     taken = mix(docs, id_col, text_col, source_col, **params).groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))

@@ -60,7 +60,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def pack_shard(capacity: int, slots: int):
     def pack(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["n_words", "tie", "piece"], ascending=[False, True, True], kind="stable")
+        pieces = pieces.sort_values(["n_words", "tie", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         placed = best_fit(pieces["n_words"].tolist(), pieces["source_bit"].tolist(), pieces["cluster_bit"].tolist(), capacity, slots)
         out = pieces[["doc_id", "piece", "first_word", "n_words"]].copy()
         shard = pieces["shard"].iloc[0]
@@ -82,8 +82,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sources are bits of bitmaps, so a chance match of bits only sends a piece to another bin.
     A null source is a source; rows that tie are packed one after the other.
 
-    Pieces are dealt by hash to shards of about `shard_pieces`, and each shard is packed by
-    itself: no shard grows with the data, no source and no cluster is gathered.
+    Pieces are dealt to shards of about `shard_pieces` by a hash of the row's running number,
+    which no two rows share, and each shard is packed by itself: no shard grows with the data,
+    with rows without an id or with rows of one id, and no source and no cluster is gathered.
+    Bins follow from the order of the input's files.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
@@ -93,6 +95,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         n_words(F.col(text_col)).alias("size"),
         F.pmod(F.xxhash64(F.coalesce(F.col(source_col), F.lit("\x00"))), F.lit(SOURCE_BITS)).cast("int").alias("source_bit"),
         key.alias("cluster"),
+        F.monotonically_increasing_id().alias("row"),
     )
     sized = scratch.keep(sized, "sized")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int"))))
@@ -107,7 +110,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         "source_bit",
         F.pmod(F.xxhash64("cluster"), F.lit(CLUSTER_BITS)).cast("int").alias("cluster_bit"),
         F.xxhash64("doc_id", "piece").alias("tie"),
-        F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)).alias("shard"),
+        "row",
+        F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"),
     )
     id_type = docs.schema[id_col].dataType.simpleString()
     return pieces.groupBy("shard").applyInPandas(pack_shard(capacity, source_slots), COLUMNS.format(id=id_type))

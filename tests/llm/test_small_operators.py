@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,13 +148,16 @@ def test_best_fit_by_brute_force(seed):
         assert packing.best_fit(sizes, sources, clusters, 100, slots) == tightest(sizes, sources, clusters, 100, slots)
 
 
-def test_packed_shards_by_brute_force(spark, docs, monkeypatch):
-    """Every shard of the result is what best fit over all open bins gives for its pieces, in their order."""
-    monkeypatch.setattr(packing, "best_fit", tightest)
-    slow = sorted(map(tuple, packing.pack(docs, capacity=200, source_slots=2, shard_pieces=30).collect()), key=str)
-    monkeypatch.undo()
-    fast = sorted(map(tuple, packing.pack(docs, capacity=200, source_slots=2, shard_pieces=30).collect()), key=str)
-    assert slow == fast and len({r[4].split("-")[0] for r in fast}) > 3
+def test_a_shard_is_packed_in_falling_size_by_brute_force():
+    """What a task does with the pieces of its shard, against best fit over all open bins."""
+    rng = random.Random(9)
+    rows = [(k, 0, 0, rng.choice([0, 5, rng.randrange(1, 201)]), rng.randrange(6), rng.randrange(80), rng.randrange(1 << 40), k, 3) for k in range(250)]
+    columns = ["doc_id", "piece", "first_word", "n_words", "source_bit", "cluster_bit", "tie", "row", "shard"]
+    out = packing.pack_shard(200, 2)(pd.DataFrame(rows, columns=columns))
+    order = sorted(rows, key=lambda r: (-r[3], r[6]))
+    want = tightest([r[3] for r in order], [r[4] for r in order], [r[5] for r in order], 200, 2)
+    assert list(zip(out["doc_id"], out["bin"], out["bin_offset"])) == [(r[0], f"3-{b}", o) for r, (b, o) in zip(order, want)]
+    assert all(out["bin_words"] == out.groupby("bin")["n_words"].transform("sum"))
 
 
 def test_many_rows_without_an_id_are_dealt_out(spark):
