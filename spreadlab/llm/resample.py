@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadlab.llm.common import Scratch
-from spreadlab.llm.ranks import ranked
+from spreadlab.llm.ranks import most_frequent, ranked
 from spreadlab.llm.tokens import Summary, runs
 
 BUCKETS = 10_000
@@ -227,9 +227,8 @@ def head_of(docs: DataFrame, text_col: str, scratch: Scratch, buckets: int) -> t
     """
     seen = docs.select(F.col(text_col).alias("text")).mapInArrow(frequent, "first long, second long, n long")
     counts = scratch.keep(seen.groupBy("first", "second").agg(F.sum("n").alias("n")), "frequent")
-    order = (F.col("n").desc(), "first", "second")
-    words = counts.where("second = 0").orderBy(*order).limit(HEAD_WORDS).collect()
-    pairs = counts.where("second != 0").orderBy(*order).limit(HEAD_PAIRS).collect()
+    top = lambda rows, most: sorted(most_frequent(rows, most).collect(), key=lambda r: (-r["n"], r["first"], r["second"]))
+    words, pairs = top(counts.where("second = 0"), HEAD_WORDS), top(counts.where("second != 0"), HEAD_PAIRS)
     scratch.drop("frequent")
     return np.array([r["first"] for r in words], np.int64).view(np.uint64), np.array([(r["first"], r["second"]) for r in pairs], np.int64).reshape(-1, 2).view(np.uint64), buckets
 
