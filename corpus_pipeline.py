@@ -13,22 +13,27 @@ PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that pass the quality rules; the others go, null and empty texts among them."""
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of texts that are equal without blanks, null counting as empty."""
     return exact.drop_copies(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every component of texts that share four fifths of their five-word shingles; texts without words stay."""
     return jaccard.drop_near_copies(docs, width=SHINGLE, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated or left out so that each source comes near its share of all words; a null source is a source."""
     return mixing.emit(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its bin: doc_id, piece, first_word, n_words, bin, bin_offset, bin_words."""
     return packing.pack(docs)
 
 

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadlab.llm.common import Scratch, real_id, row_ids
 from spreadlab.llm.components import components
-from spreadlab.llm.tokens import PLACES, Words, list_column, mixed, runs
+from spreadlab.llm.ranks import most_frequent
+from spreadlab.llm.tokens import PLACES, Summary, Words, list_column, mixed, runs
 
 SHINGLE = 4
 PERCENT = 85
-#: Index lists of more sets than this are long; the tokens of long lists come last in every set.
+#: Index lists of more sets than this are long: their sets are dealt out by size before they are compared.
 LONG = 64
 BLOCK = 8
 #: Sets of a long list that are compared in one row.
 DEAL = 256
+#: Leaders that a set of a mixed list meets before the rest of the list is compared.
+TURNS = 2
+#: Frequent tokens that come last in the global order; 16 bytes each are broadcast.
+HEAVY = 1 << 17
+#: Distinct tokens that a task counts at a time; the rarer ones are let go.
+SUMMARY = 1 << 18
 
 
 def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
@@ -59,44 +67,79 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(_ONES[x ^ y].sum())
 
 
-def describe(width: int, percent: int):
-    """Per text: size, signature and sketch of its set, and its first tokens in hash order."""
+def frequent_tokens(width: int):
+    """(token, n) of a task's tokens that stand in more than one of its sets, the most frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Summary(SUMMARY)
+        for batch in batches:
+            for _, _, data, bounds in runs(batch.column(0)):
+                tokens = np.concatenate(shingle_sets(Words(data, bounds, fold=True), width)).view(np.uint64)
+                seen.add(tokens, np.zeros(len(tokens), np.uint64))
+        token, _, n = seen.merge()
+        top = np.argsort(-n, kind="stable")[:HEAVY]
+        top = top[n[top] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(token[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["token", "n"])
+
+    return run
+
+
+class Order:
+    """The global order of tokens: rare ones by hash, then the frequent ones, the rarer first."""
+
+    def __init__(self, heavy: np.ndarray):
+        self.sorted = np.sort(heavy)
+        self.place = np.argsort(heavy, kind="stable")
+        self.likely = np.zeros(1 << 22, bool)
+        self.likely[self.slot(heavy)] = True
+
+    @staticmethod
+    def slot(tokens: np.ndarray) -> np.ndarray:
+        return (tokens.view(np.uint64) >> np.uint64(42)).astype(np.int64)
+
+    def first(self, tokens: np.ndarray, n: int) -> np.ndarray:
+        """The first n of a set's tokens, which stand by hash."""
+        maybe = np.flatnonzero(self.likely[self.slot(tokens)])
+        if not len(maybe):
+            return tokens[:n]
+        at = np.minimum(np.searchsorted(self.sorted, tokens[maybe]), len(self.sorted) - 1)
+        hit = self.sorted[at] == tokens[maybe]
+        rare = np.delete(tokens, maybe[hit])
+        if len(rare) >= n:
+            return rare[:n]
+        return np.concatenate([rare, tokens[maybe[hit]][np.argsort(self.place[at[hit]])]])[:n]
+
+
+def describe(width: int, percent: int, heavy):
+    """Per text: size, signature and sketch of its set, and its first tokens in the global order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(heavy.value)
         for batch in batches:
             sizes, ones, twos, sketches, firsts = [], [], [], [], []
-            for _, _, data, bounds in runs(batch.column(1)):
+            for _, _, data, bounds in runs(batch.column(2)):
                 for tokens in shingle_sets(Words(data, bounds, fold=True), width):
-                    n, p = len(tokens), prefix_length(len(tokens), percent)
+                    n = len(tokens)
                     sizes.append(n)
                     plain = tokens.view(np.uint64)
                     ones.append(int(plain.sum(dtype=np.uint64).view(np.int64)) if n else 0)
                     twos.append(int(mixed(plain + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                     sketches.append(sketch(tokens))
-                    firsts.append(tokens[: min(n, p + p // 3)])
+                    firsts.append(order.first(tokens, min(n, prefix_length(n, percent))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sketches, pa.binary()), list_column(firsts, pa.int64())],
-                ["oid", "n", "s1", "s2", "sketch", "tokens"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sketches, pa.binary()), list_column(firsts, pa.int64())],
+                ["oid", "th", "n", "s1", "s2", "sketch", "tokens"],
             )
 
     return run
 
 
-def all_tokens(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [t for _, _, data, bounds in runs(batch.column(1)) for t in shingle_sets(Words(data, bounds, fold=True), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(sets, pa.int64())], ["node", "tokens"])
-
-    return run
-
-
 def candidates(percent: int, block: int = BLOCK):
     """Pairs of index lists that pass the bounds, from rows with the lists `n`, `node`, `rank`, `side`.
 
     Entries of a list stand by size and position in blocks. A pair of blocks is skipped when
     its extreme sizes or positions cannot give the overlap needed; only blocks that pass are
-    opened. Entries of equal side are not compared, unless the side is -1.
+    opened. Entries of equal side are not compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +173,7 @@ def candidates(percent: int, block: int = BLOCK):
                     i, j = i[valid], j[valid]
                     need = -(-percent * (n[i] + n[j]) // (100 + percent))
                     fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - rank[i], n[j] - rank[j]) >= need)
-                    fits &= (node[i] != node[j]) & ((side[i] != side[j]) | (side[i] == -1))
+                    fits &= (node[i] != node[j]) & (side[i] != side[j])
                     found.append(np.stack([np.minimum(node[i], node[j])[fits], np.maximum(node[i], node[j])[fits]]))
                 step += 1
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -166,119 +209,140 @@ def verified(width: int, percent: int):
     return run
 
 
+def entry() -> Column:
+    """A list's entry, with the class as its side."""
+    return F.struct("n", "node", "rank", F.col("class").alias("side"))
+
+
 class Join:
     """Tables that the steps of one join share."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, long: int):
-        self.scratch = Scratch(docs.sparkSession, "jaccard")
+        spark = docs.sparkSession
+        self.scratch = Scratch(spark, "jaccard")
         self.width, self.percent, self.long = width, percent, long
         text = F.coalesce(F.col(text_col), F.lit(""))
-        self.texts = docs.select(row_ids(F.col(id_col), F.col(text_col)).alias("oid"), text.alias("text"))
-        self.base = self.scratch.keep(self.texts.mapInArrow(describe(width, percent), "oid long, n int, s1 long, s2 long, sketch binary, tokens array<long>"), "base")
-        sets = self.base.where("n > 0")
-        self.classes = sets.groupBy("s1", "s2", "n").agg(F.min("oid").alias("node"))
-        self.nodes = self.scratch.keep(sets.join(self.classes, ["s1", "s2", "n"]).where("oid = node").select("node", "n", "sketch", "tokens").dropDuplicates(["node"]), "nodes")
-
-    def texts_of(self, nodes: DataFrame) -> DataFrame:
-        return self.texts.join(nodes.select(F.col("node").alias("oid")).distinct(), "oid").select(F.col("oid").alias("node"), "text").dropDuplicates(["node"])
-
-    def check(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (x, y) that are links: by sketches, then by the whole sets."""
+        self.texts = docs.select(row_ids(F.col(id_col), F.col(text_col)).alias("oid"), F.xxhash64(text).alias("th"), text.alias("text"))
+        counts = self.texts.select("text").mapInArrow(frequent_tokens(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        # At most HEAVY rows come to the driver. Which tokens are last decides the work, not the links.
+        counts = self.scratch.keep(counts.where(F.col("n") > long), "frequent")
+        heavy = sorted((r["n"], r["token"]) for r in most_frequent(counts, HEAVY).collect())
+        order = spark.sparkContext.broadcast(np.array([t for _, t in heavy], np.int64))
+        self.base = self.scratch.keep(self.texts.mapInArrow(describe(width, percent, order), "oid long, th long, n int, s1 long, s2 long, sketch binary, tokens array<long>"), "base")
+        classes = self.base.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("oid", "th")).alias("one"))
+        self.classes = self.scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+        ones = self.classes.select("node", "one.oid", "one.th")
+        nodes = self.base.select("oid", "th", "n", "sketch", "tokens").join(ones, ["oid", "th"]).dropDuplicates(["oid", "th"])
+        self.nodes = self.scratch.keep(nodes, "nodes")
+
+    def texts_of(self, pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        ids = self.nodes.select("node", "oid", "th").join(ends, "node")
+        return self.texts.join(ids, ["oid", "th"]).dropDuplicates(["oid", "th"]).select("node", "text")
+
+    def held(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sketches do not rule out a link."""
         side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         held = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "sx", "ny", "sy")
-        held = self.scratch.keep(held.mapInArrow(sketched(self.percent), "x long, y long"), f"{name}-held")
-        ends = held.select(F.col("x").alias("node")).unionByName(held.select(F.col("y").alias("node")))
-        texts = self.scratch.keep(self.texts_of(ends), f"{name}-texts")
+        return self.scratch.keep(held.mapInArrow(sketched(self.percent), "x long, y long"), f"{name}-held")
+
+    def verify(self, held: DataFrame, name: str) -> DataFrame:
+        """The written pairs (x, y) whose whole sets are similar."""
+        texts = self.scratch.keep(self.texts_of(held), f"{name}-texts")
         text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
         full = held.join(text("x"), "x").join(text("y"), "y").select("x", "y", "tx", "ty")
         links = self.scratch.keep(full.mapInArrow(verified(self.width, self.percent), "x long, y long"), f"{name}-links")
         self.scratch.drop(f"{name}-held", f"{name}-texts")
         return links
 
-    def postings(self) -> DataFrame:
-        """(token, node, n, place, listed): what sets expose of themselves, where two or more do.
+    def lists(self) -> DataFrame:
+        """(token, node, n, rank, listed): the index lists of two sets or more over the first tokens of all sets."""
+        rows = self.nodes.select("node", "n", F.posexplode("tokens").alias("rank", "token"))
+        counts = rows.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
+        return self.scratch.keep(rows.join(counts, "token").select("token", "node", "n", "rank", "listed"), "lists")
+
+    def near(self, n: Column, other: Column, rank: Column, other_rank: Column) -> Column:
+        """Whether sizes and places leave room for the overlap that a link needs, if this is the first common token."""
+        need = F.ceil(F.lit(self.percent) * (n + other) / (100 + self.percent))
+        return (F.least(n, other) * 100 >= F.greatest(n, other) * self.percent) & (F.least(n - rank, other - other_rank) >= need)
 
-        Every set exposes its first tokens in hash order. A set of which too few are rare
-        exposes all of them, which can make further tokens frequent; this goes on until no
-        further set has to, so that whether a token is frequent is the same for all sets.
+    def meet(self, left: DataFrame, turn: int) -> DataFrame:
+        """(x, y): for each set y the leader x that most of its lists have, from lists with more than one class.
+
+        A list's leader is a set of its largest class, another one in every turn.
         """
-        scratch, p = self.scratch, F.col("n") + F.floor(-F.lit(self.percent) * F.col("n") / 100).cast("int") + 1
-        whole = None
-        for turn in range(1 << 30):
-            if whole is None:
-                exposed = self.nodes.select("node", "n", "tokens")
-            else:
-                rest = self.nodes.select("node", "n", "tokens").join(whole.select("node"), "node", "left_anti")
-                exposed = rest.unionByName(whole.select("node", "n", "tokens"))
-            rows = exposed.select("node", "n", F.posexplode("tokens").alias("place", "token"))
-            counts = rows.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
-            shared = scratch.keep(rows.join(counts, "token"), f"shared-{turn}")
-            frequent = shared.where(F.col("listed") > self.long).groupBy("node").agg(F.count("*").alias("frequent"))
-            partial = self.nodes.select("node", "n", F.size("tokens").alias("shown")).join(frequent, "node")
-            if whole is not None:
-                partial = partial.join(whole.select("node"), "node", "left_anti")
-            dense = scratch.keep(partial.where((F.col("shown") - F.col("frequent") < p) & (F.col("shown") < F.col("n"))).select("node", "n"), f"dense-{turn}")
-            if dense.isEmpty():
-                return shared
-            more = self.texts_of(dense).mapInArrow(all_tokens(self.width), "node long, tokens array<long>").join(dense, "node").select("node", "n", "tokens")
-            whole = scratch.keep(more if whole is None else more.unionByName(whole), f"whole-{turn}")
-            scratch.drop(f"shared-{turn}", f"dense-{turn}", *([f"whole-{turn - 1}"] if turn else []))
+        lead = F.min_by(F.struct("node", "n", "rank"), F.xxhash64("node", F.lit(turn)))
+        if turn:
+            sizes = left.groupBy("token", "class").agg(F.count("*").alias("m"), lead.alias("lead"))
+            leads = sizes.groupBy("token").agg(F.max(F.struct("m", "class", "lead")).alias("top")).select("token", F.col("top.class").alias("led_by"), "top.lead")
+        else:
+            leads = left.groupBy("token").agg(lead.alias("lead")).select("token", F.col("lead.node").alias("led_by"), "lead")
+        led = left.join(leads, "token").where(F.col("class") != F.col("led_by"))
+        near = self.near(F.col("n"), F.col("lead.n"), F.col("rank"), F.col("lead.rank"))
+        met = led.where(near).groupBy(F.col("node").alias("y"), F.col("lead.node").alias("x")).agg(F.count("*").alias("c"))
+        return met.groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y")
 
     def links(self) -> DataFrame:
         """Links between sets that connect the same sets as all links do."""
         scratch = self.scratch
-        shared = self.postings()
-        n, p = F.col("n"), F.col("n") + F.floor(-F.lit(self.percent) * F.col("n") / 100).cast("int") + 1
-        frequent = shared.where(F.col("listed") > self.long).groupBy("node").agg(F.count("*").alias("frequent"))
-        rare = shared.where(F.col("listed") <= self.long).join(frequent, "node", "left").withColumn("rank", F.greatest(F.col("place") - F.coalesce("frequent", F.lit(0)), F.lit(0)))
-        entry = F.struct("n", "node", "rank", F.lit(-1).alias("side"))
-        lists = rare.where(F.col("rank") < p).groupBy("token").agg(F.collect_list(entry).alias("l")).where(F.size("l") > 1)
-        links = self.check(self.compare(lists.drop("token")), "rare")
-
-        # Sets with too few rare tokens also meet in long lists: first with the list's least set.
-        poor = frequent.join(self.nodes.select("node", "n"), "node").where(F.col("n") - F.col("frequent") < p).select("node", "frequent")
-        within = F.row_number().over(_by_node())
-        hot = shared.where(F.col("listed") > self.long).join(poor, "node").withColumn("rank", n - F.col("frequent") + within - 1).where(F.col("rank") < p)
-        hot = scratch.keep(hot.select("token", "node", "n", "rank"), "hot")
-        if hot.isEmpty():
+        left, links = self.lists().withColumn("class", F.col("node")), None
+        for turn in range(TURNS):
+            # A set similar to its leader has the leader's class as its answer; only sets of different classes are left to compare.
+            found = self.verify(self.held(self.meet(left, turn), f"star-{turn}"), f"star-{turn}")
+            links = found if links is None else links.unionByName(found)
+            classes = components(links, scratch, f"turn-{turn}")
+            placed = left.drop("class").join(classes, "node", "left").select("token", "node", "n", "rank", "listed", F.coalesce("component", "node").alias("class"))
+            several = placed.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("token")
+            left = scratch.keep(placed.join(several, "token"), f"left-{turn}")
+            if turn:
+                scratch.drop(f"left-{turn - 1}")
+        short = left.where(F.col("listed") <= self.long).groupBy("token").agg(F.collect_list(entry()).alias("l"))
+        links = links.unionByName(self.verify(self.compare(short.select("l"), "short"), "short"))
+        long = left.where(F.col("listed") > self.long)
+        if long.isEmpty():
             return links
-        leaders = hot.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lead"))
-        led = hot.join(leaders, "token").where(F.col("node") != F.col("lead.node"))
-        near = F.least(n, F.col("lead.n")) * 100 >= F.greatest(n, F.col("lead.n")) * self.percent
-        star = self.check(led.where(near).select(F.col("lead.node").alias("x"), F.col("node").alias("y")).distinct(), "star")
-        links = scratch.keep(links.unionByName(star), "first-links")
-
-        # A set similar to the leader has the leader's class as its answer; only sets of different classes are left to compare.
-        classes = components(links, scratch, "first")
-        placed = hot.join(classes, "node", "left").select("token", "node", "n", "rank", F.coalesce("component", "node").alias("class"))
-        sizes = placed.groupBy("token", "class").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("token").agg(F.max(F.struct("m", "class")).alias("top"), F.sum("m").alias("all")).where(F.col("all") > F.col("top.m"))
-        deal = placed.join(largest, "token").withColumn("major", F.col("class") == F.col("top.class"))
-        parts = lambda m: F.ceil(m / DEAL).cast("int")
-        deal = deal.withColumn("majors", parts(F.col("top.m"))).withColumn("others", parts(F.col("all") - F.col("top.m")))
-        own = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("others"))).cast("int")
-        deal = deal.withColumn("own", own)
-        up_to = lambda m: F.sequence(F.lit(0), m - 1)
-        tasks = F.when(F.col("major"), F.transform(up_to(F.col("others")), lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), j.alias("j")))).otherwise(
-            F.concat(
-                F.transform(up_to(F.col("majors")), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("own").alias("j"))),
-                F.transform(up_to(F.col("others")), lambda j: F.struct(F.lit(1).alias("kind"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))),
-            )
-        )
-        dealt = deal.select("token", "node", "n", "rank", "class", F.explode(tasks).alias("task"))
-        entry = F.struct("n", "node", "rank", F.col("class").alias("side"))
-        lists = dealt.groupBy("token", "task").agg(F.collect_list(entry).alias("l")).where(F.size("l") > 1).select("l")
-        return links.unionByName(self.check(self.compare(lists), "rest"))
+        return links.unionByName(self.verify(self.compare(self.dealt(long), "long"), "long"))
 
-    def compare(self, lists: DataFrame) -> DataFrame:
-        columns = [F.col(f"l.{c}").cast("array<long>").alias(c) for c in ("n", "node", "rank", "side")]
-        return lists.select(*columns).mapInArrow(candidates(self.percent), "x long, y long").distinct()
+    def dealt(self, long: DataFrame) -> DataFrame:
+        """Lists `l` of at most some two DEAL sets in which all pairs of a long list meet that can be links.
 
+        The sets of a list stand in blocks by size. Two blocks are compared only if a set of
+        the size and place of the one can reach the overlap with the other's; a set goes only
+        to such pairs of blocks, and in parts of DEAL sets.
+        """
+        step = max(math.log(100 / self.percent) / 4, 0.01)
+        block = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+        sized = long.withColumn("block", block)
+        counts = sized.groupBy("token", "block").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("rank").alias("front"))
+        counts = self.scratch.keep(counts, "blocks")
+        other = counts.select("token", F.col("block").alias("other"), F.col("m").alias("m2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("front").alias("front2"))
+        # At most nine blocks are within reach of a block.
+        reach = counts.withColumn("other", F.explode(F.sequence(F.col("block") - 5, F.col("block") + 5))).join(other, ["token", "other"])
+        reach = reach.select("token", "block", "other", F.ceil(F.col("m") / DEAL).cast("int").alias("parts"), F.ceil(F.col("m2") / DEAL).cast("int").alias("parts2"), "least2", "most2", "front2")
+        rows = sized.join(reach, ["token", "block"])
+        # The most favourable set of the other block: least of its sizes that is near enough, at the block's front.
+        size = F.greatest(F.col("least2"), F.ceil(F.col("n") * self.percent / 100))
+        need = F.ceil(F.lit(self.percent) * (F.col("n") + size) / (100 + self.percent))
+        rows = rows.where((size <= F.col("most2")) & (F.col("n") - F.col("rank") >= need) & (F.col("most2") - F.col("front2") >= need))
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        every = F.transform(F.sequence(F.lit(0), F.col("parts2") - 1), lambda j: j)
+        first = F.col("block") <= F.col("other")
+        task = F.transform(every, lambda j: F.when(F.col("block") == F.col("other"), F.struct(F.col("block").alias("a"), F.col("other").alias("b"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))).otherwise(
+            F.struct(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(first, own).otherwise(j).alias("i"), F.when(first, j).otherwise(own).alias("j"))))
+        dealt = rows.select("token", "node", "n", "rank", "class", F.explode(task).alias("task"))
+        return dealt.groupBy("token", "task").agg(F.collect_set(entry()).alias("l"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("l")
+
+    def compare(self, lists: DataFrame, name: str) -> DataFrame:
+        columns = [F.col(f"l.{c}").cast("array<long>").alias(c) for c in ("n", "node", "rank", "side")]
+        return self.held(lists.select(*columns).mapInArrow(candidates(self.percent), "x long, y long").distinct(), name)
 
-def _by_node():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("node").orderBy("token")
+def leasts(join: Join, links: DataFrame, name: str) -> DataFrame:
+    """(s1, s2, n, node, least): the least (oid, th) of every class's component."""
+    found = components(links, join.scratch, name)
+    classes = join.classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("one").alias("least"))
+    return join.scratch.keep(classes.join(least, "component").select("s1", "s2", "n", "node", "least"), f"{name}-leasts")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
@@ -287,26 +351,49 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Sets of distinct `width`-word shingles with A-Z folded; a shorter text is one shingle, a
     null or empty one has no set and no links. Sets link when 100 * common >= percent * union.
     component_id is the least id reachable by links, the row's own included; rows without an
-    id stand for their text, come last and give null. Rows of one id are one document. Other
-    columns are not read.
-
-    Equal sets are one node. In a global order of tokens, rare ones by hash before frequent
-    ones by hash, linked sets share a token of their first `prefix_length`. Lists of rare
-    tokens hold at most `long` sets and are compared in blocks. Sets made of frequent tokens
-    meet the least set of each long list first; those linked to it take over its class, so
-    that a group of similar sets costs one comparison each, and only members of different
-    classes are compared further, in dealt parts. Candidates are checked by sketches, then by
-    their whole sets. Nothing is capped: every link between sets of different classes is tested.
+    id stand for their text, come last and give null. All texts under one id are compared, and
+    an id joins what they are linked to. Other columns are not read.
+
+    Equal sets are one node. In a global order of tokens, rare ones by hash before the most
+    frequent ones, linked sets share a token among their first `prefix_length`. Each set first
+    meets the set that leads most of its lists; one linked to it takes over its class, and the
+    others meet one more leader, so that a group of similar sets costs a comparison or two
+    each, and only members of different classes are compared further. Lists are opened by blocks: pairs of blocks whose sizes or places
+    cannot give the overlap are skipped, and long lists are dealt out by size before that.
+    Candidates are checked by sketches, then by their whole sets. Nothing is capped: every pair
+    of sets of different classes that share such a token and can be a link is tested.
     """
     join = Join(docs, id_col, text_col, width, percent, long)
-    found = components(join.links(), join.scratch, "all")
-    rows = join.base.select("oid", "n", "s1", "s2").join(join.classes, ["s1", "s2", "n"], "left").join(found, "node", "left")
-    component = F.coalesce("component", "node", "oid")
-    return rows.select(real_id(F.col("oid")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real_id(component).alias("component_id"), F.col("oid").alias("_oid"), component.alias("_component"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of docs that stand for their component: those of its least id."""
-    found = similar_sets(docs, id_col, text_col, **params).where("_oid = _component").select("_oid").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), row_ids(F.col(id_col), F.col(text_col)).alias("_oid"))
-    return rows.join(found, "_oid", "left_semi").select("_row.*")
+    links = join.links()
+    rows = join.base.select("oid", "n", "s1", "s2")
+    text = F.struct("n", "s1", "s2")
+    many = join.scratch.keep(rows.groupBy("oid").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a < b").select("oid"), "many")
+    crowd = rows.join(many, "oid").distinct()
+    held = crowd.join(join.classes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
+    same = held.join(held.groupBy("oid").agg(F.min("node").alias("x")), "oid").select("x", F.col("node").alias("y"))
+    classes = leasts(join, links.unionByName(same), "all")
+    found = rows.join(classes.select("s1", "s2", "n", F.col("least.oid").alias("least")), ["s1", "s2", "n"], "left")
+    # An id on a text without words has no node there and goes with its other texts.
+    of_id = held.join(classes.select("node", F.col("least.oid").alias("of_id")), "node").groupBy("oid").agg(F.min("of_id").alias("of_id"))
+    found = found.join(of_id, "oid", "left")
+    return found.select(
+        real_id(F.col("oid")).alias("doc_id"),
+        F.col("n").cast("long").alias("n_shingles"),
+        real_id(F.least(F.coalesce("least", "of_id", "oid"), F.col("oid"))).alias("component_id"),
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, long: int = LONG) -> DataFrame:
+    """One row of docs for each component of texts, with its own columns: that of its least id, then of the least hash of its text.
+
+    Of rows that agree in id and text one stays. Texts without shingles stay, one a text and
+    id. Texts that differ under one id stay or go on their own. Components are those of
+    `similar_sets`, but for its joining of texts by their id.
+    """
+    join = Join(docs, id_col, text_col, width, percent, long)
+    ones = leasts(join, join.links(), "all").select("least.oid", "least.th").distinct()
+    ones = ones.unionByName(join.base.where("n = 0").select("oid", "th").distinct())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row"), row_ids(F.col(id_col), F.col(text_col)).alias("oid"), F.xxhash64(text).alias("th"))
+    one = F.row_number().over(Window.partitionBy("oid", "th").orderBy(F.xxhash64("_row")))
+    return rows.join(ones, ["oid", "th"], "left_semi").withColumn("_one", one).where("_one = 1").select("_row.*")
