@@ -84,36 +84,3 @@ def lloyd_ctes(src: str, value: str, keys: str, max_k: int, rows_per_k: int) ->
         f"ctr AS MATERIALIZED (SELECT {keys}, k, unnest(generate_series(0, len(cs) - 1)) AS i, unnest(cs) AS v FROM fin)",
         f"asg AS MATERIALIZED (SELECT {pk}, p.rn, p.v, l.k, {near('l.cs')} AS i FROM pts p JOIN fin l ON {on('p', 'l')})",
     ])
-
-
-def vector_lloyd_ctes(src: str, xs: list[str], pairs: list[tuple[str, int]]) -> str:
-    """Lloyd rounds of feature vectors from component quantiles, from rows (kind, rid, xs...), for (kind, largest k).
-
-    Ends in `vc` (kind, k, i, c...) and `va` (kind, k, rid, i, xs...).
-    """
-    d = range(len(xs))
-    cs = ", ".join(f"c{j}" for j in d)
-    dist = " + ".join(f"(p.{x} - l.c{j}) * (p.{x} - l.c{j})" for j, x in enumerate(xs))
-    place = ", ".join(f"row_number() OVER (PARTITION BY kind ORDER BY {x}) - 1 AS r{j}" for j, x in enumerate(xs))
-    asked = " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(generate_series(1, {k})) AS k" for kind, k in pairs)
-    start = ", ".join(f"max(CASE WHEN p.r{j} = g.at THEN p.{x} END) AS c{j}" for j, x in enumerate(xs))
-    near = f"SELECT p.kind, l.k, p.rid, arg_min(l.i, {dist}) AS i, {', '.join(f'any_value(p.{x}) AS {x}' for x in xs)} FROM vpts p JOIN {{0}} l ON l.kind = p.kind {{1}} GROUP BY p.kind, l.k, p.rid"
-    return ", ".join([
-        f"vpts AS MATERIALIZED (SELECT *, {place}, count(*) OVER (PARTITION BY kind) AS n_ FROM {src})",
-        f"vk AS MATERIALIZED (SELECT kind, k, i, CAST(floor((n_ - 1) * ((i + 0.5::DOUBLE) / k)) AS BIGINT) AS at FROM (SELECT kind, k, unnest(generate_series(0, k - 1)) AS i FROM ({asked})) JOIN (SELECT DISTINCT kind, n_ FROM vpts) USING (kind))",
-        f"""v0 AS MATERIALIZED (SELECT g.kind, g.k, g.i, {start} FROM vk g JOIN vpts p ON p.kind = g.kind AND ({' OR '.join(f'p.r{j} = g.at' for j in d)}) GROUP BY g.kind, g.k, g.i)""",
-        f"""lloyd AS (SELECT kind, k, i, {cs}, TRUE AS moves, 0 AS turn FROM v0 UNION ALL
-            SELECT kind, k, i, {', '.join(f'n{j}' for j in d)}, max(shift) OVER (PARTITION BY kind, k) > 1e-9, turn + 1 FROM (
-                SELECT l.kind, l.k, l.i, l.turn, {', '.join(f'coalesce(m.m{j}, l.c{j}) AS n{j}' for j in d)}, greatest({', '.join(f'abs(coalesce(m.m{j}, l.c{j}) - l.c{j})' for j in d)}) AS shift
-                FROM lloyd l LEFT JOIN (SELECT kind, k, i, {', '.join(f'avg({x}) AS m{j}' for j, x in enumerate(xs))} FROM ({near.format('lloyd', 'AND l.moves')}) GROUP BY kind, k, i) m
-                ON m.kind = l.kind AND m.k = l.k AND m.i = l.i WHERE l.moves))""",
-        f"vc AS MATERIALIZED (SELECT kind, k, i, {', '.join(f'arg_max(c{j}, turn) AS c{j}' for j in d)} FROM lloyd GROUP BY kind, k, i)",
-        f"va AS MATERIALIZED ({near.format('vc', '')})",
-        f"""vs AS MATERIALIZED (SELECT kind, k, i, count(*) AS n, {', '.join(f'sum({x}) AS y{j}' for j, x in enumerate(xs))}, sum({' + '.join(f'{x} * {x}' for x in xs)}) AS p FROM va GROUP BY kind, k, i)""",
-        f"""vd AS (SELECT a.kind, a.k, a.rid, a.i = s.i AS own, s.n, {' + '.join(f'a.{x} * a.{x}' for x in xs)} + s.p / s.n - 2 * ({' + '.join(f'a.{x} * s.y{j}' for j, x in enumerate(xs))}) / s.n AS e FROM va a JOIN vs s ON s.kind = a.kind AND s.k = a.k)""",
-        """vsil AS (SELECT kind, k, avg(CASE WHEN n > 1 THEN (b - a) / CASE WHEN greatest(a, b) > 0 THEN greatest(a, b) ELSE 1 END ELSE 0 END) AS silhouette FROM (
-            SELECT kind, k, rid, max(n) FILTER (own) AS n, max(e * n / greatest(n - 1, 1)) FILTER (own) AS a, min(e) FILTER (NOT own) AS b FROM vd GROUP BY kind, k, rid) GROUP BY kind, k)""",
-        f"""vi AS (SELECT a.kind, a.k, sum({' + '.join(f'(a.{x} - c.c{j}) * (a.{x} - c.c{j})' for j, x in enumerate(xs))}) AS inertia, count(*) AS n_rows
-            FROM va a JOIN vc c ON c.kind = a.kind AND c.k = a.k AND c.i = a.i GROUP BY a.kind, a.k)""",
-        """vz AS (SELECT g.kind, g.k, array_to_string(list(coalesce(s.n, 0) ORDER BY coalesce(s.n, 0) DESC), ',') AS sizes FROM vk g LEFT JOIN vs s ON s.kind = g.kind AND s.k = g.k AND s.i = g.i GROUP BY g.kind, g.k)""",
-    ])
