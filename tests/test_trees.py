@@ -171,6 +171,18 @@ def test_table_importances_and_complexity(spark):
         assert (r.n_trees, r.nodes, r.leaves) == (3, len(own), sum(x.feature is None for x in own)) and r.leaves * 2 - r.n_trees == r.nodes and r.depth == 3
 
 
+def test_table_keeps_leaves_without_arrow(spark):
+    """Leaves have no children: their nulls must not turn the column of whole numbers into fractions."""
+    df = frame(spark, table(6, 120))
+    forest = trees.fit(df, ["end_hour"], FEATURES, "cls", F.col("id"), Spec("logistic", trees=1, depth=1, min_child=0.1))
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        rows = forest.table(spark).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert any(r.left == 2 and r.right == 3 for r in rows) and any(r.left is None and r.value is not None for r in rows)
+
+
 def test_every_row_is_scored(spark):
     rows = [(1 + i % 3, i, float(i % 7), int(i % 7 > 3)) for i in range(90)] + [(30, 90, 1.0, 0)]
     df = spark.createDataFrame(rows, "end_hour int, id long, x double, y int")
