@@ -414,3 +414,20 @@ def test_vector_clusters_by_plain_loops(spark):
             else:
                 assert r.silhouette is None
     assert cluster.kmeans_vectors(df.limit(0), ["p", "q"], [1, 2], ["kind"]).count() == 0
+
+
+def test_vector_clusters_settle_on_the_vectors_that_can_change(spark, monkeypatch):
+    """Fewer passes over all vectors than rounds, with the centres of the rounds."""
+    monkeypatch.setattr(cluster, "FEW", 1200)
+    x = np.random.default_rng(5).random((3000, 2))
+    c, rounds = np.sort(x, axis=0)[[int(np.floor(2999 * (i + 0.5) / 6)) for i in range(6)]], 0
+    while True:
+        near = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([x[near == i].mean(axis=0) for i in range(6)])
+        rounds += 1
+        if np.abs(new - c).max() <= 1e-9:
+            break
+        c = new
+    df = spark.createDataFrame(x.tolist(), "p double, q double").repartition(3)
+    (r,) = cluster.kmeans_vectors(df, ["p", "q"], [6], turns=rounds - 2).collect()
+    assert r.inertia == pytest.approx(((x - c[near]) ** 2).sum()) and r.sizes == sorted(np.bincount(near).tolist(), reverse=True)
