@@ -17,6 +17,8 @@ from spreadlab.operators.correlate import co_moments
 from spreadlab.session import join_measured, materialise, written
 
 INTERCEPT = "(intercept)"
+#: Draws of a resample that one task counts.
+TASK_DRAWS = 1 << 21
 
 
 def solve(cov: np.ndarray, cxy: np.ndarray, n: np.ndarray, kind: str, alpha: float) -> np.ndarray:
@@ -187,9 +189,12 @@ def resampled(df: DataFrame, keys: list[str], row_id: Column, n: int, seed: int
     size = rows.groupBy(*keys).agg(F.count("*").alias("__size"))
     placed = written(join_measured(placed, size, keys))
     draw = lambda r: F.floor(uniform_hash("__rid", r + seed) * F.col("__size")).cast("long") + 1
-    draws = placed.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)).alias("r", "__place"))
+    # Places are dealt out to as many tasks as their number needs, and meet their rows there.
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-placed.count() * n // TASK_DRAWS))
+    draws = placed.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)).alias("r", "__place")).repartition(parts, *keys, "__place")
     hits = draws.groupBy(*keys, "__place").agg(*[F.count_if(F.col("r") == r).cast("int").alias(f"__w{r}") for r in range(n)])
     hits = hits.select(*keys, "__place", F.array(*[f"__w{r}" for r in range(n)]).alias("weights"))
+    placed = placed.repartition(parts, *keys, "__place")
     none = F.array_repeat(F.lit(0), n)
     return written(placed.join(hits, [*keys, "__place"], "left").withColumn("weights", F.coalesce("weights", none)).drop("__place", "__size", "__rid"))
 

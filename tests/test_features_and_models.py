@@ -431,3 +431,11 @@ def test_vector_clusters_settle_on_the_vectors_that_can_change(spark, monkeypatc
     df = spark.createDataFrame(x.tolist(), "p double, q double").repartition(3)
     (r,) = cluster.kmeans_vectors(df, ["p", "q"], [6], turns=rounds - 2).collect()
     assert r.inertia == pytest.approx(((x - c[near]) ** 2).sum()) and r.sizes == sorted(np.bincount(near).tolist(), reverse=True)
+
+
+def test_resampling_tasks_grow_in_number_with_the_draws(spark, monkeypatch):
+    monkeypatch.setattr(linear, "TASK_DRAWS", 100, raising=False)
+    df = spark.range(1000).select(F.lit(1).alias("end_hour"), "id")
+    weighed = linear.resampled(df, ["end_hour"], F.col("id"), 4)
+    assert weighed.count() == 1000 and weighed.select(F.input_file_name()).distinct().count() >= 32
+    assert weighed.select(*[F.sum(F.get("weights", i)) for i in range(4)]).first() == (1000,) * 4
