@@ -134,12 +134,32 @@ def describe(width: int, percent: int, heavy):
     return run
 
 
+def differences(sketches: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`least_difference` of the pairs (i, j) of sketches, which have lengths of powers of two."""
+    sketches = sketches.cast(pa.large_binary())
+    _, offsets, data = sketches.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[sketches.offset : sketches.offset + len(sketches) + 1]
+    data = np.frombuffer(data, np.uint8)
+    first, length = offsets[:-1], np.diff(offsets)
+    i, j = np.where(length[i] <= length[j], i, j), np.where(length[i] <= length[j], j, i)
+    out = np.zeros(len(i), np.int64)
+    for short, long in set(zip(length[i].tolist(), length[j].tolist())):
+        at = np.flatnonzero((length[i] == short) & (length[j] == long))
+        for part in range(0, len(at), step := max(1, (1 << 22) // long)):
+            k = at[part : part + step]
+            x = data[first[i[k]][:, None] + np.arange(short)]
+            y = np.bitwise_xor.reduce(data[first[j[k]][:, None] + np.arange(long)].reshape(len(k), -1, short), axis=1)
+            out[k] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def candidates(percent: int, block: int = BLOCK):
-    """Pairs of index lists that pass the bounds, from rows with the lists `n`, `node`, `rank`, `side`.
+    """Pairs of index lists that pass the bounds, from rows with the lists `n`, `node`, `rank`, `side` and, if need be, `sketch`.
 
     Entries of a list stand by size and position in blocks. A pair of blocks is skipped when
     its extreme sizes or positions cannot give the overlap needed; only blocks that pass are
-    opened. Entries of equal side are not compared.
+    opened. Entries of equal side are not compared. Lists with sketches give only pairs whose
+    sketches do not rule out the similarity.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +168,7 @@ def candidates(percent: int, block: int = BLOCK):
             lengths = np.diff(batch.column(0).offsets.to_numpy()) if len(batch) else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             order = np.lexsort((rank, n, owner))
+            sketches = batch.column(4).flatten() if batch.num_columns > 4 else None
             n, node, rank, side, owner = (v[order].astype(np.int64) for v in (n, node, rank, side, owner))
             place = np.arange(len(n)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             heads = np.flatnonzero(place % block == 0)
@@ -174,6 +195,9 @@ def candidates(percent: int, block: int = BLOCK):
                     need = -(-percent * (n[i] + n[j]) // (100 + percent))
                     fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - rank[i], n[j] - rank[j]) >= need)
                     fits &= (node[i] != node[j]) & (side[i] != side[j])
+                    if sketches is not None:
+                        i, j, need = i[fits], j[fits], need[fits]
+                        fits = differences(sketches, order[i], order[j]) <= n[i] + n[j] - 2 * need
                     found.append(np.stack([np.minimum(node[i], node[j])[fits], np.maximum(node[i], node[j])[fits]]))
                 step += 1
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -209,9 +233,9 @@ def verified(width: int, percent: int):
     return run
 
 
-def entry() -> Column:
+def entry(*more: str) -> Column:
     """A list's entry, with the class as its side."""
-    return F.struct("n", "node", "rank", F.col("class").alias("side"))
+    return F.struct("n", "node", "rank", F.col("class").alias("side"), *more)
 
 
 class Join:
@@ -256,28 +280,37 @@ class Join:
         return links
 
     def lists(self) -> DataFrame:
-        """(token, node, n, rank, listed): the index lists of two sets or more over the first tokens of all sets."""
+        """(token, node, n, rank, listed): the index lists of two sets or more over the first tokens of all sets.
+
+        `listed` counts all sets of a list; those whose place leaves no room for a link with
+        the smallest set that the list offers are left out.
+        """
         rows = self.nodes.select("node", "n", F.posexplode("tokens").alias("rank", "token"))
-        counts = rows.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
-        return self.scratch.keep(rows.join(counts, "token").select("token", "node", "n", "rank", "listed"), "lists")
+        counts = rows.groupBy("token").agg(F.count("*").alias("listed"), F.min("n").alias("least")).where("listed > 1")
+        size = F.greatest(F.col("least"), F.ceil(F.col("n") * self.percent / 100))
+        rows = rows.join(counts, "token").where(F.col("n") - F.col("rank") >= self.need(F.col("n"), size))
+        return self.scratch.keep(rows.select("token", "node", "n", "rank", "listed"), "lists")
+
+    def need(self, n: Column, other: Column) -> Column:
+        """The overlap that a link of sets of these sizes needs."""
+        return F.ceil(F.lit(self.percent) * (n + other) / (100 + self.percent))
 
     def near(self, n: Column, other: Column, rank: Column, other_rank: Column) -> Column:
         """Whether sizes and places leave room for the overlap that a link needs, if this is the first common token."""
-        need = F.ceil(F.lit(self.percent) * (n + other) / (100 + self.percent))
-        return (F.least(n, other) * 100 >= F.greatest(n, other) * self.percent) & (F.least(n - rank, other - other_rank) >= need)
+        return (F.least(n, other) * 100 >= F.greatest(n, other) * self.percent) & (F.least(n - rank, other - other_rank) >= self.need(n, other))
 
     def meet(self, left: DataFrame, turn: int) -> DataFrame:
         """(x, y): for each set y the leader x that most of its lists have, from lists with more than one class.
 
-        A list's leader is a set of its largest class, another one in every turn.
+        The sets of a list that are alike in size are led by the one with the fewest rarer
+        tokens before the list's own: of near copies, that with the fewest edits of its own,
+        which links to most of the others. Every turn cuts the sizes at other places.
         """
-        lead = F.min_by(F.struct("node", "n", "rank"), F.xxhash64("node", F.lit(turn)))
-        if turn:
-            sizes = left.groupBy("token", "class").agg(F.count("*").alias("m"), lead.alias("lead"))
-            leads = sizes.groupBy("token").agg(F.max(F.struct("m", "class", "lead")).alias("top")).select("token", F.col("top.class").alias("led_by"), "top.lead")
-        else:
-            leads = left.groupBy("token").agg(lead.alias("lead")).select("token", F.col("lead.node").alias("led_by"), "lead")
-        led = left.join(leads, "token").where(F.col("class") != F.col("led_by"))
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent) + turn / TURNS) if self.percent < 100 else F.col("n")
+        sized = left.withColumn("size", size)
+        lead = F.min_by(F.struct("node", "n", "rank", "class"), F.struct("rank", F.xxhash64("node", F.lit(turn))))
+        leads = sized.groupBy("token", "size").agg(lead.alias("lead"))
+        led = sized.join(leads, ["token", "size"]).where(F.col("class") != F.col("lead.class"))
         near = self.near(F.col("n"), F.col("lead.n"), F.col("rank"), F.col("lead.rank"))
         met = led.where(near).groupBy(F.col("node").alias("y"), F.col("lead.node").alias("x")).agg(F.count("*").alias("c"))
         return met.groupBy("y").agg(F.max(F.struct("c", "x")).alias("best")).select("best.x", "y")
@@ -322,18 +355,21 @@ class Join:
         rows = sized.join(reach, ["token", "block"])
         # The most favourable set of the other block: least of its sizes that is near enough, at the block's front.
         size = F.greatest(F.col("least2"), F.ceil(F.col("n") * self.percent / 100))
-        need = F.ceil(F.lit(self.percent) * (F.col("n") + size) / (100 + self.percent))
+        need = self.need(F.col("n"), size)
         rows = rows.where((size <= F.col("most2")) & (F.col("n") - F.col("rank") >= need) & (F.col("most2") - F.col("front2") >= need))
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         every = F.transform(F.sequence(F.lit(0), F.col("parts2") - 1), lambda j: j)
         first = F.col("block") <= F.col("other")
         task = F.transform(every, lambda j: F.when(F.col("block") == F.col("other"), F.struct(F.col("block").alias("a"), F.col("other").alias("b"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))).otherwise(
             F.struct(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(first, own).otherwise(j).alias("i"), F.when(first, j).otherwise(own).alias("j"))))
-        dealt = rows.select("token", "node", "n", "rank", "class", F.explode(task).alias("task"))
-        return dealt.groupBy("token", "task").agg(F.collect_set(entry()).alias("l"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("l")
+        rows = rows.join(self.nodes.select("node", "sketch"), "node")
+        dealt = rows.select("token", "node", "n", "rank", "class", "sketch", F.explode(task).alias("task"))
+        return dealt.groupBy("token", "task").agg(F.collect_set(entry("sketch")).alias("l"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("l")
 
     def compare(self, lists: DataFrame, name: str) -> DataFrame:
         columns = [F.col(f"l.{c}").cast("array<long>").alias(c) for c in ("n", "node", "rank", "side")]
+        if "sketch" in lists.schema["l"].dataType.elementType.names:
+            columns.append(F.col("l.sketch").alias("sketch"))
         return self.held(lists.select(*columns).mapInArrow(candidates(self.percent), "x long, y long").distinct(), name)
 
 
@@ -356,11 +392,13 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal sets are one node. In a global order of tokens, rare ones by hash before the most
     frequent ones, linked sets share a token among their first `prefix_length`. Each set first
-    meets the set that leads most of its lists; one linked to it takes over its class, and the
-    others meet one more leader, so that a group of similar sets costs a comparison or two
-    each, and only members of different classes are compared further. Lists are opened by blocks: pairs of blocks whose sizes or places
-    cannot give the overlap are skipped, and long lists are dealt out by size before that.
-    Candidates are checked by sketches, then by their whole sets. Nothing is capped: every pair
+    meets the set that leads most of its lists, the one with the fewest tokens of its own among
+    those of about its size; one linked to it takes over its class, and the others meet one more
+    leader, so that a group of similar sets costs a comparison or two each, and only members of
+    different classes are compared further. Lists are opened by blocks: pairs of blocks whose
+    sizes or places cannot give the overlap are skipped, and long lists are dealt out by size
+    before that, with the sketches of their sets. Candidates are checked by sketches, then by
+    their whole sets. Nothing is capped: every pair
     of sets of different classes that share such a token and can be a link is tested.
     """
     join = Join(docs, id_col, text_col, width, percent, long)

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,32 @@ def test_jaccard_groups_that_share_passages(spark, monkeypatch):
     sets_by_brute_force(spark, rows, long=2)
 
 
+@pytest.mark.parametrize("centre", [True, False])
+def test_jaccard_compares_near_copies_a_few_times_each(spark, monkeypatch, centre):
+    """Pairs grow with a group of near copies, not with its square, whether or not the text is there that all others were edited from."""
+    pairs, held = [], jaccard.Join.held
+    monkeypatch.setattr(jaccard.Join, "held", lambda self, found, name: pairs.append(found.count()) or held(self, found, name))
+    rng = np.random.default_rng(8)
+    rows = [(0, " ".join(f"v{k}" for k in range(150)))] if centre else []
+    for i in range(1, 321):
+        w = [f"v{k}" for k in range(150)]
+        for at in rng.choice(150, 1 + i % 4, replace=False):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets_by_brute_force(spark, rows)
+    assert sum(pairs) < 8 * len(rows)
+
+
+def test_differences_of_sketches_of_any_length():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in (3, 40, 41, 70, 150, 0, 300, 64)]
+    sets.append(sets[4][:140])
+    sketches = [jaccard.sketch(s) for s in sets]
+    i, j = (v.ravel() for v in np.indices((len(sets), len(sets))))
+    got = jaccard.differences(pa.array([b"x", *sketches], pa.binary())[1:], i, j)
+    assert got.tolist() == [jaccard.least_difference(sketches[a], sketches[b]) for a, b in zip(i, j)]
+
+
 def test_sketch_never_overstates():
     rng = np.random.default_rng(3)
     for n, m in ((5, 7), (100, 90), (500, 30), (64, 2000)):
