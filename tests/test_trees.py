@@ -147,6 +147,81 @@ def test_fit_does_not_depend_on_partitions_and_carried_margins(spark, monkeypatc
     assert tables[0] == tables[1]
 
 
+def jobs_of(spark, name, run):
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(name))
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_trees(spark):
+    df = frame(spark, table(7, 200))
+    few, many = (jobs_of(spark, f"fit of {n} trees", lambda n=n: trees.fit(df, ["end_hour"], FEATURES, "y", F.col("id"), Spec("squared", trees=n, depth=3))) for n in (2, 12))
+    assert few == many
+
+
+@pytest.mark.parametrize(("spec", "label"), [CASES[1], CASES[3]])
+def test_cells_grow_the_trees_of_level_jobs(spark, monkeypatch, spec, label):
+    """All models in one task each, in several parts; the largest by levels; all by levels."""
+    df = frame(spark, table(8, 300, max(2, spec.classes)))
+    sizes = sorted(r["count"] for r in df.dropna(subset=FEATURES).groupBy("end_hour").count().collect())
+    tables = []
+    for changes in ({}, {"COUNTED": 20}, {"WHOLE_ROWS": sizes[1]}, {"WHOLE": 0}):
+        with monkeypatch.context() as m:
+            for name, value in changes.items():
+                m.setattr(trees, name, value)
+            tables.append(sorted(map(str, trees.fit(df, ["end_hour"], FEATURES, df.columns[label], F.col("id"), spec, "weight").table(spark).collect())))
+    assert tables[0] and all(t == tables[0] for t in tables)
+
+
+def test_cells_of_many_bins_and_parts():
+    """More bins than a byte holds; cells of parts add up to those of all rows."""
+    rng = np.random.default_rng(9)
+    bins, y, w = rng.integers(0, 300, (2, 900)).astype(np.int16), rng.integers(0, 2, 900).astype(float), rng.choice([1.0, 2.5], 900)
+    bins[:, 450:] = bins[:, :450]
+    ids, first = np.arange(900) % 400, np.zeros(900, np.int32)
+    for spec in (Spec("squared", trees=3, subsample=0.6), Spec("logistic", trees=3, subsample=0.6), Spec("logistic")):
+        of = lambda at: trees.cells_of(spec, bins[:, at], y[at], w[at], ids[at], first[at], 2.0**-20, 0.5)
+        one, other = of(slice(None)), trees.Cells.joined([of(slice(0, None, 2)), of(slice(1, None, 2))])
+        assert len(one.y) < 900 and all(np.array_equal(a, b) for a, b in zip(vars(one).values(), vars(other).values()) if a is not None)
+        assert one.seen.shape == (1 if spec.subsample == 1 else 3, len(one.y))
+        assert one.seen.sum(axis=1).tolist() == [int(trees.drawn(ids, spec, t).sum()) for t in range(len(one.seen))]
+
+
+@pytest.mark.parametrize("spec", [Spec("logistic", trees=2, depth=2), Spec("squared", trees=3, depth=2, subsample=0.7, columns=0.5)])
+def test_weeks_from_cells_are_those_of_level_jobs(spark, monkeypatch, spec):
+    rng = np.random.default_rng(5)
+    start = dt.datetime(2025, 1, 1)
+    rows = [(i % 9 // 8, i, start + dt.timedelta(hours=2 * i), float(x), float(rng.integers(0, 3)), int(x + 2 * rng.normal() > 3)) for i, x in enumerate(rng.integers(0, 6, size=500))]
+    df = spark.createDataFrame(rows, "end_hour int, id long, utc_ts timestamp, x double, z double, y int")
+    tables = []
+    for changes in ({}, {"WHOLE": 0}):
+        with monkeypatch.context() as m:
+            for name, value in changes.items():
+                m.setattr(trees, name, value)
+            tables.append(sorted(map(str, trees.walk_forward(df, ["end_hour"], ["x", "z"], "y", F.col("id"), spec, "2025-01-01").collect())))
+    assert tables[0] and all(t == tables[0] for t in tables)
+
+
+def test_three_ways_to_score_agree(spark, monkeypatch):
+    rows = table(10, 250, 3)
+    df = frame(spark, rows)
+    forest = trees.fit(df.where("end_hour < 3"), ["end_hour"], FEATURES, "cls", F.col("id"), Spec("softmax", classes=3, trees=4, depth=3, bins=8))
+    far = df.withColumns({"fb": F.when(F.col("id") % 7 == 0, float("nan")).when(F.col("id") % 7 == 1, float("inf")).when(F.col("id") % 7 == 2, -1e9).otherwise(F.col("fb") * 3)})
+    scores = []
+    for changes in ({}, {"LATTICE": 0}, {"LATTICE": 0, "WALKED": 0}):
+        for name, value in changes.items():
+            monkeypatch.setattr(trees, name, value)
+        scores.append({r.id: r.margin for r in forest.margins(far).collect()})
+    assert len(scores[0]) == 250 and any(v is None for v in scores[0].values()) and any(v is not None for v in scores[0].values())
+    for other in scores[1:]:
+        assert {k: v is None for k, v in other.items()} == {k: v is None for k, v in scores[0].items()}
+        assert all(v is None or v == pytest.approx(other[k]) for k, v in scores[0].items())
+
+
 def test_table_importances_and_complexity(spark):
     df = frame(spark, table(4))
     spec = Spec("squared", trees=3, depth=3)
