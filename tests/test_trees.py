@@ -222,6 +222,16 @@ def test_three_ways_to_score_agree(spark, monkeypatch):
         assert all(v is None or v == pytest.approx(other[k]) for k, v in scores[0].items())
 
 
+def test_versions_of_a_row_are_scored_side_by_side(spark):
+    df = frame(spark, table(11, 120))
+    forest = trees.fit(df, ["end_hour"], FEATURES, "cls", F.col("id"), Spec("logistic", trees=2, depth=2))
+    moved = {f"m{i}": [F.col(f) + i for f in FEATURES] for i in (0, 1, 5)}
+    out = {r.id: r for r in forest.margins_of(df, moved).collect()}
+    for i in (0, 1, 5):
+        alone = forest.margins(df.withColumns({f: F.col(f) + i for f in FEATURES})).collect()
+        assert len(alone) == len(out) and all(r.margin == out[r.id][f"m{i}"] for r in alone)
+
+
 def test_table_importances_and_complexity(spark):
     df = frame(spark, table(4))
     spec = Spec("squared", trees=3, depth=3)
