@@ -439,3 +439,17 @@ def test_resampling_tasks_grow_in_number_with_the_draws(spark, monkeypatch):
     weighed = linear.resampled(df, ["end_hour"], F.col("id"), 4)
     assert weighed.count() == 1000 and weighed.select(F.input_file_name()).distinct().count() >= 32
     assert weighed.select(*[F.sum(F.get("weights", i)) for i in range(4)]).first() == (1000,) * 4
+
+
+def test_two_nearest_centres_are_those_of_all_distances():
+    import numpy as np
+
+    from spreadlab.operators.cluster import _two_nearest
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (500, 4)).astype(float)
+    for centres in (x[:1], x[[0, 1, 0, 2]], rng.normal(size=(6, 4))):
+        every = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        near, first, second = _two_nearest(np.ascontiguousarray(x.T), centres)
+        assert near.tolist() == every.argmin(axis=1).tolist() and first.tolist() == every.min(axis=1).tolist()
+        assert second.tolist() == (np.sort(every, axis=1)[:, 1].tolist() if len(centres) > 1 else [np.inf] * 500)
